@@ -69,6 +69,13 @@ def conform(df: DataFrame, ddl: str, extras: bool = False) -> DataFrame:
     return df.select(*cols, *([c for c in df.columns if c not in known] if extras else []))
 
 
+def conform_exact(df: DataFrame, ddl: str) -> DataFrame:
+    """The columns of ``ddl`` in order and type, null lists kept null; missing ones as null."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in struct(ddl).fields])
+
+
 def serialise(df: DataFrame) -> DataFrame:
     """Plain text rows: timestamps as ISO strings, null lists as empty ones."""
     out = []
