@@ -52,10 +52,15 @@ def with_ordinal(df: DataFrame, group: list[str], order: str, out: str, slices:
     return d.join(shift, [*group, "_slice"]).withColumn(out, local + F.col("_shift")).drop("_slice", "_shift")
 
 
-def hot_keys(df: DataFrame, key: str, total: int) -> DataFrame:
-    """(key) carried by more than 1/HOT_SHARE of all rows: fewer than HOT_SHARE keys by arithmetic."""
+def hot_keys(df: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key) carried by more than 1/HOT_SHARE of all rows: fewer than HOT_SHARE keys by arithmetic.
+
+    None when the table is too small to have any.
+    """
     floor = max(HOT_MIN_ROWS, total // HOT_SHARE + 1)
-    return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= floor).select(key)
+    if total < floor:
+        return None
+    return cut(df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= floor).select(key))
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
