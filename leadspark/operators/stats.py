@@ -22,6 +22,14 @@ def record_counts(records: DataFrame, by: list[str] = ()) -> DataFrame:
                                     filled("email").alias("with_email"))
 
 
+def one_row(*counts: DataFrame) -> DataFrame:
+    """One-row counter tables side by side, without a join."""
+    d = counts[0]
+    for c in counts[1:]:
+        d = d.unionByName(c, allowMissingColumns=True)
+    return d.agg(*[F.max(c).alias(c) for c in d.columns])
+
+
 def wave_stats(urls: DataFrame) -> DataFrame:
     """Per wave from one row per found URL: (wave, is_fresh, is_taken, ok, blocked, records, dropped).
 
