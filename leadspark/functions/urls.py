@@ -184,7 +184,8 @@ def with_canonical_url(df: DataFrame, src: str, out: str = "url", keep: list[str
 
     # 4. put together
     number = F.try_to_number(port, F.lit("9" * 38)).cast("int")
-    return step(d, [], **{out: F.when(F.col("_ok"), F.concat(
+    whole = F.when(F.col("_ok"), F.concat(
         F.when(_any([h.endswith(x) for x in K.HTTPS_ONLY_HOSTS]), "https").otherwise(s), F.lit("://"), h,
         F.when((port == "") | number.isin(80, 443), "").otherwise(F.concat(F.lit(":"), number.cast("string"))),
-        p, F.when(F.coalesce(q, F.lit("")) == "", "").otherwise(F.concat(F.lit("?"), q))))})
+        p, F.when(F.coalesce(q, F.lit("")) == "", "").otherwise(F.concat(F.lit("?"), q))))
+    return d.select(*base, F.explode(F.array(whole)).alias(out))

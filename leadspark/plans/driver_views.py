@@ -165,12 +165,16 @@ def doc_responses(spark, sf) -> DataFrame:
 
 
 def run_events(spark, sf) -> DataFrame:
+    return run_events_of(events(spark, sf))
+
+
+def run_events_of(events: DataFrame) -> DataFrame:
     """Counter events of five waves."""
     kind = F.element_at(F.create_map(*[F.lit(x) for x in (
         "purchase", "saved", "view", "dedup", "click", "wave_end", "error", "warning", "signup", "wave_start")]),
         F.col("event_type"))
     n = (F.col("value") * 100).cast("bigint")
-    return events(spark, sf).select(
+    return events.select(
         F.col("event_id").alias("seq"), "ts", kind.alias("kind"),
         F.when(F.col("event_id") % 8 != 0, F.concat(F.lit("wave "), F.col("user_id") % 5)).alias("wave"),
         F.concat("event_type", F.lit(" by "), "user_id").alias("message"),
@@ -181,10 +185,14 @@ def run_events(spark, sf) -> DataFrame:
 
 
 def outreach_events(spark, sf) -> DataFrame:
+    return outreach_events_of(events(spark, sf))
+
+
+def outreach_events_of(events: DataFrame) -> DataFrame:
     """Outreach steps on stored candidates (and on some ids nobody has)."""
     k, u = F.col("event_id"), F.col("user_id")
     kind = F.when(k % 3 == 0, "draft").when(k % 3 == 1, "status").otherwise("reply")
-    return events(spark, sf).select(
+    return events.select(
         F.concat(F.lit("c"), u).alias("candidate_id"), k.alias("seq"), kind.alias("kind"),
         F.element_at(F.array(*[F.lit(x) for x in ("new", "drafted", "sent", "replied", "not_interested")]),
                      (F.floor(k / 3) % 5 + 1).cast("int")).alias("status"),

@@ -63,7 +63,7 @@ CANON = f"""canon AS (
          WHEN h0 IN ('quora.com') THEN 'www.quora.com'
          WHEN starts_with(h0, 'm.') AND length(h0) - length(replace(h0, '.', '')) >= 2 THEN 'www.' || substr(h0, 3)
          ELSE h0 END AS h,
-    list_sort(list_filter(string_split(q0, '&'), x -> regexp_matches(x, '^[^=]*=.')
+    list_sort(list_filter(string_split(q0, '&'), lambda x: regexp_matches(x, '^[^=]*=.')
       AND NOT list_contains([{quoted(K.TRACKING_PARAMS)}], {_key('x')})
       AND NOT ({' OR '.join(f"starts_with({_key('x')}, '{t}')" for t in K.TRACKING_PREFIXES)}))) AS q
     FROM (SELECT page_id, url, html, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS s,

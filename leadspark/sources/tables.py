@@ -53,8 +53,8 @@ class Snapshots:
     replayed finds its own version and is skipped. A folder is never overwritten while read.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ddl: str):
-        self.spark, self.root, self.ddl = spark, root.rstrip("/"), ddl
+    def __init__(self, spark: SparkSession, root: str, ddl: str, label: str = "v"):
+        self.spark, self.root, self.ddl, self.label = spark, root.rstrip("/"), ddl, label
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -65,7 +65,8 @@ class Snapshots:
         except Py4JJavaError:
             return []
         names = [s.getPath().getName() for s in listed]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=")
+        mark = f"{self.label}="
+        return sorted(int(n[len(mark):]) for n in names if n.startswith(mark)
                       and self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
 
     def has(self, version: int) -> bool:
@@ -76,10 +77,10 @@ class Snapshots:
         done = [v for v in self.versions() if before is None or v < before]
         if not done:
             return S.empty(self.spark, self.ddl)
-        return self.spark.read.schema(S.struct(self.ddl)).parquet(f"{self.root}/v={done[-1]}")
+        return self.spark.read.schema(S.struct(self.ddl)).parquet(f"{self.root}/{self.label}={done[-1]}")
 
     def write(self, df: DataFrame, version: int) -> None:
-        S.conform_exact(df, self.ddl).write.mode("overwrite").parquet(f"{self.root}/v={version}")
+        S.conform_exact(df, self.ddl).write.mode("overwrite").parquet(f"{self.root}/{self.label}={version}")
 
 
 def append_evolved(old: DataFrame, new: DataFrame) -> DataFrame:
