@@ -69,9 +69,15 @@ def clean_contacts(spark, sf):
                       T.name_key(col("c_name")).alias("name_key"), T.phone_key(col("p")).alias("phone_key"), T.slug(col("c_name")).alias("slug"))
 
 
+def _tidied(x: str) -> str:
+    for rx, new in ((r"!\[[^\]]*\]\([^)]*\)", "''"), (r"\[([^\]]+)\]\((?:https?:)?[^)]*\)", r"'\1'"), (r"[ \t]+", "' '"),
+                    (r"\n{3,}", "chr(10) || chr(10)")):
+        x = f"regexp_replace({x}, '{rx}', {new}, 'g')"
+    return f"({Q.strip(x)})[1:60000]"
+
+
 @query(f"""WITH m AS (SELECT doc_id, '![i](u) [' || lang || '](https://x.example/' || doc_id || ') ' || text AS t FROM documents)
-SELECT doc_id, md5(({Q.strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!" + chr(92) + "[[^" + chr(92) + "]]*" + chr(92) + "]" + chr(92) + "([^)]*" + chr(92) + ")', '', 'g'), '" + chr(92) + "[([^" + chr(92) + "]]+)" + chr(92) + "]" + chr(92) + "((?:https?:)?[^)]*" + chr(92) + ")', '" + chr(92) + "1', 'g'), '[ " + chr(92) + "t]+', ' ', 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")})[1:60000]) AS cleaned,
-  md5({Q.collapse('text')}[1:700]) AS draft FROM m JOIN documents USING (doc_id)""")
+SELECT doc_id, md5({_tidied('t')}) AS cleaned, md5(({Q.collapse('text')})[1:700]) AS draft FROM m JOIN documents USING (doc_id)""")
 def markdown_clean(spark, sf):
     d = V.table(spark, sf, "documents")
     t = F.concat(lit("![i](u) ["), "lang", lit("](https://x.example/"), "doc_id", lit(") "), "text")
@@ -122,7 +128,7 @@ _CUT = "html"
 for _tag in K.DROP_TAGS:
     _CUT = f"regexp_replace({_CUT}, '(?is)<{_tag}(\\s[^>]*)?>.*?</{_tag}\\s*>', '<cut>', 'g')"
 _NODES = (f"string_split_regex(regexp_extract(regexp_replace({_CUT}, '(?s)<!--.*?-->', '<cut>', 'g'), "
-          f"'(?is)<body[^>]*>(.*)</body>', 1), '<[^>]*>')")
+          f"'(?is)<body[^>]*>(.*)$', 1), '<[^>]*>')")
 
 
 @query(f"""SELECT page_id, {Q.strip(_plain(Q.TITLE))} AS title,
@@ -178,13 +184,13 @@ def classify_pages(spark, sf):
     return _outcomes(spark, sf).select("doc_id", "ok", "blocked", "error")
 
 
-_LEGACY = """WITH r AS (SELECT doc_id, doc_id % 6 <> 1 AS success, CASE WHEN doc_id % 11 = 1 THEN 403 WHEN doc_id % 13 = 2 THEN 404 ELSE 0 END AS status,
+_LEGACY = f"""WITH r AS (SELECT doc_id, doc_id % 6 <> 1 AS success, CASE WHEN doc_id % 11 = 1 THEN 403 WHEN doc_id % 13 = 2 THEN 404 ELSE 0 END AS status,
   CASE doc_id % 4 WHEN 0 THEN ' Blocked by anti-bot ' WHEN 1 THEN 'net error' WHEN 2 THEN '' END AS err, text FROM documents),
-w AS (SELECT *, length(text) < 250 OR (length(text) < 4000 AND regexp_matches(text[1:3000], '%s')) AS walled,
+w AS (SELECT *, length(text) < 250 OR (length(text) < 4000 AND regexp_matches(text[1:3000], '{Q._WALL}')) AS walled,
   CASE WHEN coalesce(err, '') = '' THEN 'crawl failed' ELSE trim(err) END AS msg FROM r)
 SELECT doc_id, success AND status < 400 AND NOT walled AS ok,
   CASE WHEN NOT success THEN contains(lower(msg), 'blocked') OR status = 403 WHEN status = 403 THEN true WHEN status >= 400 THEN false ELSE walled END AS blocked,
-  CASE WHEN NOT success THEN msg WHEN status >= 400 THEN 'HTTP ' || status WHEN walled THEN '%s' END AS error FROM w""" % (Q._WALL, K.WALL_ERROR)
+  CASE WHEN NOT success THEN msg WHEN status >= 400 THEN 'HTTP ' || status WHEN walled THEN '{K.WALL_ERROR}' END AS error FROM w"""
 
 
 @query(_LEGACY)
@@ -398,8 +404,8 @@ def valid_records(spark, sf):
     return d.select("seq", "name", "current_role", joined("skills").alias("skills"), "current_location", "email", "phone", "source_url", "valid")
 
 
-@query("""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '%s') AS v FROM documents)
-SELECT doc_id, lower(v[1]) AS email FROM d""" % _RX)
+@query(f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_RX}') AS v FROM documents)
+SELECT doc_id, lower(v[1]) AS email FROM d""")
 def reply_contacts(spark, sf):
     """The first address of each document claimed by its reply; an invented one is refused."""
     d = V.table(spark, sf, "documents").select(
@@ -445,9 +451,9 @@ def er_lookup(spark, sf):
 @query(f"""WITH RECURSIVE {Q.PEOPLE}, {_KEYS}, edges AS (SELECT seq, 'e:' || e AS key FROM mf WHERE e <> '' UNION ALL
   SELECT seq, 'p:' || p FROM mf WHERE p <> '' UNION ALL SELECT seq, 'm:' || m FROM mf WHERE m <> ''),
 firsts AS (SELECT key, min(seq) AS lo FROM edges GROUP BY key), links AS (SELECT DISTINCT e.seq, f.lo FROM edges e JOIN firsts f USING (key)),
-reach AS (SELECT seq, lo AS at FROM links UNION SELECT r.seq, l.lo FROM reach r JOIN links l ON l.seq = r.at
-  UNION SELECT r.seq, l.seq FROM reach r JOIN links l ON l.lo = r.at AND l.seq <> r.at)
-SELECT seq, min(at) AS component FROM reach GROUP BY seq""".replace(" AS at", " AS nxt").replace("r.at", "r.nxt").replace("min(at)", "min(nxt)"))
+steps AS (SELECT seq AS a, lo AS b FROM links UNION SELECT lo, seq FROM links),
+reach AS (SELECT seq, lo AS nxt FROM links UNION SELECT r.seq, s.b FROM reach r JOIN steps s ON s.a = r.nxt)
+SELECT seq, min(nxt) AS component FROM reach GROUP BY seq""")
 def er_components(spark, sf):
     d = R.match_fields(V.people(spark, sf), ["seq"])
     edges = d.select(col("seq").alias("id"), F.explode(R._keys(col("e"), col("p"), col("m"))).alias("key"))
