@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from leadspark.functions import text as T
 from leadspark.operators.keyed import attach, cut, first_per, hot_keys, with_ordinal
@@ -149,7 +150,7 @@ _FOLD_OUT = "seq long, leader long, component long, m string, named boolean, loc
 
 
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (component, known first, seq); one group is open at a time.
+    """Rows arrive grouped by component, known persons first, then by seq; one group is open at a time.
 
     Emits (seq, leader) per row, and per changed person a row without seq holding its state.
     """
@@ -166,8 +167,8 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return d
 
     for batch in batches:
-        for component, seq, known, *fields in zip(*[batch[c].tolist() for c in _FOLD_IN]):
-            if component != group:
+        for nth, component, seq, known, *fields in zip(*[batch[c].tolist() for c in ["nth", *_FOLD_IN]]):
+            if nth == 1:
                 out += states()
                 group, persons = component, _Persons()
             if known:
@@ -180,8 +181,14 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _run_fold(rows: DataFrame) -> DataFrame:
-    return rows.select(*_FOLD_IN).repartition("component").sortWithinPartitions(
-        "component", F.desc("known"), "seq").mapInPandas(_fold_batches, _FOLD_OUT)
+    """Fold rows group by group.
+
+    The row number is there for its requirement: a window makes Spark guarantee that a
+    group is whole in one partition and in order, also after adaptive re-planning. A bare
+    repartition in front of a Python map is only a hint and may be optimised away.
+    """
+    order = W.partitionBy("component").orderBy(F.desc("known"), "seq")
+    return rows.select(*_FOLD_IN, F.row_number().over(order).alias("nth")).mapInPandas(_fold_batches, _FOLD_OUT)
 
 
 def _fold_in_slices(big: DataFrame, size: int) -> DataFrame:
