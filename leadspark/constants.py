@@ -49,6 +49,8 @@ WALL_PATH_RX = r"(?iu)authwall|/login|/signin|/checkpoint|/uas/login|captcha"
 # The characters counted as white space, written as a regex class body.
 WS = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PLACEHOLDERS = ["", "n/a", "na", "nan", "none", "null", "unknown", "not mentioned", "-"]
 EMAIL_TRIM_CHARS = " .,;:()<>[]\"'"
 MAX_EVIDENCE_CHARS = 600

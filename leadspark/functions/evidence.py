@@ -9,21 +9,38 @@ from leadspark import constants as K
 from leadspark.functions import text as T
 
 
-def _words(col: Column) -> Column:
+# The same matches as EMAIL_RX: an address can only start where a run of its characters
+# starts or where the match before ended, so other places are skipped.
+_EMAIL_SCAN = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + K.EMAIL_RX.replace("+@", "++@", 1)
+# The same matches as PHONE_RX, with a cheap first look at the character.
+_PHONE_SCAN = r"(?=[+\p{Nd}])" + K.PHONE_RX
+_DIGITS_NEAR = r"\p{Nd}[^\p{L}]?\p{Nd}[^\p{L}]?\p{Nd}"
+
+
+def words(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def grounded_share(evidence: Column, content: Column) -> Column:
-    """Share of the evidence words, counted with repeats, found on the page.
+def words_share(quoted: Column, page_words: Column) -> Column:
+    """Share of ``quoted`` words, counted with repeats, that are among ``page_words``.
 
-    The page is reduced with one hash intersection to the few words that matter, so
-    the cost is linear in the page and never words x words.
+    One hash difference against the page leaves the words it lacks. Repeats are then
+    counted against the smaller of lacking and found words, so a quote that is fully on
+    the page costs no more than that one pass.
     """
-    page = F.split(F.lower(content), "[^a-z0-9]+")
-    share = lambda s: F.when(F.size(s["words"]) > 0, F.size(
-        F.filter(s["words"], lambda w: F.array_contains(s["found"], w))) / F.size(s["words"]))
-    return T.let(_words(evidence), lambda w: T.let(
-        F.struct(w.alias("words"), F.array_intersect(w, page).alias("found")), share))
+    def share(s: Column) -> Column:
+        within = lambda xs: F.size(F.filter(s["w"], lambda w: F.array_contains(xs, w)))
+        few = F.size(s["lacking"]) * 2 <= F.size(F.array_distinct(s["w"]))
+        hits = F.when(few, F.size(s["w"]) - within(s["lacking"])).otherwise(
+            T.let(F.array_except(s["w"], s["lacking"]), within))
+        return F.when(F.size(s["w"]) > 0, hits / F.size(s["w"]))
+
+    return T.let(quoted, lambda w: T.let(
+        F.struct(w.alias("w"), F.array_except(w, page_words).alias("lacking")), share))
+
+
+def grounded_share(evidence: Column, content: Column) -> Column:
+    return words_share(words(evidence), F.split(F.lower(content), "[^a-z0-9]+"))
 
 
 def is_grounded(evidence: Column, content: Column) -> Column:
@@ -38,9 +55,10 @@ def email_on_page(email: Column, content: Column) -> Column:
 
 
 def page_phone_keys(content: Column) -> Column:
-    """Last ten digits of every phone-like run."""
-    runs = F.transform(F.regexp_extract_all(content, F.lit(K.PHONE_RX), F.lit(0)), T.digits)
-    return F.transform(F.filter(runs, lambda d: F.length(d) >= 8), lambda d: F.right(d, F.lit(10)))
+    """Last ten digits of every phone-like run; texts without digits close together have none."""
+    runs = F.transform(F.regexp_extract_all(content, F.lit(_PHONE_SCAN), F.lit(0)), T.digits)
+    keys = F.transform(F.filter(runs, lambda d: F.length(d) >= 8), lambda d: F.right(d, F.lit(10)))
+    return F.when(content.rlike(_DIGITS_NEAR), keys).otherwise(F.array().cast("array<string>"))
 
 
 def phone_on_page(phone: Column, content: Column) -> Column:
@@ -102,12 +120,13 @@ def _phone_shaped(m: Column) -> Column:
 
 
 def email_mentions(text: Column) -> Column:
-    found = _first_values(_mentions(text, "EMAIL", K.EMAIL_RX))
+    found = _first_values(_mentions(text, "EMAIL", _EMAIL_SCAN))
     return F.when(text.contains("@"), found).otherwise(F.array().cast(MENTIONS))
 
 
 def phone_mentions(text: Column) -> Column:
-    return _first_values(F.filter(_mentions(text, "PHONE", K.PHONE_RX), _phone_shaped))
+    found = _first_values(F.filter(_mentions(text, "PHONE", _PHONE_SCAN), _phone_shaped))
+    return F.when(text.rlike(_DIGITS_NEAR), found).otherwise(F.array().cast(MENTIONS))
 
 
 def mention_context(text: Column, m: Column) -> Column:

@@ -17,23 +17,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BLANKS = " " * len(K.WS_CHARS)
+
+
 def collapse(col: Column) -> Column:
-    """One space for every run of white space, none at the ends."""
-    return F.btrim(F.regexp_replace(col, f"[{K.WS}]+", " "))
+    """One space for every run of white space, none at the ends.
+
+    Single blanks, nearly all of them, are left alone by the pattern.
+    """
+    return F.btrim(F.regexp_replace(F.translate(col, K.WS_CHARS, _BLANKS), " {2,}", " "))
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{K.WS}]+|[{K.WS}]+$", "")
+    return F.btrim(col, F.lit(K.WS_CHARS))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, f"[{K.WS}]+$", "")
+    return F.rtrim(col, F.lit(K.WS_CHARS))
 
 
 def clean_str(col: Column) -> Column:
     """Collapsed text; placeholders become null."""
-    tidy = collapse(col)
-    return F.when(~F.lower(tidy).isin(K.PLACEHOLDERS), tidy)
+    return let(collapse(col), lambda tidy: F.when(~F.lower(tidy).isin(K.PLACEHOLDERS), tidy))
 
 
 def clean_list(arr: Column) -> Column:
@@ -63,20 +68,20 @@ def digits(col: Column) -> Column:
 
 def clean_email(col: Column) -> Column:
     bare = F.regexp_replace(F.btrim(clean_str(col), F.lit(K.EMAIL_TRIM_CHARS)), "^mailto:", "")
-    return F.when(bare.rlike("^" + K.EMAIL_RX + "$"), F.lower(bare))
+    return let(bare, lambda b: F.when(b.rlike("^" + K.EMAIL_RX + "$"), F.lower(b)))
 
 
 def clean_phone(col: Column) -> Column:
-    value = clean_str(col)
-    d = digits(value)
-    plus = F.when(F.regexp_extract(value, r"\+?\p{Nd}", 0).startswith("+"), "+").otherwise("")
-    return F.when(F.length(d).between(8, 15), F.concat(plus, d))
+    def kept(s: Column) -> Column:
+        plus = F.when(F.regexp_extract(s["v"], r"\+?\p{Nd}", 0).startswith("+"), "+").otherwise("")
+        return F.when(F.length(s["d"]).between(8, 15), F.concat(plus, s["d"]))
+
+    return let(clean_str(col), lambda v: let(F.struct(v.alias("v"), digits(v).alias("d")), kept))
 
 
 def cap_evidence(col: Column) -> Column:
-    value = clean_str(col)
-    return F.when(F.length(value) > K.MAX_EVIDENCE_CHARS, F.concat(
-        rstrip(F.substring(value, 1, K.MAX_EVIDENCE_CHARS - 1)), F.lit("…"))).otherwise(value)
+    return let(clean_str(col), lambda v: F.when(F.length(v) > K.MAX_EVIDENCE_CHARS, F.concat(
+        rstrip(F.substring(v, 1, K.MAX_EVIDENCE_CHARS - 1)), F.lit("…"))).otherwise(v))
 
 
 def absolute_url(col: Column) -> Column:
@@ -112,13 +117,17 @@ def slug(col: Column) -> Column:
 
 def _spelled(word: str) -> str:
     edge = r"[\p{L}\p{N}_]"
-    return rf"(?iu)[{K.WS}]*(?:\[{word}\]|\({word}\)|\{{{word}\}}|(?<!{edge}){word}(?!{edge}))[{K.WS}]*"
+    # the look-ahead only lets the search skip places where nothing can start
+    return rf"(?=[{word[0]}\[({{])(?:\[{word}\]|\({word}\)|\{{{word}\}}|(?<!{edge}){word}(?!{edge}))"
 
 
 def compact(col: Column) -> Column:
-    """Lower case, spelled-out "at" / "dot" as signs, no white space at all."""
+    """Lower case, spelled-out "at" / "dot" as signs, no white space at all.
+
+    White space around the words needs no pattern of its own: it is removed in the end.
+    """
     signs = F.regexp_replace(F.regexp_replace(F.lower(col), _spelled("at"), "@"), _spelled("dot"), ".")
-    return F.regexp_replace(signs, f"[{K.WS}]+", "")
+    return F.translate(signs, K.WS_CHARS, "")
 
 
 def clean_markdown(col: Column) -> Column:

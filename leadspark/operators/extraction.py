@@ -13,6 +13,7 @@ from leadspark import constants as K
 from leadspark.functions import evidence as E
 from leadspark.functions import text as T
 from leadspark.functions import urls as U
+from leadspark.operators.keyed import fence
 from leadspark.schemas import LIST_FIELDS, PERSON, PERSON_FIELDS, RECORD_FIELDS
 
 PEOPLE = f"array<struct<{PERSON.replace(' ', ':').replace(',:', ',')}>>"
@@ -67,7 +68,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         (F.coalesce(p[f], F.array().cast("array<string>")) if f in LIST_FIELDS else p[f]).alias(f)
         for f in PERSON_FIELDS]))
     keep = [c for c in replies.columns if c not in ("reply", "error_kind")]
-    return d.select(*keep, people.alias("people"), kind.alias("error_kind"))
+    return fence(d.select(*keep, people.alias("people"), kind.alias("error_kind")))
 
 
 def _well_typed(item: Column) -> Column:
@@ -94,22 +95,26 @@ def verified_people(pages: DataFrame) -> DataFrame:
     unless they are on the page and the person's own. Everything taken from the page is
     prepared once per page, not once per person.
     """
-    content = F.col("content")
-    d = pages.select(
-        "url", "content", "people", F.lower(content).alias("_low"), T.compact(content).alias("_compact"),
-        F.array_distinct(F.split(F.lower(content), "[^a-z0-9]+")).alias("_words"),
-        E.page_phone_keys(content).alias("_phones"),
-        F.arrays_zip(F.regexp_extract_all(content, F.lit(K.THREAD_LINE_RX), F.lit(1)).alias("a"),
-                     F.regexp_extract_all(content, F.lit(K.THREAD_LINE_RX), F.lit(2)).alias("b")).alias("_raw"))
-    d = d.withColumn("_lines", F.transform("_raw", lambda x: F.struct(
+    content, text = F.col("content"), F.array().cast("array<string>")
+    filled = lambda v: F.coalesce(v, F.lit("")) != ""
+    has = lambda f: F.exists("people", lambda p: filled(p[f]))
+    d = fence(pages.select("url", "content", "people", F.lower(content).alias("_low")))
+    # what only contacts need is left out on pages whose people have none
+    spelled = F.exists("people", lambda p: filled(p["email"]) & ~F.col("_low").contains(F.lower(T.strip(p["email"]))))
+    lines = F.transform(F.regexp_extract_all(content, F.lit(K.THREAD_LINE_RX), F.lit(0)), lambda x: F.struct(
+        F.regexp_extract(x, K.THREAD_LINE_RX, 1).alias("a"), F.regexp_extract(x, K.THREAD_LINE_RX, 2).alias("b")))
+    lines = F.transform(lines, lambda x: F.struct(
         F.lower(T.strip(x["a"])).alias("who"), x["b"].alias("text"), F.lower(x["b"]).alias("low"),
-        T.compact(x["b"]).alias("compact")))).drop("_raw", "content")
-    words = lambda p: F.filter(F.split(F.lower(p["evidence_snippet"]), "[^a-z0-9]+"), lambda w: w != "")
-    grounded = lambda p: T.let(words(p), lambda ws: T.let(
-        F.struct(ws.alias("w"), F.array_intersect(ws, F.col("_words")).alias("f")),
-        lambda s: (F.size(s["w"]) > 0) & (F.size(F.filter(s["w"], lambda w: F.array_contains(s["f"], w)))
-                                          / F.size(s["w"]) >= K.GROUNDING_MIN_OVERLAP)))
-    kept = d.withColumn("_kept", F.filter("people", lambda p: F.coalesce(grounded(p), F.lit(False))))
+        T.compact(x["b"]).alias("compact")))
+    d = fence(d.select(
+        "url", "people", "_low", F.when(spelled, T.compact(content)).otherwise("").alias("_compact"),
+        F.array_distinct(F.split("_low", "[^a-z0-9]+")).alias("_words"),
+        F.when(has("phone"), E.page_phone_keys(content)).otherwise(text).alias("_phones"),
+        F.when(has("email") | has("phone"), lines).otherwise(F.array().cast(
+            "array<struct<who:string,text:string,low:string,compact:string>>")).alias("_lines")))
+    share = lambda p: E.words_share(E.words(p["evidence_snippet"]), F.col("_words"))
+    kept = d.withColumn("_kept", F.filter("people", lambda p: F.coalesce(
+        share(p) >= K.GROUNDING_MIN_OVERLAP, F.lit(False))))
     return kept.select(
         "url", F.transform("_kept", _own_contacts).alias("people"), F.size("people").alias("n_people"),
         (F.size("people") - F.size("_kept")).alias("n_ungrounded"))
@@ -184,7 +189,7 @@ def validated(rows: DataFrame) -> DataFrame:
     clean |= {"email": T.clean_email(c("email")), "phone": T.clean_phone(c("phone")),
               "evidence_snippet": T.cap_evidence(c("evidence_snippet")), "source_url": T.absolute_url(c("source_url"))}
     extras = [x for x in rows.columns if x not in RECORD_FIELDS]
-    return rows.select(*extras, *[clean[f].alias(f) for f in RECORD_FIELDS]).withColumn(
+    return fence(rows.select(*extras, *[clean[f].alias(f) for f in RECORD_FIELDS])).withColumn(
         "valid", c("source_url").isNotNull())
 
 

@@ -80,6 +80,15 @@ def attach(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None =
     return fast.unionByName(slow)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-element generator.
+
+    The optimizer neither pushes filters below it nor inlines the columns above it, so a
+    costly column is computed once, whatever uses it (a filter, or a lambda over an array).
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_f")).select("_f.*")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder of the cluster and forget the lineage."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadspark import constants as K
 from leadspark.functions import text as T
 from leadspark.functions import urls as U
+from leadspark.operators.keyed import fence
 
 
 def classify(final_url: Column, status: Column, ctype: Column, text: Column) -> Column:
@@ -53,7 +54,7 @@ def _outcome(ok: bool, blocked: bool, error: Column) -> Column:
 
 
 def with_outcome(df: DataFrame, outcome: Column, keep: list[str]) -> DataFrame:
-    d = df.select(*keep, outcome.alias("_o"))
+    d = fence(df.select(*keep, outcome.alias("_o")))
     return d.select(*keep, "_o.ok", "_o.blocked", "_o.error")
 
 
