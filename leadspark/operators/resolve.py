@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leadspark.functions import text as T
+from leadspark.operators import keyed
 from leadspark.operators.keyed import attach, cut, first_per, hot_keys, with_ordinal
 from leadspark.schemas import LIST_FIELDS, RECORD_FIELDS
 
@@ -260,11 +261,16 @@ def _work_rows(sigs: DataFrame, base: DataFrame) -> DataFrame:
     d = cut(d)
     one = d.filter("NOT _all").select("component", F.col("rep").alias("seq"), *MATCH)
     every = d.filter("_all").select("sig", "component")
-    hot = cut(d.filter("_all").filter(F.col("n") >= 10_000).orderBy(F.desc("n")).limit(1_000).select("sig"))
+    hot = _hot_signatures(d.filter("_all"))
     rows = attach(base, every, "sig", hot).filter("component IS NOT NULL").select("component", "seq", *MATCH)
     return one.unionByName(rows)
 
 
+def _hot_signatures(sigs: DataFrame) -> DataFrame:
+    """The most frequent signatures, at most HOT_SHARE of them."""
+    return cut(sigs.filter(F.col("n") >= keyed.HOT_MIN_ROWS).orderBy(F.desc("n")).limit(keyed.HOT_SHARE).select("sig"))
+
+
 def _assign(work: DataFrame, base: DataFrame, sigs: DataFrame, group_limit: int) -> DataFrame:
     work = cut(work)
     sizes = cut(work.groupBy("component").agg(F.count("*").alias("_size")).filter("_size > 1"))
@@ -279,7 +285,7 @@ def _assign(work: DataFrame, base: DataFrame, sigs: DataFrame, group_limit: int)
     reps = sigs.filter("n > 1").select("sig", "rep").join(
         folded.select(F.col("seq").alias("rep"), F.col("leader").alias("_rep_leader")), "rep", "left").select(
         "sig", F.coalesce("_rep_leader", "rep").alias("_sig_leader"))
-    hot = cut(sigs.filter(F.col("n") >= 10_000).orderBy(F.desc("n")).limit(1_000).select("sig"))
+    hot = _hot_signatures(sigs)
     return attach(base.select("seq", "sig"), reps, "sig", hot).join(folded, "seq", "left").select(
         "seq", F.coalesce("leader", "_sig_leader", "seq").alias("leader"))
 

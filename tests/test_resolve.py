@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from leadspark.operators import keyed
 from leadspark.operators import resolve as R
 from leadspark.operators.keyed import cut
 from leadspark.plans import driver_views as V
@@ -89,6 +90,13 @@ def test_names_with_many_stored_places(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_hot_keys_take_the_map_side_path(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "HOT_MIN_ROWS", 2)
+    rows, stored = case(6)
+    rows += [dict(r, seq=1000 + i) for i, r in enumerate(rows[:30])]
+    assert resolved(spark, rows, stored) == direct(rows, stored)
+
+
 def test_order_case(spark):
     base = dict(current_role=None, skills=[], current_location=None, target_countries=[], evidence_snippet=None, platform=None, name="Ann Lee")
     a, b, c = (dict(base, email=e, phone=p) for e, p in ((None, "1111122222"), ("a@x.com", None), ("b@x.com", None)))
