@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Keys this frequent are joined map-side: at most HOT_SHARE of them can exist per key column.
+# Keys with more than 1/HOT_SHARE of all rows are joined map-side (fewer than HOT_SHARE can
+# exist), but only when that is too much for one task.
 HOT_SHARE = 1_000
-HOT_MIN_ROWS = 10_000
+HOT_MIN_ROWS = 1_000_000
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:

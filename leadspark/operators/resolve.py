@@ -266,8 +266,11 @@ def _work_rows(sigs: DataFrame, base: DataFrame) -> DataFrame:
     return one.unionByName(rows)
 
 
-def _hot_signatures(sigs: DataFrame) -> DataFrame:
-    """The most frequent signatures, at most HOT_SHARE of them."""
+def _hot_signatures(sigs: DataFrame) -> DataFrame | None:
+    """The most frequent signatures, at most HOT_SHARE of them; None when none is frequent."""
+    most = sigs.agg(F.max("n")).first()[0] or 0
+    if most < keyed.HOT_MIN_ROWS:
+        return None
     return cut(sigs.filter(F.col("n") >= keyed.HOT_MIN_ROWS).orderBy(F.desc("n")).limit(keyed.HOT_SHARE).select("sig"))
 
 
