@@ -25,6 +25,7 @@ from leadspark.llm.common import numbered, stored, whole_text
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 500_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Runs:
@@ -168,17 +169,33 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
 
         tokenizer = Tokenizer.from_str(vocabulary)
 
-        class Known(dict):
-            def __missing__(self, chunk):
-                ids = tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-                value = b"".join(i.to_bytes(4, "little") for i in ids)
+        class Cache(dict):
+            def __init__(self, of):
+                super().__init__()
+                self.of = of
+
+            def __missing__(self, key):
+                value = self.of(key)
                 if len(self) >= CACHE_WORDS:
                     self.clear()
-                if len(chunk) <= 64:
-                    self[chunk] = value
+                if len(key) <= 64:
+                    self[key] = value
                 return value
 
-        known, end = Known(), end_id.to_bytes(4, "little")
+        def encode(part: bytes) -> bytes:
+            ids = tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
+            return b"".join(i.to_bytes(4, "little") for i in ids)
+
+        parts = Cache(encode)
+
+        def split(chunk: bytes) -> bytes:
+            """Ids of a chunk; a run of ASCII punctuation after a letter is a token group of its own."""
+            core = chunk.rstrip(PUNCTUATION)
+            if not core or b"<|" in chunk or not core.decode("utf-8", "replace")[-1].isalpha():
+                return parts[chunk]
+            return parts[core.lower()] + (parts[chunk[len(core):]] if len(core) < len(chunk) else b"")
+
+        known, end = Cache(split), end_id.to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
