@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, exact_dedup, licenses, packing, sharding, simhash, toxicity, url_filter
+from leadspark.llm import decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,11 @@ def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query("op6_bootstrapped_pii")
+def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query("op8_url_digest_array", url_filter.SQL)
 def url_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
