@@ -28,6 +28,13 @@ CACHE_WORDS = 500_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def public_vocabulary() -> str:
+    """The vocabulary file of the packing query and of the pipeline's last stage."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 class _Runs:
     """Takes pieces of each length in order of their number and notes where they go."""
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash, toxicity, url_filter
+import corpus_pipeline
+from leadspark.llm import decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,16 +22,9 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def vocabulary() -> str:
-    """The vocabulary file that the packing query is defined on."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("word_bpe_49k.json"))
-
-
 @_query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), packing.public_vocabulary())
 
 
 @_query("op2_spaced_seed_decontamination")
@@ -58,6 +52,11 @@ def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query("op7_suffix_prefix_doubling")
+def suffix_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query("op8_url_digest_array", url_filter.SQL)
 def url_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -71,3 +70,8 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_exact_dedup", exact_dedup.SQL)
 def exact_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
