@@ -55,6 +55,17 @@ def text_mark(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def slices_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,15 +94,17 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     ``_mark`` is ``text_mark``. Only where keys name repeated rows is a second pass made, over those
     rows alone; which keys do is decided by a count over narrow columns.
     """
-    columns = docs.columns
-    marked = docs.withColumns({"_id": F.col("doc_id"), "_mark": text_mark()})
+    id_, mark = fresh(docs, "_id", "_mark")
+    marked = docs.withColumns({id_: F.col("doc_id"), mark: text_mark()})
+
+    def named(by: DataFrame) -> list[Column]:
+        return [marked[id_].eqNullSafe(by["_id"]), marked[mark] == by["_mark"]]
+
     keys = stored(keys.select("_id", "_mark").dropDuplicates())
-    same = [marked["_id"].eqNullSafe(keys["_id"]), marked["_mark"] == keys["_mark"]]
-    kept = marked.join(keys, same, "left_semi")
-    repeated = marked.select("_id", "_mark").groupBy("_id", "_mark").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    repeated = stored(repeated)
+    kept = marked.join(keys, named(keys), "left_semi")
+    repeated = stored(docs.select(F.col("doc_id").alias("_id"), text_mark().alias("_mark")).groupBy("_id", "_mark")
+                      .agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if repeated.isEmpty():
-        return kept.select(*columns)
-    twice = [kept["_id"].eqNullSafe(repeated["_id"]), kept["_mark"] == repeated["_mark"]]
-    return (kept.join(repeated, twice, "left_anti")
-            .unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["_id", "_mark"])).select(*columns))
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, named(repeated), "left_anti")
+    return once.unionByName(kept.join(repeated, named(repeated), "left_semi").dropDuplicates([id_, mark])).select(*docs.columns)

@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leadspark.llm.common import whole_text
+from leadspark.llm.common import fresh, whole_text
 
 MASKS = ("111111", "11011011", "1110100111", "1111011110")   # Fixed values
 LEAST = 13
@@ -126,7 +127,7 @@ class Table:
         return diagonal + lo + longest[0], longest[1]
 
 
-def _mapper(items: list[tuple[int, str]], masks: tuple[str, ...], least: int, similarity: float):
+def _mapper(items: list[tuple[int, str]], masks: tuple[str, ...], least: int, similarity: float, names: list[str]):
     """Arrow mapper: the columns as they come, with the findings added. The text is the last column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = Table(items, masks), _Ids()
@@ -157,7 +158,7 @@ def _mapper(items: list[tuple[int, str]], masks: tuple[str, ...], least: int, si
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([sorted(f) for f in found], pa.list_(pa.int64())),
                  pa.array([max(f.values(), default=0) for f in found], pa.int32())],
-                [*batch.schema.names, "_items", "_longest"])
+                [*batch.schema.names, *names])
     return run
 
 
@@ -169,11 +170,12 @@ def _blocks(tests: DataFrame) -> list[list[tuple[int, str]]]:
     return [[(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def _found(docs: DataFrame, items: list[tuple[int, str]], masks, least, similarity) -> DataFrame:
-    """``docs`` with _text, _items and _longest added."""
-    wide = docs.withColumn("_text", whole_text())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields)
-    return wide.mapInArrow(_mapper(items, masks, least, similarity), f"{schema}, _items array<long>, _longest int")
+def _found(docs: DataFrame, items: list[tuple[int, str]], masks, least, similarity) -> tuple[DataFrame, str, str]:
+    """``docs`` with the findings added, and the names of their two columns."""
+    text, names = fresh(docs, "_text")[0], fresh(docs, "_items", "_longest")
+    wide = docs.withColumn(text, whole_text())
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in wide.schema]).add(names[0], T.ArrayType(T.LongType())).add(names[1], T.IntegerType())
+    return wide.mapInArrow(_mapper(items, masks, least, similarity, names), schema), *names
 
 
 def contamination(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST,
@@ -185,7 +187,7 @@ def contamination(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...] = MA
     """
     narrow = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     blocks = _blocks(tests)
-    parts = [_found(narrow, block, masks, least, similarity).select("_row", "doc_id", "_items", "_longest") for block in blocks]
+    parts = [_found(narrow, block, masks, least, similarity)[0].select("_row", "doc_id", "_items", "_longest") for block in blocks]
     if len(parts) == 1:
         out = parts[0]
     else:
@@ -202,5 +204,6 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...]
     """``docs`` without the contaminated rows, all columns unchanged. One pass for each block of test items."""
     out = docs
     for block in _blocks(tests):
-        out = _found(out, block, masks, least, similarity).filter("size(_items) = 0").select(*docs.columns)
+        marked, items, _ = _found(out, block, masks, least, similarity)
+        out = marked.filter(F.size(items) == 0).select(*docs.columns)
     return out

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leadspark.llm.common import text_mark, whole_text
+from leadspark.llm.common import fresh, text_mark, whole_text
 
 SAMPLE = 12_000         # most labelled texts that training sees
 FEATURES = 1 << 18
@@ -55,9 +56,19 @@ def features(word: bytes) -> list[int]:
     return [xxhash.xxh64_intdigest(x) % FEATURES for x in ["w" + s, *("p" + s[:k] for k in range(4, 9) if len(s) > k)]]
 
 
-def swaps(sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> dict[bytes, bytes]:
-    """Each identity term to the next one of its set."""
-    return {a.encode(): b.encode() for terms in sets for a, b in zip(terms, terms[1:] + terms[:1])}
+def terms_of(sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> dict[bytes, tuple[int, tuple[bytes, ...]]]:
+    """Each identity term to its place in its set and the set."""
+    return {t.encode(): (i, tuple(x.encode() for x in terms)) for terms in sets for i, t in enumerate(terms)}
+
+
+def counterfactual(bag: Counter, terms: dict[bytes, tuple[int, tuple[bytes, ...]]], turn: int) -> Counter:
+    """The words with each identity term swapped for another of its set; ``turn`` says which. Empty without any term."""
+    out: Counter = Counter()
+    if any(w in terms for w in bag):
+        for w, n in bag.items():
+            i, own = terms.get(w, (0, (w,)))
+            out[own[(i + 1 + turn % max(1, len(own) - 1)) % len(own)]] += n
+    return out
 
 
 def vector(bag: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -71,17 +82,14 @@ def vector(bag: Counter) -> tuple[np.ndarray, np.ndarray]:
     return np.array(index, dtype=np.int32), v / max(1e-9, math.sqrt(float((v * v).sum())))
 
 
-def _training_rows(swap: dict[bytes, bytes]):
+def _training_rows(terms: dict[bytes, tuple[int, tuple[bytes, ...]]]):
     """Arrow mapper from (label, fold, text) to vectors; the counterfactual ones are empty without identity terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column(2).to_pylist():
                 bag = words(text)
-                other: Counter = Counter()
-                if any(w in swap for w in bag):
-                    for w, n in bag.items():
-                        other[swap.get(w, w)] += n
+                other = counterfactual(bag, terms, xxhash.xxh32_intdigest(text.encode("utf-8", "replace")))
                 for column, array in zip(out, (*vector(bag), *vector(other))):
                     column.append(array)
             yield pa.RecordBatch.from_arrays(
@@ -153,7 +161,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, fairness: float = FAIRNESS,
     few = labelled.filter("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), text_mark().alias("mark"), whole_text().alias("text")).orderBy(
         "mark", "label").limit(sample)
     rows = few.select("label", F.pmod(F.xxhash64("mark"), F.lit(CALIBRATION)).cast("int").alias("fold"), "text").repartition(
-        16).mapInArrow(_training_rows(swaps(sets)), "label int, fold int, index array<int>, value array<float>, other_index array<int>, other_value array<float>")
+        16).mapInArrow(_training_rows(terms_of(sets)), "label int, fold int, index array<int>, value array<float>, other_index array<int>, other_value array<float>")
     got = rows.toArrow()
     x = list(zip(*[[np.asarray(v) for v in _arrays(got.column(c))] for c in ("index", "value", "other_index", "other_value")]))
     y, fold = (got.column(c).to_numpy().astype(np.int64) for c in ("label", "fold"))
@@ -172,7 +180,7 @@ def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
             yield flat[lo:hi]
 
 
-def _scorer(weights, bias: float):
+def _scorer(weights, bias: float, name: str):
     """Arrow mapper: the columns as they come and the score. The text is the last column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -195,16 +203,17 @@ def _scorer(weights, bias: float):
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, logit)))))
                 if len(numbers) > 500_000:
                     numbers.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _text and _score added."""
+def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """``docs`` with the score added, and the name of its column."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)      # FEATURES numbers, whatever the data
-    wide = docs.withColumn("_text", whole_text())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields)
-    return wide.mapInArrow(_scorer(weights, model.bias), f"{schema}, _score double")
+    text, score = fresh(docs, "_text", "_score")
+    wide = docs.withColumn(text, whole_text())
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in wide.schema]).add(score, T.DoubleType())
+    return wide.mapInArrow(_scorer(weights, model.bias, score), schema), score
 
 
 def held_out() -> F.Column:
@@ -223,13 +232,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     A null text counts as empty. A null doc_id is never labelled and not held out. Repeated rows have equal scores. Only doc_id and text of ``docs`` are read.
     """
-    model = train(labelled_rows(docs, labels))
-    return scored(docs.select("doc_id", "text"), model).select(
-        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    rows, score = scored(docs.select("doc_id", "text"), train(labelled_rows(docs, labels)))
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col(score).alias("score"),
+                       (F.col(score) >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``, all columns unchanged."""
-    model = train(labelled_rows(docs, labels))
-    return scored(docs, model).filter(F.col("_score") < threshold).select(*docs.columns)
+    rows, score = scored(docs, train(labelled_rows(docs, labels)))
+    return rows.filter(F.col(score) < threshold).select(*docs.columns)
