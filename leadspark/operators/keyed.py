@@ -1,6 +1,4 @@
-"""Building blocks shared by the operators: first row per key, exact row numbers,
-joins against one row per key, and lineage cuts. All of them hold when one key
-carries a large part of the rows."""
+"""Building blocks shared by the operators: first rows per key, exact row numbers, fences and lineage cuts."""
 
 from __future__ import annotations
 
@@ -10,11 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Keys with more than 1/HOT_SHARE of all rows are joined map-side (fewer than HOT_SHARE can
-# exist), but only when that is too much for one task.
-HOT_SHARE = 1_000
-HOT_MIN_ROWS = 1_000_000
-
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key.
@@ -27,8 +20,6 @@ def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def cap_per(df: DataFrame, keys: list[str], order: list, n: int, keep_as: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key, with their 1-based position when ``keep_as`` is set."""
-    if n >= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        raise ValueError("cap above the group-limit threshold: use with_ordinal and filter instead")
     name = keep_as or "_rn"
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
     return out if keep_as else out.drop(name)
@@ -53,34 +44,6 @@ def with_ordinal(df: DataFrame, group: list[str], order: str, out: str, slices:
     return d.join(shift, [*group, "_slice"]).withColumn(out, local + F.col("_shift")).drop("_slice", "_shift")
 
 
-def hot_keys(df: DataFrame, key: str, total: int) -> DataFrame | None:
-    """(key) carried by more than 1/HOT_SHARE of all rows: fewer than HOT_SHARE keys by arithmetic.
-
-    None when the table is too small to have any.
-    """
-    floor = max(HOT_MIN_ROWS, total // HOT_SHARE + 1)
-    if total < floor:
-        return None
-    return cut(df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= floor).select(key))
-
-
-def attach(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
-    """Left join with ``right``, which has one row per key.
-
-    The hot keys' rows of ``right`` are broadcast (at most HOT_SHARE rows), the rest is a
-    plain equi-join from which hot and null keys are left out.
-    """
-    if hot is None:
-        return left.join(right, key, "left")
-    values = [c for c in right.columns if c != key]
-    few = right.join(F.broadcast(hot), key, "left_semi").select(
-        key, F.struct(*values).alias("_hot"))
-    marked = left.join(F.broadcast(few), key, "left")
-    fast = marked.filter("_hot IS NOT NULL").select(*left.columns, *[f"_hot.{v}" for v in values])
-    slow = marked.filter("_hot IS NULL").drop("_hot").join(right, key, "left").select(*left.columns, *values)
-    return fast.unionByName(slow)
-
-
 def fence(df: DataFrame) -> DataFrame:
     """The same rows behind a one-element generator.
 

@@ -1,18 +1,12 @@
 """Which records are the same person.
 
-Rows are folded in order: a row joins the first earlier person it matches and fills that
-person's blanks, else it starts a new person. The outcome depends on the order, so the
-fold itself is sequential per group of linked rows; the work around it keeps those groups
-small and independent:
-
-1. Rows with equal matching fields collapse to one signature wherever that cannot change
-   the outcome (see ``_work_rows``), by a partially aggregated groupBy.
-2. Signatures that share an e-mail, phone or full name are linked by distributed label
-   propagation over keys. No pairs are built.
-3. Linked groups are folded by an Arrow-batched streaming pass over rows sorted by group.
-4. A group above ``group_limit`` rows is folded in slices of that size, with the state of
-   its persons kept in a table between slices; only the persons a slice can possibly reach
-   are loaded, so no task ever holds the group.
+Records come in batches of a few pages. Inside a batch rows are folded in order: a row joins the first earlier person it
+matches and fills that person's blanks, else it starts a new person. The outcome depends on the order, so the fold is
+sequential inside a batch; batches are small and independent, and are folded side by side in one Arrow-batched pass over rows
+sorted by batch. Afterwards the persons of a batch meet stored rows and the persons of earlier batches by equi-joins on
+pre-aggregated keys: e-mail, phone, and name with place. A later batch's value wins over an earlier one.
+
+No step looks at the size of a group to choose its way.
 """
 
 from __future__ import annotations
@@ -26,14 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leadspark.functions import text as T
-from leadspark.operators import keyed
-from leadspark.operators.keyed import attach, cut, first_per, hot_keys, with_ordinal
+from leadspark.operators.keyed import cut
 from leadspark.schemas import LIST_FIELDS, RECORD_FIELDS
 
 MATCH = ["m", "named", "loc", "e", "p"]
-GROUP_LIMIT = 50_000
-# A name stored with at most this many (place, contact) classes is compared directly.
-DIRECT_CLASSES = 64
 
 
 # --- matching fields ---------------------------------------------------------------
@@ -66,22 +56,17 @@ def linked_groups(edges: DataFrame) -> DataFrame:
 
     Every id starts with its own number. Each round a key takes the smallest label of its
     ids, an id the smallest of its keys, and then the label of that label (which halves
-    long chains). Labels only shrink, so an unchanged sum means that nothing moved.
+    long chains). Labels only shrink, so an unchanged sum means that nothing moved. Frequent keys are
+    pre-aggregated on one side of each join and split by adaptive execution on the other.
     """
     edges = cut(edges.select("id", "key"))
-    total = edges.count()
-    hot = hot_keys(edges, "key", total)
     labels = cut(edges.select("id").distinct().withColumn("component", F.col("id")))
     checksum = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
     while True:
-        tagged = edges.join(labels, "id")
-        low = tagged.groupBy("key").agg(F.min("component").alias("component"))
-        per_id = attach(edges, low, "key", hot).groupBy("id").agg(F.min("component").alias("step"))
-        per_id = cut(per_id)
+        low = edges.join(labels, "id").groupBy("key").agg(F.min("component").alias("component"))
+        per_id = cut(edges.join(low, "key").groupBy("id").agg(F.min("component").alias("step")))
         jump = per_id.select(F.col("id").alias("step"), F.col("step").alias("component"))
-        big = hot_keys(per_id, "step", total)
-        labels = cut(attach(per_id, jump, "step", big).select(
-            "id", F.least("step", "component").alias("component")))
+        labels = cut(per_id.join(jump, "step", "left").select("id", F.least("step", "component").alias("component")))
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == checksum:
             return labels
@@ -93,17 +78,51 @@ def _head(place: str) -> str:
     return place.split(",")[0].strip()
 
 
+def _grams(place: str) -> set[str]:
+    """All pieces of one to three characters, and the empty one."""
+    return {place[i:i + n] for n in (1, 2, 3) for i in range(len(place) - n + 1)} | {""}
+
+
+class _Places:
+    """Places seen under one name, found by the rule that the head of one lies inside the other."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+        self.by_head: dict[str, list[str]] = {}
+        self.lengths: set[int] = set()
+        self.by_gram: dict[str, list[str]] = {}
+
+    def add(self, place: str) -> None:
+        if place and place not in self.seen:
+            self.seen.add(place)
+            head = _head(place)
+            self.by_head.setdefault(head, []).append(place)
+            self.lengths.add(len(head))
+            for gram in _grams(place):
+                self.by_gram.setdefault(gram, []).append(place)
+
+    def agreeing(self, place: str) -> set[str]:
+        inner = {place[i:i + n] for n in self.lengths for i in range(len(place) - n + 1)}
+        found = {other for piece in inner if piece in self.by_head for other in self.by_head[piece]}
+        head = _head(place)
+        # The rarest piece of the head that is indexed leads to all places that can hold the head.
+        pieces = [head[i:i + 3] for i in range(max(1, len(head) - 2))]
+        rarest = min((self.by_gram.get(g, []) for g in pieces), key=len)
+        return found | {other for other in rarest if head in other}
+
+
 class _Persons:
-    """Persons found so far in one group, indexed for first-match lookups.
+    """Persons found so far in one batch, indexed for first-match lookups.
 
-    A person is known by the number of its first row, so the smallest number is the first.
+    A person is known by the number of its first row, so the smallest number is the first. Heaps may hold a
+    person under former fields; such entries are dropped when they come up.
     """
 
     def __init__(self) -> None:
         self.state: dict[int, list] = {}
         self.by_contact: dict[tuple[str, str], int] = {}
-        self.by_name: dict[str, dict[tuple, list[int]]] = {}
-        self.changed: set[int] = set()
+        self.by_name: dict[tuple, list[int]] = {}
+        self.places: dict[str, _Places] = {}
 
     def put(self, who: int, m: str, named: bool, loc: str, e: str, p: str) -> None:
         self.state[who] = [m, named, loc, e, p]
@@ -111,186 +130,62 @@ class _Persons:
             if key[1]:
                 self.by_contact[key] = min(who, self.by_contact.get(key, who))
         if m:
-            heapq.heappush(self.by_name.setdefault(m, {}).setdefault((loc, not e, not p), []), who)
-
-    def _named(self, m: str, loc: str, e: str, p: str) -> int | None:
-        best = None
-        for (place, no_mail, no_phone), heap in self.by_name.get(m, {}).items():
-            if (e and not no_mail) or (p and not no_phone):
-                continue    # equal contacts were looked up before, these differ
-            if loc and place and _head(place) not in loc and _head(loc) not in place:
-                continue
-            while heap:     # entries of persons that have moved to another class are stale
-                s = self.state[heap[0]]
-                if s[0] == m and (s[2], not s[3], not s[4]) == (place, no_mail, no_phone):
-                    break
-                heapq.heappop(heap)
-            if heap and (best is None or heap[0] < best):
-                best = heap[0]
-        return best
+            self.places.setdefault(m, _Places()).add(loc)
+            for place in (loc, None):       # None: whatever the place
+                heapq.heappush(self.by_name.setdefault((m, place, not e, not p), []), who)
+
+    def _first(self, m: str, place: str | None, no_mail: bool, no_phone: bool) -> int | None:
+        heap = self.by_name.get((m, place, no_mail, no_phone), [])
+        while heap:
+            name, _, loc, e, p = self.state[heap[0]]
+            if name == m and place in (None, loc) and (not e, not p) == (no_mail, no_phone):
+                return heap[0]
+            heapq.heappop(heap)
+        return None
+
+    def _named(self, m: str, loc: str, e: str, p: str) -> list[int]:
+        if m not in self.places:
+            return []
+        places = {"", *self.places[m].agreeing(loc)} if loc else [None]
+        # Equal contacts are looked up elsewhere: where the row has a contact the person must have none.
+        kinds = [(a, b) for a in (True, False) for b in (True, False) if (a or not e) and (b or not p)]
+        return [w for place in places for kind in kinds if (w := self._first(m, place, *kind)) is not None]
 
     def fold(self, seq: int, m: str, named: bool, loc: str, e: str, p: str) -> int:
-        found = [self.by_contact.get(("e", e)) if e else None, self.by_contact.get(("p", p)) if p else None,
-                 self._named(m, loc, e, p) if m else None]
-        found = [f for f in found if f is not None]
+        found = [w for key in (("e", e), ("p", p)) if key[1] and (w := self.by_contact.get(key)) is not None]
+        found += self._named(m, loc, e, p) if m else []
         if not found:
             self.put(seq, m, named, loc, e, p)
-            self.changed.add(seq)
             return seq
         who = min(found)
-        s = self.state[who]
-        filled = [s[0] if s[1] else m, s[1] or named, s[2] or loc, s[3] or e, s[4] or p]
-        if filled != s:
-            self.put(who, *filled)
-            self.changed.add(who)
+        old = self.state[who]
+        new = [old[0] if old[1] else m, old[1] or named, old[2] or loc, old[3] or e, old[4] or p]
+        if new != old:
+            self.put(who, *new)
         return who
 
 
-_FOLD_IN = ["component", "seq", "known", *MATCH]
-_FOLD_OUT = "seq long, leader long, component long, m string, named boolean, loc string, e string, p string"
-
-
-def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive grouped by component, known persons first, then by seq; one group is open at a time.
-
-    Emits (seq, leader) per row, and per changed person a row without seq holding its state.
-    """
-    group, persons, out = None, None, []
-
-    def states():
-        return [(None, w, group, *persons.state[w]) for w in persons.changed] if persons else []
-
-    names = [c.split()[0] for c in _FOLD_OUT.split(", ")]
-
-    def frame(rows):
-        d = pd.DataFrame(rows, columns=names)
-        d["seq"] = d["seq"].astype("Int64")
-        return d
-
-    for batch in batches:
-        for nth, component, seq, known, *fields in zip(*[batch[c].tolist() for c in ["nth", *_FOLD_IN]]):
-            if nth == 1:
-                out += states()
-                group, persons = component, _Persons()
-            if known:
-                persons.put(seq, *fields)
-            else:
-                out.append((seq, persons.fold(seq, *fields), component, None, None, None, None, None))
-        yield frame(out)
+def _fold_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(seq, leader) for rows that arrive batch by batch, each in order; one batch is open at a time."""
+    persons = _Persons()
+    for frame in frames:
         out = []
-    yield frame(states())
+        for nth, seq, *fields in zip(*[frame[c].tolist() for c in ["nth", "seq", *MATCH]]):
+            if nth == 1:
+                persons = _Persons()
+            out.append((seq, persons.fold(seq, *fields)))
+        yield pd.DataFrame(out, columns=["seq", "leader"])
 
 
-def _run_fold(rows: DataFrame) -> DataFrame:
-    """Fold rows group by group.
+def leaders(rows: DataFrame) -> DataFrame:
+    """(seq, leader): the first row, within its batch, of the person each row belongs to.
 
-    The row number is there for its requirement: a window makes Spark guarantee that a
-    group is whole in one partition and in order, also after adaptive re-planning. A bare
-    repartition in front of a Python map is only a hint and may be optimised away.
-    """
-    order = W.partitionBy("component").orderBy(F.desc("known"), "seq")
-    return rows.select(*_FOLD_IN, F.row_number().over(order).alias("nth")).mapInPandas(_fold_batches, _FOLD_OUT)
-
-
-def _fold_in_slices(big: DataFrame, size: int) -> DataFrame:
-    """(seq, leader) for groups of any size: slice after slice, persons kept in a table."""
-    d = cut(with_ordinal(big, ["component"], "seq", "_ord").withColumn(
-        "_slice_no", F.floor((F.col("_ord") - 1) / size)).drop("_ord"))
-    last = d.agg(F.max("_slice_no")).first()[0]
-    persons, done = None, []
-    for n in range((last if last is not None else -1) + 1):
-        rows = d.filter(F.col("_slice_no") == n).withColumn("known", F.lit(False)).select(*_FOLD_IN)
-        result = cut(_run_fold(rows if persons is None else rows.unionByName(_reachable(persons, rows, size))))
-        done.append(result.filter("seq IS NOT NULL").select("seq", "leader"))
-        moved = result.filter("seq IS NULL").select("component", F.col("leader").alias("seq"), *MATCH)
-        persons = cut(moved if persons is None else persons.join(moved, "seq", "left_anti").unionByName(moved))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _reachable(persons: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Persons a slice of at most ``size`` rows can match first.
-
-    By contact: all with an equal e-mail or phone. By name: persons of one name, place and
-    contact pattern are interchangeable but for their order, and a row changes at most one
-    person, so the first ``size`` of each class are enough, and the first one alone where
-    nothing is left to fill.
+    ``rows`` holds unique numbers ``seq`` that give the order, and ``batch``. The row number is there for its requirement: a window
+    makes Spark guarantee that a batch is whole in one partition and in order, also after adaptive re-planning.
     """
-    by = lambda c: persons.join(rows.filter(F.col(c) != "").select(c).distinct(), c, "left_semi")
-    named = by("m").withColumn("_full", (F.col("loc") != "") & (F.col("e") != "") & (F.col("p") != ""))
-    kinds = ["m", "loc", "_no_e", "_no_p"]
-    classed = named.withColumn("_no_e", F.col("e") == "").withColumn("_no_p", F.col("p") == "")
-    full = first_per(classed.filter("_full"), kinds, ["seq"])
-    part = with_ordinal(cut(classed.filter("NOT _full")), kinds, "seq", "_k").filter(F.col("_k") <= size)
-    cols = ["component", "seq", *MATCH]
-    return by("e").select(*cols).unionByName(by("p").select(*cols)).unionByName(full.select(*cols)).unionByName(
-        part.select(*cols)).dropDuplicates(["seq"]).withColumn("known", F.lit(True)).select(*_FOLD_IN)
-
-
-# --- leaders -----------------------------------------------------------------------
-def leaders(rows: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(seq, leader): the first row of the person each row belongs to. ``seq`` is a unique bigint."""
-    base = cut(match_fields(rows, ["seq"]).withColumn("sig", F.concat_ws("\u0001", *MATCH)))
-    keyed = F.size(_keys(F.col("e"), F.col("p"), F.col("m"))) > 0
-    sigs = cut(base.filter(keyed).groupBy("sig", *MATCH).agg(F.min("seq").alias("rep"), F.count("*").alias("n")))
-    edges = sigs.select(F.col("rep").alias("id"), F.explode(_keys(F.col("e"), F.col("p"), F.col("m"))).alias("key"))
-    shared = cut(edges.groupBy("key").agg(F.count("*").alias("_k")).filter("_k > 1").select("key"))
-    link = edges.join(shared, "key", "left_semi")
-    groups = linked_groups(link)
-    contested = link.filter(~F.col("key").startswith("m:")).select(F.col("id").alias("rep")).distinct().withColumn(
-        "_contested", F.lit(True))
-    d = sigs.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(contested, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    d = _work_rows(cut(d), base)
-    return _assign(d, base, sigs, group_limit)
-
-
-def _work_rows(sigs: DataFrame, base: DataFrame) -> DataFrame:
-    """Rows the fold has to see: (component, seq, matching fields).
-
-    A later row with the signature of an earlier one goes where that one went and fills
-    nothing, unless some person in front of it starts to match only later. That takes a
-    person without a name that is given one, or a contact that also occurs with another
-    signature. Where neither exists in the group, one row stands for the signature.
-    """
-    nameless = sigs.groupBy("component").agg(F.bool_or(~F.col("named")).alias("_nameless")).filter("_nameless")
-    d = sigs.join(nameless, "component", "left").withColumn(
-        "_all", (F.col("n") > 1) & (F.col("_contested").isNotNull() | F.col("_nameless").isNotNull()))
-    d = cut(d)
-    one = d.filter("NOT _all").select("component", F.col("rep").alias("seq"), *MATCH)
-    every = d.filter("_all").select("sig", "component")
-    hot = _hot_signatures(d.filter("_all"))
-    rows = attach(base, every, "sig", hot).filter("component IS NOT NULL").select("component", "seq", *MATCH)
-    return one.unionByName(rows)
-
-
-def _hot_signatures(sigs: DataFrame) -> DataFrame | None:
-    """The most frequent signatures, at most HOT_SHARE of them; None when none is frequent."""
-    most = sigs.agg(F.max("n")).first()[0] or 0
-    if most < keyed.HOT_MIN_ROWS:
-        return None
-    return cut(sigs.filter(F.col("n") >= keyed.HOT_MIN_ROWS).orderBy(F.desc("n")).limit(keyed.HOT_SHARE).select("sig"))
-
-
-def _assign(work: DataFrame, base: DataFrame, sigs: DataFrame, group_limit: int) -> DataFrame:
-    work = cut(work)
-    sizes = cut(work.groupBy("component").agg(F.count("*").alias("_size")).filter("_size > 1"))
-    linked = work.join(sizes, "component")
-    small = _run_fold(linked.filter(F.col("_size") <= group_limit).withColumn("known", F.lit(False)))
-    found = small.filter("seq IS NOT NULL").select("seq", "leader")
-    if sizes.filter(F.col("_size") > group_limit).limit(1).count():
-        found = found.unionByName(_fold_in_slices(
-            linked.filter(F.col("_size") > group_limit).select("component", "seq", *MATCH), group_limit))
-    folded = cut(found)
-    # rows that stood for their signature pass their person on to its other rows
-    reps = sigs.filter("n > 1").select("sig", "rep").join(
-        folded.select(F.col("seq").alias("rep"), F.col("leader").alias("_rep_leader")), "rep", "left").select(
-        "sig", F.coalesce("_rep_leader", "rep").alias("_sig_leader"))
-    hot = _hot_signatures(sigs)
-    return attach(base.select("seq", "sig"), reps, "sig", hot).join(folded, "seq", "left").select(
-        "seq", F.coalesce("leader", "_sig_leader", "seq").alias("leader"))
+    nth = F.row_number().over(W.partitionBy("batch").orderBy("seq"))
+    return match_fields(rows, ["seq", "batch"]).withColumn("nth", nth).select("nth", "seq", *MATCH).mapInPandas(
+        _fold_batches, "seq long, leader long")
 
 
 # --- merging -----------------------------------------------------------------------
@@ -321,98 +216,106 @@ def merged(rows: DataFrame, assigned: DataFrame) -> DataFrame:
 
 # --- stored rows -------------------------------------------------------------------
 def stored_lookup(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored rows that share a name, e-mail or phone key with any incoming row.
-
-    Three semi-joins and a union; one OR condition would be planned as a nested loop.
-    """
+    """Stored rows that share a name, e-mail or phone key with any incoming row: one semi-join over tagged keys."""
     cols = ["name", "current_location", "email", "phone", "source_url"]
-    old = _with_name_key(match_fields(stored, cols))
-    new = _with_name_key(match_fields(rows, ["name"]))
-    keys = [("k", "k"), ("e", "e"), ("p", "p")]
-    parts = [old.join(new.filter(F.col(k) != "").select(k).distinct(), k, "left_semi").select(*cols) for k, _ in keys]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["source_url"])
 
+    def tagged(d: DataFrame, keep: list[str]) -> DataFrame:
+        fields = match_fields(d, list(dict.fromkeys([*keep, "name"]))).withColumn("k", T.name_key(F.col("name")))
+        return fields.select(*keep, F.explode(_keys(F.col("e"), F.col("p"), F.col("k"))).alias("key"))
 
-def _with_name_key(d: DataFrame) -> DataFrame:
-    return d.withColumn("k", T.name_key(F.col("name")))
+    wanted = tagged(rows, []).distinct()
+    return tagged(stored, cols).join(wanted, "key", "left_semi").drop("key").dropDuplicates(["source_url"])
 
 
-def stored_matches(rows: DataFrame, stored: DataFrame, direct: int = DIRECT_CLASSES) -> DataFrame:
-    """(seq, stored_url): the first stored row, by source URL, that is the same person."""
-    new = cut(match_fields(rows, ["seq"]))
-    old = cut(match_fields(stored, ["source_url"]))
-    found = []
+def first_matches(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(seq, src): for each row of ``new`` (seq and matching fields) the smallest ``src`` of the rows of ``old`` that are the same person."""
+    found = _by_name(new, old)
     for key in ("e", "p"):
-        first = old.filter(F.col(key) != "").groupBy(key).agg(F.min("source_url").alias("src"))
-        found.append(new.filter(F.col(key) != "").join(first, key).select("seq", "src"))
-    found.append(_by_name(new, old, direct))
-    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("seq").agg(F.min("src").alias("stored_url"))
+        first = old.filter(F.col(key) != "").groupBy(key).agg(F.min("src").alias("src"))
+        found = found.unionByName(new.filter(F.col(key) != "").join(first, key).select("seq", "src"))
+    return found.groupBy("seq").agg(F.min("src").alias("src"))
+
 
+def _pieces(text: Column, n: int) -> Column:
+    """All pieces of n characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
 
-def _by_name(new: DataFrame, old: DataFrame, direct: int) -> DataFrame:
-    """First stored row with the same full name, no contrary contact and a place that agrees.
 
-    Equal contacts are looked up elsewhere, so here a side that has a contact needs the
-    other to have none. That leaves a few classes (place, has e-mail, has phone) per name:
-    both sides are reduced to their classes before they meet.
+def _by_name(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Matches by equal full name, no contrary contact and a place that agrees.
+
+    Equal contacts are looked up elsewhere, so here a side that has a contact needs the other to have none. That leaves a few
+    classes (place, has e-mail, has phone) for each name; both sides are reduced to their classes before they meet. The
+    place rule (the head of one place lies inside the other) becomes an equi-join on the first three characters of
+    the head with the pieces of that length in the other place, and is then checked.
     """
     kinds = ["m", "loc", "he", "hp"]
-    classes = lambda d: d.filter(F.col("m") != "").withColumn("he", F.col("e") != "").withColumn(
-        "hp", F.col("p") != "")
+    classes = lambda d: d.filter(F.col("m") != "").withColumn("he", F.col("e") != "").withColumn("hp", F.col("p") != "")
     asked = classes(new)
     need = cut(asked.select(*kinds).distinct())
-    have = cut(classes(old.join(need.select("m").distinct(), "m", "left_semi")).groupBy(*kinds).agg(
-        F.min("source_url").alias("src")))
-    wide = cut(have.groupBy("m").agg(F.count("*").alias("_n")).filter(F.col("_n") > direct).select("m"))
-    n, h = need.alias("n"), have.join(wide, "m", "left_anti").alias("h")
-    near = n.join(h, F.col("n.m") == F.col("h.m")).filter(
-        _no_clash() & T.places_agree(F.col("n.loc"), F.col("h.loc")))
-    pick = [F.col(f"n.{k}").alias(k) for k in kinds] + [F.col("h.src").alias("src")]
-    hits = near.select(*pick)
-    if wide.limit(1).count():
-        hits = hits.unionByName(_by_place_parts(need.join(wide, "m", "left_semi"), have.join(wide, "m", "left_semi"), pick))
-    best = hits.groupBy(*kinds).agg(F.min("src").alias("src"))
-    return asked.join(best, kinds).select("seq", "src")
+    have = cut(classes(old.join(need.select("m").distinct(), "m", "left_semi")).groupBy(*kinds).agg(F.min("src").alias("src")))
+    head, start = T.place_head(F.col("loc")), F.substring("head", 1, 3)
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(F.col("loc"), n) for n in (1, 2, 3)]))
+    needed, held = (d.filter("loc <> ''") for d in (need, have))
+    by_head = held.groupBy("m", head.alias("head"), "he", "hp").agg(F.min("src").alias("src")).withColumn("key", start)
+    asked_heads = needed.select(*kinds, head.alias("head")).withColumn("key", start)
+    free = ~(F.col("n.he") & F.col("h.he")) & ~(F.col("n.hp") & F.col("h.hp"))
+
+    def meet(n: DataFrame, h: DataFrame, on: list[str], agree: Column) -> DataFrame:
+        both = n.alias("n").join(h.alias("h"), [F.col(f"n.{c}") == F.col(f"h.{c}") for c in on])
+        return both.filter(free & agree).select(*[F.col(f"n.{k}").alias(k) for k in kinds], F.col("h.src").alias("src"))
+
+    hits = meet(needed.withColumn("key", F.explode(pieces)), by_head, ["m", "key"], F.col("n.loc").contains(F.col("h.head")))
+    hits = hits.unionByName(meet(asked_heads, held.withColumn("key", F.explode(pieces)), ["m", "key"], F.col("h.loc").contains(F.col("n.head"))))
+    anywhere = lambda d: d.groupBy("m", "he", "hp").agg(F.min("src").alias("src"))
+    hits = hits.unionByName(meet(need.filter("loc = ''"), anywhere(have), ["m"], F.lit(True)))
+    hits = hits.unionByName(meet(needed, anywhere(have.filter("loc = ''")), ["m"], F.lit(True)))
+    return asked.join(hits.groupBy(*kinds).agg(F.min("src").alias("src")), kinds).select("seq", "src")
+
+
+def stored_matches(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """(seq, stored_url): the first stored row, by source URL, that is the same person."""
+    old = cut(match_fields(stored, ["source_url"]).withColumnRenamed("source_url", "src"))
+    return first_matches(cut(match_fields(rows, ["seq"])), old).withColumnRenamed("src", "stored_url")
 
 
-def _no_clash() -> Column:
-    return ~(F.col("n.he") & F.col("h.he")) & ~(F.col("n.hp") & F.col("h.hp"))
+def _roots(parents: DataFrame) -> DataFrame:
+    """(seq, root) from (seq, parent) where a parent is smaller or the row itself; chains are halved each round."""
+    now, moved = cut(parents.select("seq", F.col("parent").alias("root"))), 1
+    while moved:
+        up = now.select(F.col("seq").alias("root"), F.col("root").alias("above"))
+        step = cut(now.join(up, "root").select("seq", "root", "above"))
+        moved = step.filter("root <> above").limit(1).count()
+        now = step.select("seq", F.col("above").alias("root"))
+    return now
 
 
-def _by_place_parts(need: DataFrame, have: DataFrame, pick: list[Column]) -> DataFrame:
-    """The place rule as equi-joins: the head of one place equals some part of the other.
+def resolve(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per person, pointed at the stored row of the same person where there is one.
 
-    Used for names with many stored places, where comparing all of them would not scale.
+    ``rows`` holds seq, batch (growing with seq) and the record fields. A person of a batch is compared, as it first came in, with the
+    stored rows, and if none of them is the same with the persons of earlier batches. Of the batches of one person, the last value of
+    a scalar wins and lists are united; ``seq`` is that of the first row.
     """
-    head = T.place_head(F.col("loc"))
-    spans = lambda c: F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(
-            F.sequence(F.lit(0), F.length(c) - i + 1), lambda k: F.substring(c, i, k)))))
-    known_n, known_h = need.filter("loc <> ''"), have.filter("loc <> ''")
-    heads_n = known_n.select("m", head.alias("part")).distinct()
-    heads_h = known_h.select("m", head.alias("part")).distinct()
-    parts = lambda d, heads: d.withColumn("part", F.explode(spans(F.col("loc")))).join(
-        heads, ["m", "part"], "left_semi")
-    # stored rows of one part and contact pattern are interchangeable: keep the first
-    firsts = lambda d: d.groupBy("m", "part", "he", "hp").agg(F.min("src").alias("src"))
-    meet = lambda l, r, on: l.alias("n").join(r.alias("h"), [F.col(f"n.{c}") == F.col(f"h.{c}") for c in on]).filter(
-        _no_clash()).select(*pick)
-    first_any = have.groupBy("m", "he", "hp").agg(F.min("src").alias("src"))
-    first_unplaced = have.filter("loc = ''").groupBy("m", "he", "hp").agg(F.min("src").alias("src"))
-    return meet(known_n.withColumn("part", head), firsts(parts(known_h, heads_n)), ["m", "part"]).unionByName(
-        meet(parts(known_n, heads_h), firsts(known_h.withColumn("part", head)), ["m", "part"])).unionByName(
-        meet(need.filter("loc = ''"), first_any, ["m"])).unionByName(
-        meet(known_n, first_unplaced, ["m"]))
-
-
-def resolve(rows: DataFrame, stored: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Merged persons of a batch, pointed at the stored row of the same person where there is one.
-
-    A person is compared with the stored rows as it first came in, before anything was
-    merged into it.
-    """
-    assigned = cut(leaders(rows, group_limit))
-    people = merged(rows, assigned)
+    rows = cut(rows)
+    assigned = cut(leaders(rows))
+    people = cut(merged(rows, assigned).join(rows.select("seq", "batch"), "seq"))
     starters = rows.join(assigned.filter("seq = leader").select("seq"), "seq", "left_semi")
-    return people.join(stored_matches(starters, stored), "seq", "left").withColumn(
-        "source_url", F.coalesce("stored_url", "source_url")).drop("stored_url")
+    kept = cut(stored_matches(starters, stored))
+    place = F.struct("batch", "seq")
+    first = first_matches(cut(match_fields(starters, ["seq"])), cut(match_fields(people, ["seq", "batch"]).withColumn("src", place).drop("seq", "batch")))
+    earlier = first.join(people.select("seq", "batch"), "seq").filter(F.col("src.batch") < F.col("batch")).select("seq", F.col("src.seq").alias("parent"))
+    parents = people.select("seq").join(kept.select("seq", F.col("seq").alias("own")), "seq", "left").join(earlier, "seq", "left").select(
+        "seq", F.coalesce("own", "parent", "seq").alias("parent"))
+    of = _roots(parents).join(kept.withColumnRenamed("seq", "root"), "root", "left")
+    # Two roots may point at the same stored row, so persons come together by the row they point at.
+    pointed = people.join(of, "seq").withColumn("to", F.coalesce("stored_url", F.concat(F.lit("\u0001"), F.col("root").cast("string"))))
+    filled = lambda f: F.when(F.coalesce(f, F.lit("")) != "", F.col("seq"))
+    scalars = [f for f in RECORD_FIELDS if f not in LIST_FIELDS and f != "source_url"]
+    empty = F.array().cast("array<string>")
+    united = lambda f: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", f))), lambda x: x[f])))
+    out = pointed.groupBy("to").agg(
+        F.min("seq").alias("seq"), F.sum("n_rows").alias("n_rows"), F.coalesce(F.first("stored_url"), F.min_by("source_url", "seq")).alias("source_url"),
+        *[F.max_by(F.col(f), filled(f)).alias(f) for f in scalars], *[F.coalesce(united(f), empty).alias(f) for f in LIST_FIELDS])
+    return out.select("seq", "n_rows", *RECORD_FIELDS)

@@ -17,7 +17,7 @@ from leadspark.operators import ledger as L
 from leadspark.operators import pages as P
 from leadspark.operators import resolve as R
 from leadspark.operators import stats as S
-from leadspark.operators.keyed import cut
+from leadspark.operators.keyed import cut, with_ordinal
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,16 @@ def outcomes_of(items: DataFrame, responses: DataFrame, robots: DataFrame | None
     return missing if refused is None else missing.unionByName(refused)
 
 
+def numbered_records(records: DataFrame, items: DataFrame, batch_size: int) -> DataFrame:
+    """``records`` with seq, unique and in order of (page position, URL, person), and batch, so many pages each.
+
+    Page positions may repeat: pages are numbered by (pos, url).
+    """
+    pages = cut(items.select("url", F.col("pos").alias("_pos")).orderBy("_pos", "url").withColumn("_page", F.monotonically_increasing_id()))
+    order = with_ordinal(pages, [], "_page", "_nth").select("url", F.floor((F.col("_nth") - 1) / batch_size).alias("batch"), "_page")
+    return cut(records.join(order, "url").orderBy("_page", "pos")).withColumn("seq", F.monotonically_increasing_id()).drop("_page")
+
+
 @dataclass(frozen=True)
 class BatchResult:
     outcomes: DataFrame
@@ -101,9 +111,7 @@ def process(items: DataFrame, responses: DataFrame, replies: DataFrame, ledger:
     readable, failed = X.routed(results)
     checked_pages = cut(X.verified_people(readable.join(jobs, "url").select("url", "content", "people")))
     rows = cut(X.validated(X.page_records(checked_pages)))
-    order = items.select("url", F.col("pos").alias("_item"))
-    records = cut(X.accepted(rows).join(order, "url").withColumn(
-        "seq", F.shiftleft(F.col("_item").cast("bigint"), 24) + F.col("pos")).drop("_item"))
+    records = cut(numbered_records(X.accepted(rows), items, s.batch_size))
     people = R.resolve(records, candidates)
     saved = C.upsert(candidates, C.last_per_source(people), as_of)
     statuses = P.url_status(outcomes, results)

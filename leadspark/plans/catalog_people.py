@@ -430,13 +430,15 @@ _KEYS = f"""mf AS (SELECT *, CASE WHEN contains({_MK}, ' ') THEN {_MK} ELSE '' E
   lower(coalesce(current_location, '')) AS loc FROM people)"""
 
 
-@query(f"""WITH {Q.PEOPLE}, {Q.STORED}, {_KEYS}, {_KEYS.replace('mf AS', 'sf AS').replace('FROM people', 'FROM stored')},
-hits AS (SELECT mf.seq, sf.source_url FROM mf JOIN sf ON mf.e = sf.e WHERE mf.e <> ''
+_STORED_HITS = """SELECT mf.seq, sf.source_url FROM mf JOIN sf ON mf.e = sf.e WHERE mf.e <> ''
   UNION ALL SELECT mf.seq, sf.source_url FROM mf JOIN sf ON mf.p = sf.p WHERE mf.p <> ''
   UNION ALL SELECT mf.seq, sf.source_url FROM mf JOIN sf ON mf.m = sf.m WHERE mf.m <> '' AND (mf.e = '' OR sf.e = '' OR mf.e = sf.e)
     AND (mf.p = '' OR sf.p = '' OR mf.p = sf.p) AND (mf.loc = '' OR sf.loc = '' OR contains(sf.loc, trim(split_part(mf.loc, ',', 1)))
-      OR contains(mf.loc, trim(split_part(sf.loc, ',', 1)))))
-SELECT seq, min(source_url) AS stored_url FROM hits GROUP BY seq""")
+      OR contains(mf.loc, trim(split_part(sf.loc, ',', 1))))"""
+
+
+@query(f"""WITH {Q.PEOPLE}, {Q.STORED}, {_KEYS}, {_KEYS.replace('mf AS', 'sf AS').replace('FROM people', 'FROM stored')},
+hits AS ({_STORED_HITS}) SELECT seq, min(source_url) AS stored_url FROM hits GROUP BY seq""")
 def er_pairs(spark, sf):
     return R.stored_matches(V.people(spark, sf), V.stored(spark, sf))
 
@@ -460,9 +462,45 @@ def er_components(spark, sf):
     return R.linked_groups(edges).select(col("id").alias("seq"), "component")
 
 
-@query()
+_SAME = """(r.e <> '' AND x.e = r.e) OR (r.p <> '' AND x.p = r.p) OR (r.m <> '' AND x.m = r.m AND (x.e = '' OR r.e = '' OR x.e = r.e)
+  AND (x.p = '' OR r.p = '' OR x.p = r.p) AND (x.loc = '' OR r.loc = '' OR contains(x.loc, trim(split_part(r.loc, ',', 1)))
+    OR contains(r.loc, trim(split_part(x.loc, ',', 1)))))"""
+_FILLED = "max_by({0}, leader) FILTER (coalesce({0}, '') <> '')"
+
+
+@query(f"""WITH RECURSIVE {Q.PEOPLE}, {Q.STORED}, {_KEYS}, {_KEYS.replace('mf AS', 'sf AS').replace('FROM people', 'FROM stored')},
+numbered AS (SELECT mf.*, coalesce(name, '') <> '' AS named, o_custkey // 5 AS batch, row_number() OVER (PARTITION BY o_custkey // 5 ORDER BY seq) AS nth
+  FROM mf JOIN orders ON o_orderkey = seq),
+fold AS (
+  SELECT batch, nth, seq, seq AS leader, [{{'leader': seq, 'm': m, 'named': named, 'loc': loc, 'e': e, 'p': p}}] AS ps FROM numbered WHERE nth = 1
+  UNION ALL
+  SELECT batch, nth, seq, CASE WHEN hit IS NULL THEN seq ELSE ps[hit].leader END,
+    CASE WHEN hit IS NULL THEN list_append(ps, {{'leader': seq, 'm': m, 'named': named, 'loc': loc, 'e': e, 'p': p}})
+      ELSE list_transform(ps, lambda x, i: CASE WHEN i <> hit THEN x ELSE {{'leader': x.leader, 'm': CASE WHEN x.named THEN x.m ELSE m END,
+        'named': x.named OR named, 'loc': CASE WHEN x.loc = '' THEN loc ELSE x.loc END, 'e': CASE WHEN x.e = '' THEN e ELSE x.e END,
+        'p': CASE WHEN x.p = '' THEN p ELSE x.p END}} END) END
+  FROM (SELECT r.*, f.ps, list_position(list_transform(f.ps, lambda x: {_SAME}), true) AS hit
+        FROM fold f JOIN numbered r ON r.batch = f.batch AND r.nth = f.nth + 1)),
+led AS (SELECT p.*, f.leader FROM people p JOIN fold f USING (seq)),
+person AS (SELECT leader, count(*) AS n_rows, min_by(source_url, seq) AS source_url,
+  {', '.join(f"min_by({c}, seq) FILTER (coalesce({c}, '') <> '') AS {c}" for c in ('name', 'email', 'phone', 'current_location'))} FROM led GROUP BY leader),
+hits AS (SELECT seq, min(source_url) AS stored_url FROM ({_STORED_HITS}) GROUP BY seq),
+{_KEYS.replace('mf AS', 'pk AS').replace('FROM people', 'FROM (SELECT person.name, person.email, person.phone, person.current_location, seq, batch FROM person JOIN numbered ON seq = leader)')},
+earlier AS (SELECT seq, min(place) % 1000000000 AS parent FROM ({_STORED_HITS.replace('mf.seq, sf.source_url FROM mf JOIN sf ON', 'mf.seq, sf.batch * 1000000000 + sf.seq AS place FROM numbered mf JOIN pk sf ON sf.batch < mf.batch AND')}) GROUP BY seq),
+link AS (SELECT leader AS seq, CASE WHEN stored_url IS NULL THEN parent END AS parent FROM person LEFT JOIN hits ON hits.seq = leader LEFT JOIN earlier ON earlier.seq = leader),
+up AS (SELECT seq, seq AS place FROM link UNION ALL SELECT up.seq, link.parent FROM up JOIN link ON link.seq = up.place WHERE link.parent IS NOT NULL),
+root AS (SELECT up.seq AS leader, place AS root FROM up JOIN link ON link.seq = place WHERE parent IS NULL),
+pointed AS (SELECT person.*, stored_url, coalesce(stored_url, root::VARCHAR) AS goal FROM person JOIN root USING (leader) LEFT JOIN hits ON hits.seq = root),
+item AS (SELECT goal, skill, min(place) AS place FROM (SELECT goal, unnest(skills) AS skill, (leader * 1000000 + led.seq) * 10 + generate_subscripts(skills, 1) AS place
+  FROM led JOIN pointed USING (leader)) GROUP BY goal, skill),
+united AS (SELECT goal, string_agg(skill, '|' ORDER BY place) AS skills FROM item GROUP BY goal)
+SELECT min(leader) AS seq, sum(n_rows)::BIGINT AS n_rows, {', '.join(_FILLED.format(c) + f' AS {c}' for c in ('name', 'email', 'phone', 'current_location'))},
+  coalesce(min(stored_url), min_by(source_url, leader)) AS source_url, any_value(skills) AS skills
+FROM pointed JOIN united USING (goal) GROUP BY goal""")
 def er_fold(spark, sf):
-    d = R.resolve(V.people(spark, sf), V.stored(spark, sf))
+    """Five customers' orders are a batch."""
+    who = V.table(spark, sf, "orders").select(col("o_orderkey").alias("seq"), F.floor(col("o_custkey") / 5).alias("batch"))
+    d = R.resolve(V.people(spark, sf).join(who, "seq"), V.stored(spark, sf))
     return d.select("seq", "n_rows", "name", "email", "phone", "current_location", "source_url", joined("skills").alias("skills"))
 
 
