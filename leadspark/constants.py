@@ -87,6 +87,7 @@ WALL_PHRASES_RX = (
 )
 THREAD_HEADING = "## Post and comments"
 MIN_USEFUL_CHARS = 250
+PARSE_ERROR = "HTML parsing failed: "
 WALL_SCAN_CHARS = 3000
 WALL_MAX_CHARS = 1200
 WALL_MAX_CHARS_LEGACY = 4000

@@ -23,7 +23,7 @@ _DROP = frozenset(K.DROP_TAGS)
 _UNREAD = frozenset(["template", "rt", "rp"])   # their strings are not page text
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-PAGE_PARTS = "title string, nodes string, thread array<struct<kind:string,author:string,body:string>>"
+PAGE_PARTS = "title string, nodes string, thread array<struct<kind:string,author:string,body:string>>, parse_error string"
 
 
 class _Nodes(HTMLParser):
@@ -140,24 +140,28 @@ def _thread(scripts: list[str]) -> list[dict]:
     return list(lines.values())
 
 
-def _parts(html: str | None) -> tuple[str, str, list[dict]]:
+def _parts(html: str | None) -> tuple[str, str, list[dict], str | None]:
+    """Title, text nodes, thread, and what went wrong: a page the tokenizer refuses must not end the job."""
     nodes = _Nodes()
-    nodes.feed(html or "")
-    nodes.close()
+    try:
+        nodes.feed(html or "")
+        nodes.close()
+    except (AssertionError, ValueError, IndexError) as refused:
+        return "", "", [], str(refused) or type(refused).__name__
     nodes._flush()
     text = nodes.everywhere if nodes.in_body is None else nodes.in_body
-    return " ".join(nodes.title or []), "\n".join(text), _thread(nodes.scripts)
+    return " ".join(nodes.title or []), "\n".join(text), _thread(nodes.scripts), None
 
 
 def page_parts(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns plus title, body text nodes (one per line) and thread lines."""
+    """``keep`` columns plus title, body text nodes (one per line), thread lines and parse_error (null for readable pages)."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != html]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [_parts(h) for h in batch.pop("__html")]
-            batch["title"], batch["nodes"], batch["thread"] = (
-                map(list, zip(*parts)) if parts else ([], [], []))
+            batch["title"], batch["nodes"], batch["thread"], batch["parse_error"] = (
+                map(list, zip(*parts)) if parts else ([], [], [], []))
             yield batch
 
     slim = df.select(*keep, F.col(html).alias("__html"))
@@ -174,23 +178,23 @@ def thread_text(thread: Column) -> Column:
         x["kind"], F.lit(" by "), x["author"], F.lit(": "), x["body"])), "\n")
 
 
-def render(title: Column, thread: Column, text: Column, contacts: Column) -> Column:
-    """The page document: title, thread, contacts, text; empty sections are left out."""
+def render(title: Column, thread: Column, text: Column, contacts: Column, limit: int | None = None) -> Column:
+    """The page document: title, thread, contacts, text; empty sections are left out. ``limit`` cuts it to so many characters."""
     section = lambda head, body: F.when(body != "", F.concat(F.lit(head), body))
     doc = F.concat_ws("\n\n", section("# ", title), section(K.THREAD_HEADING + " (structured, with authors)\n", thread),
                       section("## Contact details found on the page\n", contacts),
                       F.concat(F.lit("## Page text\n"), text))
-    return F.substring(T.strip(doc), 1, K.MAX_PAGE_CHARS)
+    return T.strip(doc) if limit is None else F.substring(T.strip(doc), 1, limit)
 
 
-def with_page_text(df: DataFrame, html: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:
-    """``keep`` columns plus title, thread (array) and the rendered page document."""
+def with_page_text(df: DataFrame, html: str = "html", keep: list[str] | None = None, out: str = "text", limit: int | None = None) -> DataFrame:
+    """``keep`` columns plus title, thread (array), parse_error and the rendered page document, whole unless ``limit`` cuts it."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != html]
     d = page_parts(df, html, keep).select(
-        *keep, "title", "thread", thread_text(F.col("thread")).alias("_t"), body_text(F.col("nodes")).alias("_b"))
+        *keep, "title", "thread", "parse_error", thread_text(F.col("thread")).alias("_t"), body_text(F.col("nodes")).alias("_b"))
     d = d.withColumn("_m", E.contact_mentions(F.concat("_t", F.lit("\n"), "_b")))
-    return d.select(*keep, "title", "thread", render(
-        F.col("title"), F.col("_t"), F.col("_b"), E.contact_lines(F.col("_m"))).alias(out))
+    return d.select(*keep, "title", "thread", "parse_error", render(
+        F.col("title"), F.col("_t"), F.col("_b"), E.contact_lines(F.col("_m")), limit).alias(out))
 
 
 def thread_rows(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,7 +74,8 @@ def netloc(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, _SPLIT, 3)
+    """Path without the parameters (;...) of its last segment."""
+    return F.regexp_replace(F.regexp_extract(url, _SPLIT, 3), r";[^/]*$", "")
 
 
 def host(url: Column) -> Column:
@@ -88,6 +89,16 @@ def _host_of(authority: Column) -> Column:
     return F.lower(F.when(authority.contains("["), bracketed).otherwise(plain))
 
 
+def _bracketed_address(authority: Column) -> Column:
+    """Whether the authority is [an IPv6 address] with nothing but user info before it and a port behind it."""
+    inner = F.regexp_extract(authority, r"^(?:[^\[\]]*@)?\[([^\[\]]*)\](?::[^\[\]]*)?$", 1)
+    part = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    groups = F.regexp_replace(F.regexp_replace(inner, "%[^%]+$", ""), rf"(?<=:){part}(?:\.{part}){{3}}$", "0:0")
+    full = groups.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
+    short = groups.rlike("^(?!.*::.*::)(?!:[^:])(?=.*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}$") & ~groups.rlike("[^:]:$")
+    return full | short | inner.rlike("^v[0-9A-Fa-f]+\\..+$")
+
+
 def origin(url: Column) -> Column:
     """scheme://authority, the key of a robots table."""
     return F.concat(F.lower(F.regexp_extract(url, _SPLIT, 1)), F.lit("://"), F.regexp_extract(url, _SPLIT, 2))
@@ -159,7 +170,7 @@ def with_canonical_url(df: DataFrame, src: str, out: str = "url", keep: list[str
     port_text = F.when(a.contains("["), F.regexp_extract(a, r"\][^:]*:(.*)$", 1)).otherwise(
         F.regexp_extract(a, r"^(?:.*@)?[^:]*:(.*)$", 1))
     d = step(d, ["_s"], _h=F.regexp_replace(_host_of(a), r"\.+$", ""), _port=port_text,
-             _bad=a.contains("[") != a.contains("]"),
+             _bad=(a.contains("[") | a.contains("]")) & ~_bracketed_address(a),
              # parameters of the last segment go; slashes are collapsed, then trimmed
              _p=F.regexp_replace(F.regexp_replace(p, r";[^/]*$", ""), "/{2,}", "/"),
              _qp=F.when(q.contains("="), query_pairs(q)))

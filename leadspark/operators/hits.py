@@ -27,15 +27,15 @@ def primary_hits(raw: DataFrame, engine: str = "ddg") -> DataFrame:
     return _canonical(picked, engine, 0)
 
 
-def secondary_hits(pages: DataFrame, max_results: int = 10, engine: str = "google") -> DataFrame:
+def secondary_hits(pages: DataFrame, max_results: int = 10, engine: str = "google", depth: int = 30) -> DataFrame:
     """JSON result pages of the secondary engine.
 
     Pages are read in order until one has fewer than ten results or enough useful
-    hits were seen; then the first ``max_results`` remain. Only the pages of one
-    query meet in a window: three of ten results each, by the engine's own limit.
+    hits were seen; then the first ``max_results`` remain. Result pages behind rank ``depth`` (what the
+    engine answers at most, usually 30) or ``max_results`` are not read.
     """
     items = F.from_json("payload", "organic_results array<struct<link:string,title:string,snippet:string>>")
-    wanted = max(1, min(max_results, 30))
+    wanted = max(1, min(max_results, depth))
     d = pages.filter(F.col("page_no") * 10 < wanted).select(
         "query", "query_seq", "page_no", F.coalesce(items["organic_results"], F.array()).alias("_items"))
     # a page is read only when all pages before it were full

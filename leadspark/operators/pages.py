@@ -15,20 +15,31 @@ from leadspark.functions import urls as U
 from leadspark.operators.keyed import fence
 
 
-def classify(final_url: Column, status: Column, ctype: Column, text: Column) -> Column:
-    """struct(ok, blocked, error) of one response."""
+def early_outcome(final_url: Column, status: Column, ctype: Column) -> Column:
+    """struct(ok, blocked, error) where address, status or type decide; null where the page itself has to be read."""
     low_type = F.coalesce(ctype, F.lit(""))
-    head = F.substring(text, 1, K.WALL_SCAN_CHARS)
-    walled = (F.length(text) < K.MIN_USEFUL_CHARS) | (
-        (F.length(text) < K.WALL_MAX_CHARS) & ~text.contains(K.THREAD_HEADING) & head.rlike(K.WALL_PHRASES_RX))
     http = F.concat(F.lit("HTTP "), status.cast("string"))
     return (F.when(status.isin(K.BLOCKED_STATUSES) | U.is_wall_url(final_url),
                    _outcome(False, True, F.when(status >= 400, http).otherwise("login wall")))
             .when(status >= 400, _outcome(False, False, http))
             .when((low_type != "") & ~low_type.contains("html") & ~low_type.contains("text"),
-                  _outcome(False, False, F.concat(F.lit("unsupported content-type "), F.substring(ctype, 1, 40))))
-            .when(walled, _outcome(False, True, F.lit(K.WALL_ERROR)))
-            .otherwise(_outcome(True, False, F.lit(None).cast("string"))))
+                  _outcome(False, False, F.concat(F.lit("unsupported content-type "), F.substring(ctype, 1, 40)))))
+
+
+def page_outcome(text: Column, parse_error: Column | None = None) -> Column:
+    """struct(ok, blocked, error) of a page that was read."""
+    head = F.substring(text, 1, K.WALL_SCAN_CHARS)
+    walled = (F.length(text) < K.MIN_USEFUL_CHARS) | (
+        (F.length(text) < K.WALL_MAX_CHARS) & ~text.contains(K.THREAD_HEADING) & head.rlike(K.WALL_PHRASES_RX))
+    read = F.when(walled, _outcome(False, True, F.lit(K.WALL_ERROR))).otherwise(_outcome(True, False, F.lit(None).cast("string")))
+    if parse_error is None:
+        return read
+    return F.when(parse_error.isNotNull(), _outcome(False, False, F.concat(F.lit(K.PARSE_ERROR), parse_error))).otherwise(read)
+
+
+def classify(final_url: Column, status: Column, ctype: Column, text: Column, parse_error: Column | None = None) -> Column:
+    """struct(ok, blocked, error) of one response."""
+    return F.coalesce(early_outcome(final_url, status, ctype), page_outcome(text, parse_error))
 
 
 def classify_legacy(success: Column, status: Column, error: Column, text: Column) -> Column:

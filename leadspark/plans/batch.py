@@ -17,7 +17,7 @@ from leadspark.operators import ledger as L
 from leadspark.operators import pages as P
 from leadspark.operators import resolve as R
 from leadspark.operators import stats as S
-from leadspark.operators.keyed import cut, with_ordinal
+from leadspark.operators.keyed import cut, fence, with_ordinal
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,13 @@ def outcomes_of(items: DataFrame, responses: DataFrame, robots: DataFrame | None
         asked = asked.filter("allowed").select("url")
     else:
         refused = None
-    # text extraction is the costly step: only pages that were asked for get there
-    wanted = responses.join(asked, "url", "left_semi")
-    text = H.with_page_text(wanted, "html", ["url", "final_url", "status", "ctype", "via"], "markdown")
-    kind = P.classify(F.col("final_url"), F.col("status"), F.col("ctype"), F.col("markdown"))
-    attempts = P.with_outcome(text, kind, ["url", "via", "markdown"]).withColumn(
-        "attempt_no", F.when(F.col("via") == "direct", 1).otherwise(2))
+    # Address, status and type decide first; only pages that have to be read are tokenised.
+    wanted = fence(responses.join(asked, "url", "left_semi").withColumn(
+        "_early", P.early_outcome(F.col("final_url"), F.col("status"), F.col("ctype"))))
+    text = H.with_page_text(wanted.filter("_early IS NULL"), "html", ["url", "via"], "markdown")
+    read = P.with_outcome(text, P.page_outcome(F.col("markdown"), F.col("parse_error")), ["url", "via", "markdown"])
+    unread = wanted.filter("_early IS NOT NULL").select("url", "via", F.lit("").alias("markdown"), "_early.*")
+    attempts = read.unionByName(unread).withColumn("attempt_no", F.when(F.col("via") == "direct", 1).otherwise(2))
     resolved = P.resolve_attempts(attempts)
     missing = asked.join(resolved, "url", "left").select(
         "url", F.coalesce("via", F.lit("direct")).alias("via"), F.coalesce("ok", F.lit(False)).alias("ok"),

@@ -141,7 +141,7 @@ def page_text(spark, sf):
 
 @query()
 def page_documents(spark, sf):
-    return H.with_page_text(V.table(spark, sf, "pages").select("page_id", "html")).select("page_id", "title", "text")
+    return H.with_page_text(V.table(spark, sf, "pages").select("page_id", "html"), limit=K.MAX_PAGE_CHARS).select("page_id", "title", "text")
 
 
 def _thread_pages(spark, sf):

@@ -33,7 +33,7 @@ def netloc(u: str) -> str:
 
 
 def path(u: str) -> str:
-    return f"regexp_extract({u}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+    return f"regexp_replace(regexp_extract({u}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"
 
 
 def platform(u: str) -> str:

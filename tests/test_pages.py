@@ -46,3 +46,18 @@ def test_robots(spark):
             "http://h/q?y": True, "http://n/x": False, "http://n": False, "http://other/x": True, "http://h:80/c": True}
     got = P.with_robots(spark.createDataFrame([(u,) for u in want], "url string"), robots)
     assert {r.url: r.allowed for r in got.collect()} == want
+
+
+def test_a_page_the_tokenizer_refuses_fails_alone(spark):
+    from leadspark.plans import batch as B
+
+    long = "<p>" + "good words " * 60
+    pages = [("http://h/1", 200, "text/html", "<p>a<![foo bar]>b"), ("http://h/2", 200, "text/html", long), ("http://h/3", 403, "text/html", long),
+             ("http://h/4", 200, "application/pdf", long)]
+    responses = spark.createDataFrame([(u, u, s, c, h, "direct") for u, s, c, h in pages], "url string, final_url string, status int, ctype string, html string, via string")
+    items = responses.select("url")
+    got = {r.url: r for r in B.outcomes_of(items, responses, None, B.Settings()).collect()}
+    assert got["http://h/1"].error.startswith("HTML parsing failed: ") and not got["http://h/1"].blocked
+    assert got["http://h/2"].ok and got["http://h/2"].markdown.startswith("## Page text")
+    assert (got["http://h/3"].blocked, got["http://h/3"].markdown, got["http://h/3"].error) == (True, "", "HTTP 403")
+    assert got["http://h/4"].error == "unsupported content-type application/pdf"
