@@ -66,14 +66,15 @@ def hits_capped(spark, sf):
     return HT.topped_up(V.queries25(spark, sf), h, h.limit(0), 2, "duckduckgo").select("query", "rank", "url")
 
 
-_PRIMARY = f"""prim AS (SELECT 'q' || (page_id * page_id % 25) AS query, 0 AS engine_seq, page_id AS rank, canon AS url,
-  'hit ' || page_id AS title, 'snippet ' || page_id AS snippet FROM canon WHERE canon IS NOT NULL AND {Q.useful('canon')}
-  QUALIFY row_number() OVER (PARTITION BY page_id * page_id % 25, canon ORDER BY page_id) = 1)"""
+_PRIMARY = f"""prim AS (SELECT 'q' || seq AS query, 0 AS engine_seq, page_id AS rank, canon AS url,
+  'hit ' || page_id AS title, 'snippet ' || page_id AS snippet
+  FROM (SELECT *, page_id // 30 AS k, CASE WHEN k % 3 = 2 OR (k % 3 = 1 AND page_id % 30 < 2) THEN k ELSE k - k % 3 + 2 END AS seq FROM canon)
+  WHERE canon IS NOT NULL AND {Q.useful('canon')} QUALIFY row_number() OVER (PARTITION BY seq, canon ORDER BY page_id) = 1)"""
 _SECONDARY = f"""sec AS (SELECT query, 1 AS engine_seq, rank, url, title, snippet FROM (
-  SELECT 'q' || (page_id % 25) AS query, page_id // 25 AS rank, canon AS url, 'result ' || page_id AS title, 'text ' || page_id AS snippet,
-    row_number() OVER (PARTITION BY page_id % 25, canon ORDER BY page_id) AS rn
-  FROM canon WHERE page_id // 25 < 10 AND canon IS NOT NULL AND {Q.useful('canon')}) WHERE rn = 1
-  QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 10)"""
+  SELECT 'q' || (page_id // 30) AS query, page_id % 30 AS rank, canon AS url, 'result ' || page_id AS title, 'text ' || page_id AS snippet,
+    row_number() OVER (PARTITION BY page_id // 30, canon ORDER BY page_id) AS rn
+  FROM canon WHERE canon IS NOT NULL AND {Q.useful('canon')}) WHERE rn = 1)"""
+_ALL_RESULTS = 30       # all that a query has
 
 
 @query(f"WITH {Q.CANON}, {_PRIMARY} SELECT query, rank, url, title, snippet FROM prim")
@@ -83,14 +84,14 @@ def primary_hits(spark, sf):
 
 @query(f"WITH {Q.CANON}, {_SECONDARY} SELECT query, rank, url, title, snippet FROM sec")
 def secondary_hits(spark, sf):
-    return HT.secondary_hits(V.raw_secondary(spark, sf)).select("query", "rank", "url", "title", "snippet")
+    return HT.secondary_hits(V.raw_secondary(spark, sf), _ALL_RESULTS).select("query", "rank", "url", "title", "snippet")
 
 
-_TOPPED = f"""{Q.CANON}, {_PRIMARY}, {_SECONDARY}, q AS (SELECT DISTINCT 'q' || (page_id % 25) AS query FROM pages),
+_TOPPED = f"""{Q.CANON}, {_PRIMARY}, {_SECONDARY}, q AS (SELECT DISTINCT 'q' || (page_id // 30) AS query FROM pages),
   thin AS (SELECT query FROM q WHERE (SELECT count(*) FROM prim WHERE prim.query = q.query) < 3),
   allhits AS (SELECT * FROM prim WHERE query IN (SELECT query FROM q) UNION ALL SELECT * FROM sec WHERE query IN (SELECT query FROM thin)),
   topped AS (SELECT * FROM (SELECT * FROM allhits QUALIFY row_number() OVER (PARTITION BY query, url ORDER BY engine_seq, rank) = 1)
-    QUALIFY row_number() OVER (PARTITION BY query ORDER BY engine_seq, rank) <= 20)"""
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY engine_seq, rank) <= 60)"""
 
 
 @query(f"WITH {_TOPPED} SELECT query, engine_seq, rank, url FROM topped")
@@ -99,8 +100,8 @@ def engine_topup(spark, sf):
 
 
 def _topped(spark, sf):
-    return HT.topped_up(V.queries25(spark, sf), HT.primary_hits(V.raw_primary(spark, sf)),
-                        HT.secondary_hits(V.raw_secondary(spark, sf)))
+    return HT.topped_up(V.result_queries(spark, sf), HT.primary_hits(V.raw_primary(spark, sf)),
+                        HT.secondary_hits(V.raw_secondary(spark, sf), _ALL_RESULTS), _ALL_RESULTS)
 
 
 @query(f"""WITH {_TOPPED}, n AS (SELECT query, count(*) AS hits FROM topped GROUP BY query)
@@ -109,7 +110,7 @@ SELECT q.query, CASE WHEN t.query IS NULL THEN 'ddg' ELSE 'ddg, google' END AS s
   substr(q.query, 2)::INT % 5 = 0 AS rate_limited
 FROM q LEFT JOIN thin t USING (query) LEFT JOIN n USING (query)""")
 def query_summary(spark, sf):
-    used = HT.engines_used(V.queries25(spark, sf), HT.primary_hits(V.raw_primary(spark, sf)))
+    used = HT.engines_used(V.result_queries(spark, sf), HT.primary_hits(V.raw_primary(spark, sf)))
     return HT.query_summary(used, V.query_log(spark, sf), _topped(spark, sf))
 
 

@@ -43,9 +43,16 @@ def page_hits(spark, sf) -> DataFrame:
         F.lit("").alias("snippet"))
 
 
+def _result_query() -> Column:
+    """Thirty pages make the results of one query."""
+    return F.floor(F.col("page_id") / 30).cast("int")
+
+
 def raw_primary(spark, sf) -> DataFrame:
-    """Raw engine rows; squares modulo 25 leave some queries without hits."""
-    seq = (F.col("page_id") * F.col("page_id") % 25).cast("int")
+    """Raw engine rows. Of three queries one has no hits, one has two, and the third has those as well."""
+    k = _result_query()
+    own = (k % 3 == 2) | ((k % 3 == 1) & (F.col("page_id") % 30 < 2))
+    seq = F.when(own, k).otherwise(k - k % 3 + 2).cast("int")
     return table(spark, sf, "pages").select(
         F.concat(F.lit("q"), seq).alias("query"), seq.alias("query_seq"), F.col("page_id").cast("int").alias("rank"),
         F.lit("").alias("href"), F.col("url").alias("link"),
@@ -54,9 +61,8 @@ def raw_primary(spark, sf) -> DataFrame:
 
 
 def raw_secondary(spark, sf) -> DataFrame:
-    """JSON result pages of ten items for 25 queries."""
-    rank = F.floor(F.col("page_id") / 25).cast("int")
-    seq = (F.col("page_id") % 25).cast("int")
+    """Three JSON result pages of ten items for each query."""
+    rank, seq = (F.col("page_id") % 30).cast("int"), _result_query()
     d = table(spark, sf, "pages").select(
         F.concat(F.lit("q"), seq).alias("query"), seq.alias("query_seq"), (rank / 10).cast("int").alias("page_no"),
         rank.alias("r"), F.struct(
@@ -67,13 +73,18 @@ def raw_secondary(spark, sf) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("r", "item"))), lambda x: x["item"]).alias("organic_results"))).alias("payload"))
 
 
+def result_queries(spark, sf) -> DataFrame:
+    return table(spark, sf, "pages").select(_result_query().alias("query_seq")).distinct().select(
+        F.concat(F.lit("q"), "query_seq").alias("query"), "query_seq")
+
+
 def queries25(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select((F.col("page_id") % 25).cast("int").alias("query_seq")).distinct().select(
         F.concat(F.lit("q"), "query_seq").alias("query"), "query_seq")
 
 
 def query_log(spark, sf) -> DataFrame:
-    q = queries25(spark, sf)
+    q = result_queries(spark, sf)
     failed = F.col("query_seq") % 4 == 3
     return q.select("query", F.lit("ddg").alias("engine"), F.when(failed, "timeout: 15s").alias("error"),
                     (F.col("query_seq") % 5 == 0).alias("rate_limited")).unionByName(
