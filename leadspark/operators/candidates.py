@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark import constants as K
+from leadspark.operators import extraction as X
 from leadspark.operators.keyed import first_per
 from leadspark.schemas import CANDIDATES, LIST_FIELDS, OUTREACH_FIELDS, RECORD_FIELDS, conform, struct
 
@@ -66,6 +67,14 @@ def table_counts(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 # --- outreach -----------------------------------------------------------------------
+def checked_events(events: DataFrame) -> DataFrame:
+    """Events that may change a candidate: known statuses only, and of a reply only contacts that stand in its text."""
+    known = events.filter((F.col("kind") != "status") | F.coalesce(F.col("status").isin(K.OUTREACH_STATUSES), F.lit(False)))
+    checked = X.reply_contacts(known.withColumns({"_email": F.col("email"), "_phone": F.col("phone")}))
+    reply = F.col("kind") == "reply"
+    return checked.withColumns({c: F.when(reply, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("email", "phone")}).drop("_email", "_phone")
+
+
 def outreach_changes(events: DataFrame) -> DataFrame:
     """One row per candidate: the last value each event kind sets, field by field.
 

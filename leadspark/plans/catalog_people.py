@@ -641,6 +641,20 @@ def outreach_state(spark, sf):
     return _flat(C.apply_changes(V.stored(spark, sf), changes), _STATE)
 
 
+# No reply of the events names its phone; every ninth status is unknown and every fifteenth reply claims another's address.
+_CHECKED = _APPLIED.replace(Q.OUTREACH, Q.OUTREACH.replace("AS phone, ts FROM events", "AS claimed, NULL::VARCHAR AS phone, ts FROM events"))
+_ODD = _CHECKED.replace("FROM events)", "FROM events WHERE NOT (event_id % 3 = 1 AND event_id % 9 = 1))", 1).replace(
+    "CASE WHEN event_id % 5 = 0 THEN 'r'", "CASE WHEN event_id % 5 = 0 AND event_id % 15 <> 5 THEN 'r'")
+
+
+@query(_ODD)
+def outreach_verified(spark, sf):
+    k = col("seq")
+    events = V.outreach_events(spark, sf).withColumn("status", F.when(k % 9 == 1, "lost").otherwise(col("status"))).withColumn(
+        "email", F.when(k % 15 == 5, F.concat(lit("x"), "email")).otherwise(col("email")))
+    return _flat(C.apply_changes(V.stored(spark, sf), C.outreach_changes(C.checked_events(events))), _STATE)
+
+
 @query(f"WITH {Q.OUTREACH}, {Q.STORED} SELECT DISTINCT id FROM oev WHERE id NOT IN (SELECT id FROM stored)")
 def outreach_unknown(spark, sf):
     return C.unknown_ids(V.stored(spark, sf), C.outreach_changes(V.outreach_events(spark, sf)))
@@ -736,7 +750,7 @@ def stream_wave_stats(spark, sf):
     return _to_folder(J.live_wave_stats(e), spark, "complete")
 
 
-@query(_APPLIED)
+@query(_CHECKED)
 def stream_outreach(spark, sf):
     out = _work(spark)
     store = Snapshots(spark, f"{out}/candidates", SC.CANDIDATES)

@@ -94,7 +94,7 @@ def live_wave_stats(events: DataFrame) -> DataFrame:
 def outreach(events: DataFrame, candidates: Snapshots, checkpoint: str) -> StreamingQuery:
     """Candidate snapshots that follow an outreach event stream.
 
-    The state holds the last value per field, and each micro-batch emits the candidates it
+    Unknown statuses and contacts that are not in a reply's text change nothing. The state holds the last value per field, and each micro-batch emits the candidates it
     changed with all their fields, so writing them again is harmless.
     """
     def run(changes: DataFrame, batch_id: int) -> None:
@@ -102,4 +102,4 @@ def outreach(events: DataFrame, candidates: Snapshots, checkpoint: str) -> Strea
         if not candidates.has(version):
             candidates.write(C.apply_changes(candidates.read(before=version), changes), version)
 
-    return start(C.outreach_changes(events), run, checkpoint, "update")
+    return start(C.outreach_changes(C.checked_events(events)), run, checkpoint, "update")
