@@ -109,6 +109,8 @@ class Table:
         """(first position, tokens) of the longest stretch of an alignment with the asked share of equal tokens."""
         want = self.items[item]
         lo, hi = max(0, -diagonal), min(len(want), len(ids) - diagonal)
+        if lo >= hi:
+            return 0, 0
         same = np.flatnonzero(want[lo:hi] == ids[diagonal + lo:diagonal + hi])
         if not len(same):
             return 0, 0

@@ -148,6 +148,8 @@ def test_stretch_equals_all_pairs():
         longest = max((j - i + 1 for i in range(40) for j in range(i, 40) if same[i] and same[j] and sum(same[i:j + 1]) >= 0.8 * (j - i + 1) - 1e-9
                        and 0 <= i + diagonal and j + diagonal < 60), default=0)
         assert table.stretch(ids, 0, diagonal)[1] == longest
+    for n, diagonal in ((0, 0), (3, 10), (3, -60), (0, -5)):        # the alignment lies outside
+        assert table.stretch(ids[:n], 0, diagonal)[1] == 0
 
 
 def test_blocks_of_test_items(spark, texts, monkeypatch):
