@@ -55,11 +55,16 @@ def first_spellings(arr: Column) -> Column:
 def first_by(arr: Column, key) -> Column:
     """Keep the first item of each key, in order.
 
-    Lists whose keys are all different, by far the most common, are passed through.
+    Keys are sorted with their positions, the first of each run of equal keys stays, and the positions left are sorted
+    back: no item looks through the others.
     """
-    return let(F.struct(arr.alias("a"), F.transform(arr, key).alias("k")), lambda s: F.when(
-        F.size(F.array_distinct(s["k"])) == F.size(s["a"]), s["a"]).otherwise(
-        F.filter(s["a"], lambda x, i: F.array_position(s["k"], F.get(s["k"], i)) == i + 1)))
+    def firsts(s: Column) -> Column:
+        new = lambda p, i: (i == 0) | ~F.get(s["p"], i - 1)["k"].eqNullSafe(p["k"])
+        kept = F.array_sort(F.transform(F.filter(s["p"], new), lambda p: p["i"]))
+        return F.transform(kept, lambda i: F.get(s["a"], i))
+
+    return let(arr, lambda a: let(F.struct(a.alias("a"), F.array_sort(F.transform(
+        a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))).alias("p")), firsts))
 
 
 def digits(col: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import text as T
 from leadspark.functions import urls as U
-from leadspark.operators.keyed import cap_per, first_per, with_ordinal
+from leadspark.operators.keyed import cap_per, cut, first_per, with_ordinal
 
 HIT = ["query", "query_seq", "engine", "engine_seq", "rank", "url", "title", "snippet"]
 
@@ -126,8 +126,8 @@ def capped_batches(fresh: DataFrame, cap: int = 30, batch_size: int = 5) -> Data
 
 
 def all_batches(fresh: DataFrame, batch_size: int = 5) -> DataFrame:
-    """Batch numbers for a wave of any size."""
-    return with_ordinal(fresh, ["wave_no"], "pos", "wave_pos").withColumn("batch_no", _batch(batch_size))
+    """Batch numbers for a wave of any size. The input is read several times, so it is stored first."""
+    return with_ordinal(cut(fresh), ["wave_no"], "pos", "wave_pos").withColumn("batch_no", _batch(batch_size))
 
 
 def _batch(size: int) -> Column:

@@ -11,7 +11,7 @@ from leadspark.operators import hits as HT
 from leadspark.operators import ledger as L
 from leadspark.operators import searchplan as SP
 from leadspark.operators import stats as S
-from leadspark.operators.keyed import first_per
+from leadspark.operators.keyed import cut, first_per
 from leadspark.plans import batch as B
 from leadspark.plans import driver_views as V
 from leadspark.plans import sqltext as Q
@@ -99,8 +99,8 @@ def engine_topup(spark, sf):
     return _topped(spark, sf).select("query", "engine_seq", "rank", "url")
 
 
-def _topped(spark, sf):
-    return HT.topped_up(V.result_queries(spark, sf), HT.primary_hits(V.raw_primary(spark, sf)),
+def _topped(spark, sf, primary=None):
+    return HT.topped_up(V.result_queries(spark, sf), primary or HT.primary_hits(V.raw_primary(spark, sf)),
                         HT.secondary_hits(V.raw_secondary(spark, sf), _ALL_RESULTS), _ALL_RESULTS)
 
 
@@ -110,8 +110,9 @@ SELECT q.query, CASE WHEN t.query IS NULL THEN 'ddg' ELSE 'ddg, google' END AS s
   substr(q.query, 2)::INT % 5 = 0 AS rate_limited
 FROM q LEFT JOIN thin t USING (query) LEFT JOIN n USING (query)""")
 def query_summary(spark, sf):
-    used = HT.engines_used(V.result_queries(spark, sf), HT.primary_hits(V.raw_primary(spark, sf)))
-    return HT.query_summary(used, V.query_log(spark, sf), _topped(spark, sf))
+    primary = cut(HT.primary_hits(V.raw_primary(spark, sf)))
+    used = HT.engines_used(V.result_queries(spark, sf), primary)
+    return HT.query_summary(used, V.query_log(spark, sf), cut(_topped(spark, sf, primary)))
 
 
 @query(f"""WITH {Q.HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query_seq, rank) AS rn FROM hits)
