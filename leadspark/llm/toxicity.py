@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,11 @@ def words(text: str) -> Counter:
 
 
 def features(word: bytes) -> list[int]:
-    """Feature numbers of a word: the word and its starts of 4 to 8 letters."""
-    s = word.decode("utf-8", "replace")
-    return [xxhash.xxh64_intdigest(x) % FEATURES for x in ["w" + s, *("p" + s[:k] for k in range(4, 9) if len(s) > k)]]
+    """Feature numbers of a word: the word and its starts of 4 to 8 bytes."""
+    out = [crc32(word) % FEATURES]
+    for k in range(4, min(9, len(word))):
+        out.append(crc32(word[:k], k) % FEATURES)
+    return out
 
 
 def terms_of(sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> dict[bytes, tuple[int, tuple[bytes, ...]]]:
@@ -183,7 +186,7 @@ def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
 def _scorer(weights, bias: float, name: str):
     """Arrow mapper: the columns as they come and the score. The text is the last column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        weight = weights.value.tolist().__getitem__
         numbers: dict[bytes, int] = {}
         sums, counts = np.zeros(1 << 16), np.zeros(1 << 16)
 
@@ -191,15 +194,15 @@ def _scorer(weights, bias: float, name: str):
             scores = []
             for text in batch.column(batch.num_columns - 1):
                 bag = words(text.as_py() or "")
-                for new in bag.keys() - numbers.keys():
+                for new in [w for w in bag if w not in numbers]:
                     own, k = features(new), len(numbers)
                     if k == len(sums):
                         sums, counts = np.resize(sums, 2 * k), np.resize(counts, 2 * k)
-                    numbers[new], sums[k], counts[k] = k, w[own].sum(), len(own)
+                    numbers[new], sums[k], counts[k] = k, sum(map(weight, own)), len(own)
                 at = np.fromiter(map(numbers.__getitem__, bag), dtype=np.int64, count=len(bag))
                 value = np.log1p(np.fromiter(bag.values(), dtype=np.float64, count=len(bag)))
-                norm = math.sqrt(float((value * value * counts[at]).sum()))
-                logit = bias + (float((value * sums[at]).sum()) / norm if norm else 0.0)
+                norm = math.sqrt((value * value) @ counts[at])
+                logit = bias + (value @ sums[at] / norm if norm else 0.0)
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, logit)))))
                 if len(numbers) > 500_000:
                     numbers.clear()
