@@ -155,16 +155,13 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, fairness: float = FAIRNESS,
-          sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> Model:
-    """A model from ``labelled`` (text, label 0/1). Above ``sample`` rows the ones with the smallest hashes are taken.
+def train(labelled: DataFrame, fairness: float = FAIRNESS, sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> Model:
+    """A model from all rows of ``labelled`` (text, label 0/1); ``labelled_rows`` bounds their number.
 
-    Rows without a label are left out, a null text counts as empty, repeated rows count as often as they occur. Without any row the model scores everything alike and low.
+    A null text counts as empty, repeated rows count as often as they occur. Without any row the model scores everything alike and low.
     """
-    few = labelled.filter("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), text_mark().alias("mark"), whole_text().alias("text")).orderBy(
-        "mark", "label").limit(sample)
-    rows = few.select("label", F.pmod(F.xxhash64("mark"), F.lit(CALIBRATION)).cast("int").alias("fold"), "text").repartition(
-        16).mapInArrow(_training_rows(terms_of(sets)), "label int, fold int, index array<int>, value array<float>, other_index array<int>, other_value array<float>")
+    rows = labelled.select(F.col("label").cast("int").alias("label"), F.pmod(text_mark(), F.lit(CALIBRATION)).cast("int").alias("fold"), whole_text().alias("text")).mapInArrow(
+        _training_rows(terms_of(sets)), "label int, fold int, index array<int>, value array<float>, other_index array<int>, other_value array<float>")
     got = rows.toArrow()
     x = list(zip(*[[np.asarray(v) for v in _arrays(got.column(c))] for c in ("index", "value", "other_index", "other_value")]))
     y, fold = (got.column(c).to_numpy().astype(np.int64) for c in ("label", "fold"))
@@ -224,10 +221,16 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled documents that are not held out. One label for each doc_id: the largest, if they differ."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, label) of at most ``sample`` labelled documents that are not held out, those with the smallest hashes of doc_id.
+
+    One label and one text for each doc_id: the larger label and the text with the smallest hash, if they differ. Only narrow
+    columns are shuffled to find the sample; it is bounded, so its broadcast is.
+    """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+    few = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.min_by("text", text_mark()).alias("text")).select("text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
