@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,16 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of stages whose results are stored.
+
+    Spark deletes them when the driver's collector finds that nothing refers to them any more; a
+    driver with much free memory collects seldom, so a job with many stages asks for it between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from leadspark.llm.common import stored, text_mark, whole_text
+from leadspark.llm.common import discard, release, stored, text_mark, whole_text
 
 LENGTH = 100
 GRAM = 32
@@ -92,77 +93,89 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["gram"])
 
 
-def _bit(gram: np.ndarray) -> np.ndarray:
-    return gram >> np.uint64(64 - TABLE_BITS)
-
-
-def bit_table(repeated: DataFrame) -> np.ndarray:
-    """Bits of the ranks in ``repeated``; at most 2^TABLE_BITS / 64 rows come to the driver, whatever the corpus."""
+def bit_table(ranks_: DataFrame) -> np.ndarray:
+    """A bit for each value of the column ``gram``; at most 2^TABLE_BITS / 64 rows come to the driver, whatever the corpus."""
     word = F.shiftrightunsigned("gram", 64 - TABLE_BITS + 6)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - TABLE_BITS}) & 63 as int))")
-    got = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    got = ranks_.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return table
 
 
-_SEGMENT = "gram long, seg long, after long, around long, doc long, mark long, lo long, at long, hi long"
+def _marked(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit set."""
+    bit = values >> np.uint64(64 - TABLE_BITS)
+    return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _short(rank: np.ndarray) -> np.ndarray:
+    return (rank >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+_SEGMENT = "gram int, seg long, after int, around int, doc long, mark long, lo int, at int, hi int"
 
 
 def _segments(table):
-    """Arrow mapper from (doc, mark, text) to the segments whose rank can repeat."""
+    """Arrow mapper from (doc, mark, text) to the segments whose rank can repeat; ``at`` and ``hi`` count from ``lo``.
+
+    ``after`` and ``around`` only rule windows out, and ``gram`` only backs the 64 bits of ``seg``: half a rank is enough.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table.value
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(10)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             for row, text in enumerate(batch.column(2)):
                 for start, h in _chunks(text.as_buffer().to_pybytes()):
                     at, lo, hi = anchors(h)
-                    bit = _bit(h[at])
-                    keep = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    keep = _marked(words, h[at])
                     at, lo, hi = at[keep], lo[keep], hi[keep]
                     end = hi + LENGTH - GRAM
                     seg = h[lo] ^ ((hi - lo) * 1000 + (at - lo)).astype(np.uint64)
                     for level, step in enumerate((32, 64, 96, 128, 160)):
                         seg = _pair(seg, h[np.minimum(lo + step, end)], level)
-                    after, around = at - hi <= 36, at - lo >= GRAM
-                    columns = (h[at], _mixed(seg), _mixed(_pair(h[at], h[np.minimum(at + GRAM, len(h) - 1)], 0)),
-                               _mixed(_pair(h[np.maximum(at - GRAM, 0)], h[at], 1)), after, around,
-                               np.full(len(at), row), lo + start, at + start, hi + start)
+                    after = _mixed(_pair(h[at], h[np.minimum(at + GRAM, len(h) - 1)], 0))
+                    around = _mixed(_pair(h[np.maximum(at - GRAM, 0)], h[at], 1))
+                    columns = (_short(h[at]), _mixed(seg).view(np.int64), _short(after), _short(around), np.full(len(at), row), lo + start, at - lo, hi - lo)
                     for column, values in zip(out, columns):
                         column.append(values)
-            gram, seg, after, around, has_after, has_around, row, lo, at, hi = (
-                np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+            gram, seg, after, around, row, lo, at, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
             row = pa.array(row.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(after.view(np.int64), mask=~has_after.astype(bool)),
-                 pa.array(around.view(np.int64), mask=~has_around.astype(bool)), batch.column(0).take(row), batch.column(1).take(row),
-                 pa.array(lo.astype(np.int64)), pa.array(at.astype(np.int64)), pa.array(hi.astype(np.int64))],
+                [pa.array(gram.astype(np.int32)), pa.array(seg), pa.array(after.astype(np.int32), mask=at - hi > 36),
+                 pa.array(around.astype(np.int32), mask=at < GRAM), batch.column(0).take(row), batch.column(1).take(row),
+                 *[pa.array(c.astype(np.int32)) for c in (lo, at, hi)]],
                 ["gram", "seg", "after", "around", "doc", "mark", "lo", "at", "hi"])
     return run
 
 
+def _asked(table):
+    """Arrow mapper over (doc, mark, text, tag): the documents that can have windows to look at, without the tag."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = table.value
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(words, batch.column(3).to_numpy().view(np.uint64)))).select([0, 1, 2])
+    return run
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow mapper from (doc, mark, runs, text) to (gram, whole, doc, mark, p): ranks of 100 bytes of the asked windows."""
+    """Arrow mapper from (doc, mark, runs, text) to (gram, whole, doc, mark, lo): ranks of 100 bytes of the asked windows."""
     for batch in batches:
-        gram, whole, row, place = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        gram, whole, row, place = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, (runs, text) in enumerate(zip(batch.column(2), batch.column(3))):
-            asked = runs.values
-            grams, first, last = (asked.field(k).to_numpy() for k in range(3))
+            grams, first, last = (runs.values.field(k).to_numpy().astype(t) for k, t in enumerate((np.int32, np.int64, np.int64)))
             for start, h in _chunks(text.as_buffer().to_pybytes()):
                 lo, hi = np.maximum(first, start), np.minimum(last, start + CHUNK - 1)
                 n = np.maximum(hi - lo + 1, 0)
                 p = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) - start
-                half = _pair(h[p], h[p + 32], 2)
-                other = _pair(h[p + 36], h[p + 68], 2)
                 gram.append(np.repeat(grams, n))
-                whole.append(_mixed(_pair(half, other, 3)))
+                whole.append(_mixed(_pair(_pair(h[p], h[p + 32], 2), _pair(h[p + 36], h[p + 68], 2), 3)))
                 row.append(np.full(len(p), i))
                 place.append(p + start)
         at = pa.array(np.concatenate(row))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(gram)), pa.array(np.concatenate(whole).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at),
-             pa.array(np.concatenate(place))], ["gram", "whole", "doc", "mark", "p"])
+             pa.array(np.concatenate(place).astype(np.int32))], ["gram", "whole", "doc", "mark", "lo"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,42 +202,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _first(*more: str):
-    """The earliest place of a group, with further columns of its row."""
-    return F.min(F.struct("doc", "mark", "lo", *more)).alias("first")
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc, mark, text of each row. ``doc`` and ``mark`` order the documents; the mark is only needed where doc_id repeats or is null."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    mark = F.lit(0).cast("long") if odd.isEmpty() else text_mark()
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), mark.alias("mark"), whole_text().alias("text"))
 
 
-def _is_first():
-    return (F.col("doc") == F.col("first.doc")) & (F.col("mark") == F.col("first.mark")) & (F.col("lo") == F.col("first.lo"))
+def repeats(texts: DataFrame) -> DataFrame:
+    """(doc, mark, first, last): byte ranges that go, as they are found; they overlap.
 
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, mark, first, last): byte ranges that go, as they are found; they overlap."""
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), text_mark().alias("mark"), whole_text().alias("text"))
-    long = texts.filter(F.octet_length("text") >= LENGTH)
-    twice = stored(long.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    table = spark.sparkContext.broadcast(bit_table(twice))
-    segments = stored(long.mapInArrow(_segments(table), _SEGMENT))
-
-    firsts = stored(segments.groupBy("gram", "seg").agg(_first("at", "hi", "after", "around")).select("gram", "seg", "first"))
-    later = segments.join(firsts, ["gram", "seg"]).filter(~_is_first()).select("doc", "mark", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("last"))
-
-    one = firsts.select("gram", "first.*")
-    again = {c: one.filter(F.col(c).isNotNull()).groupBy("gram", c).agg(F.count("*").alias("n")).filter("n > 1").select("gram", c, F.lit(True).alias(f"{c}_again"))
-             for c in ("after", "around")}
-    open_ = one.join(again["after"], ["gram", "after"], "left").join(again["around"], ["gram", "around"], "left")
-    # A window at distance d before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
-    farthest = F.when(F.col("around_again").isNull(), F.greatest(F.col("lo"), F.col("at") - 31)).otherwise(F.col("lo"))
+    Each step is stored, so that files of the steps before it can go.
+    """
+    spark = texts.sparkSession
+    long = texts.filter(F.octet_length("text") >= LENGTH).select("doc", "mark", "text")
+    share = spark.sparkContext.broadcast
+    twice = long.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    segments = stored(long.mapInArrow(_segments(share(bit_table(twice))), _SEGMENT))
+    release(spark)
+
+    place = F.min(F.struct("doc", "mark", "lo", "at", "hi", "after", "around")).alias("first")
+    firsts = stored(segments.groupBy("gram", "seg").agg(place).select("gram", "seg", "first.*"))
+    release(spark)
+    start = firsts.select("gram", "seg", F.struct("doc", "mark", "lo").alias("start"))
+    later = stored(segments.select("gram", "seg", "doc", "mark", "lo", "hi").join(start, ["gram", "seg"]).filter(
+        F.struct("doc", "mark", "lo") != F.col("start")).select("doc", "mark", F.col("lo").alias("first"), (F.col("lo") + F.col("hi") + LENGTH).alias("last")))
+    discard(segments)
+    release(spark)
+
+    def again(rank: str) -> DataFrame:
+        return firsts.filter(F.col(rank).isNotNull()).groupBy("gram", rank).agg(F.count("*").alias("n")).filter("n > 1").select(
+            "gram", rank, F.lit(True).alias(f"{rank}_again"))
+
+    left = firsts.drop("seg").join(again("after"), ["gram", "after"], "left").join(again("around"), ["gram", "around"], "left")
+    # A window d bytes before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
+    farthest = F.when(F.col("around_again").isNull(), F.greatest(F.lit(0), F.col("at") - 31)).otherwise(0)
     nearest = F.when(F.col("after_again").isNull(), F.least(F.col("hi"), F.col("at") - 37)).otherwise(F.col("hi"))
-    runs = open_.filter("after_again IS NOT NULL OR around_again IS NOT NULL").select(
-        "doc", "mark", "gram", farthest.alias("first"), nearest.alias("last")).filter("first <= last")
-    asked = runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
-    windows = stored(asked.join(long, ["doc", "mark"]).select("doc", "mark", "runs", "text").mapInArrow(
-        _windows, "gram long, whole long, doc long, mark long, p long"))
-    placed = windows.withColumnRenamed("p", "lo")
-    equal = placed.groupBy("gram", "whole").agg(_first(), F.count("*").alias("n")).filter("n > 1").select("gram", "whole", "first")
-    single = placed.join(equal, ["gram", "whole"]).filter(~_is_first()).select("doc", "mark", F.col("lo").alias("first"), (F.col("lo") + LENGTH).alias("last"))
+    runs = left.filter("after_again IS NOT NULL OR around_again IS NOT NULL").select(
+        "doc", "mark", "gram", (F.col("lo") + farthest).alias("first"), (F.col("lo") + nearest).alias("last")).filter("first <= last")
+    asked = stored(runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs")))
+    discard(firsts)
+    release(spark)
+    tag = F.xxhash64("doc", "mark")
+    few = long.withColumn("tag", tag).mapInArrow(_asked(share(bit_table(asked.select(tag.alias("gram"))))), "doc long, mark long, text string")
+    windows = asked.join(few, ["doc", "mark"]).select("doc", "mark", "runs", "text").mapInArrow(
+        _windows, "gram int, whole long, doc long, mark long, lo int")
+    # Only first segments are left, and each place is in one of them: a window is in few of them next to all windows.
+    order = W.partitionBy("gram", "whole").orderBy("doc", "mark", "lo")
+    single = stored(windows.withColumn("nth", F.rank().over(order)).filter("nth > 1").select(
+        "doc", "mark", F.col("lo").alias("first"), (F.col("lo") + LENGTH).alias("last")))
+    release(spark)
     return later.unionByName(single)
 
 
@@ -235,7 +262,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text) stand at one place and do not remove each other; rows that share only the doc_id are ordered by a hash of their text.
     Other columns are not read. An empty table gives an empty result.
     """
-    ranges = repeats(docs).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), text_mark().alias("mark"), whole_text().alias("text"))
+    texts = _placed(docs)
+    ranges = repeats(texts).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     return texts.join(ranges, ["doc", "mark"], "left").select("doc_id", "text", "runs").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
