@@ -12,6 +12,7 @@ pieces of a length together; the plan is a list of runs.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -165,6 +166,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs.rows
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
 def _pieces(vocabulary: str, capacity: int, end_id: int):
     """Arrow mapper from (doc_id, text) to the pieces of each document.
 
@@ -193,14 +201,24 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
             ids = tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
 
-        parts = Cache(encode)
+        model, plain = tokenizer.model, re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+        def encode_word(word: bytes) -> bytes:
+            """Ids of one group of letters: what normalising and splitting leave as it is goes to the model at once."""
+            text = word.decode("utf-8", "replace").lower()
+            if not plain(text):
+                return encode(word)
+            ids = [t.id for t in model.tokenize(text if text.isascii() else "".join(map(letters.__getitem__, text.encode())))]
+            return b"".join(i.to_bytes(4, "little") for i in ids)
+
+        letters, parts, word_parts = byte_letters(), Cache(encode), Cache(encode_word)
 
         def split(chunk: bytes) -> bytes:
             """Ids of a chunk; a run of ASCII punctuation after a letter is a token group of its own."""
             core = chunk.rstrip(PUNCTUATION)
             if not core or b"<|" in chunk or not core.decode("utf-8", "replace")[-1].isalpha():
                 return parts[chunk]
-            return parts[core.lower()] + (parts[chunk[len(core):]] if len(core) < len(chunk) else b"")
+            return word_parts[core.lower()] + (parts[chunk[len(core):]] if len(core) < len(chunk) else b"")
 
         known, end = Cache(split), end_id.to_bytes(4, "little")
         step = 4 * capacity
