@@ -104,8 +104,8 @@ def _training_rows(terms: dict[bytes, tuple[int, tuple[bytes, ...]]]):
 def _rows(indices: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Concatenated index, value and row number."""
     if not indices:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    return np.concatenate(indices).astype(np.int64), np.concatenate(values).astype(np.float64), np.repeat(np.arange(len(indices)), [len(i) for i in indices])
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int32)
+    return np.concatenate(indices), np.concatenate(values), np.repeat(np.arange(len(indices), dtype=np.int32), [len(i) for i in indices])
 
 
 def _logits(weights: np.ndarray, bias: float, rows, n: int) -> np.ndarray:
