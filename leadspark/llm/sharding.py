@@ -2,10 +2,10 @@
 
 Documents with equal texts form a group with a vector (bytes, tokens, rows). Each group goes as a whole to the shard
 where the dot product of its vector with the shard's residual capacity is highest, largest first. A group above
-``1/SPLIT`` of a shard is dealt in parts, since no shard could stay balanced with it whole.
+``1/SPLIT`` of a shard in bytes, tokens or rows is dealt in parts, since no shard could stay balanced with it whole.
 
-Placing is sequential, so it must not see every group. A unit above ``1/FINE`` of a shard is placed on its own; by
-arithmetic there are at most shards x FINE of these. All smaller ones are put together into lots by size class and hash; a lot
+Placing is sequential, so it must not see every group. A unit above ``1/FINE`` of a shard in any of the three is placed on
+its own; by arithmetic there are at most 3 x shards x FINE of these. All smaller ones are put together into lots by size class and hash; a lot
 has an exact summed vector and is placed like a group. The driver sees only units, a number that does not depend on the
 corpus.
 """
@@ -20,8 +20,8 @@ from leadspark.llm.common import numbered, stored, whole_text
 
 SHARDS = 40
 OVERHEAD = 16
-SPLIT = 64      # a group above 1/SPLIT of a shard is dealt in parts
-FINE = 1000     # units above 1/FINE of a shard are placed one by one
+SPLIT = 64      # a group above 1/SPLIT of a shard, by its largest share, is dealt in parts
+FINE = 1000     # units above 1/FINE of a shard, by their largest share, are placed one by one
 LOTS = 256      # lots for each size class of the small ones
 
 
@@ -61,19 +61,19 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     rows = stored(measured(docs))
     vector = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    total = rows.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
-    portion = max(1.0, total / shards)
+    totals = rows.agg(*vector).first()
+    # The part of a shard that a vector fills, in the dimension where that is most.
+    share = F.greatest(*[F.col(c) / F.lit(max(1.0, (totals[c] or 0) / shards)) for c in ("bytes", "tokens", "rows")])
     group = ["key", "size", "text_crc32"]
-    # Groups above 1/SPLIT of a shard: fewer than shards x SPLIT.
-    large = rows.groupBy(*group).agg(*vector).filter(F.col("bytes") > portion / SPLIT).select(
-        *group, F.least(F.ceil(F.col("bytes") * SPLIT / F.lit(portion)), F.col("rows")).alias("parts"))
+    # Groups above 1/SPLIT of a shard: fewer than 3 x shards x SPLIT.
+    large = rows.groupBy(*group).agg(*vector).filter(share * SPLIT > 1).select(
+        *group, F.least(F.ceil(share * SPLIT), F.col("rows")).alias("parts"))
     parted = rows.join(F.broadcast(large), group, "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    whole = F.col("bytes") > F.lit(portion / FINE)
-    unit = F.when(whole, F.concat_ws(":", F.lit("u"), *group, "part")).otherwise(
+    unit = F.when(share * FINE > 1, F.concat_ws(":", F.lit("u"), *group, "part")).otherwise(
         F.concat_ws(":", F.lit("lot"), F.floor(F.log2("bytes")), F.pmod(F.xxhash64(*group, "part"), F.lit(LOTS))))
     units = parted.groupBy(*group, "part").agg(*vector).withColumn("unit", unit)
-    # At most shards x FINE units of their own, and LOTS lots for each power of two of a size.
+    # At most 3 x shards x FINE units of their own, and LOTS lots for each power of two of a size.
     summed = units.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")]).orderBy("unit").collect()
     chosen = choose(np.array([[r["bytes"], r["tokens"], r["rows"]] for r in summed], dtype=float).reshape(-1, 3), shards)
     table = spark.createDataFrame([(r["unit"], int(s)) for r, s in zip(summed, chosen)], "unit string, shard int")

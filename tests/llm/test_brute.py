@@ -179,6 +179,15 @@ def test_a_hot_group_is_dealt_out(spark):
     assert small.groupby("text_crc32")["shard"].nunique().max() == 1            # small groups stay whole
 
 
+@pytest.mark.parametrize("hot", ["", "x"])
+def test_a_group_hot_by_rows_alone_is_dealt_out(spark, hot):
+    """A third of the rows are empty or very short: few bytes, many shards' worth of rows."""
+    rows = [(i, hot if i % 3 == 0 else f"text {i} " + "word " * (i * 7919 % 400)) for i in range(9000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 40).toPandas()
+    for sums in (got.groupby("shard")["size"].sum(), got.groupby("shard")["doc_id"].count()):
+        assert len(sums) == 40 and sums.max() / sums.mean() < 1.1 and sums.min() / sums.mean() > 0.9
+
+
 # toxicity
 
 def test_toxicity_on_held_out_rows(spark):
