@@ -19,11 +19,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from leadspark.llm.common import fresh, text_mark, whole_text
 
 SAMPLE = 12_000         # most labelled texts that training sees
+SAMPLE_BYTES = 1 << 26  # most bytes of text that training sees; the driver holds their words as numbers
+BLOCK = 1 << 18         # entries summed at a time
 FEATURES = 1 << 18
 RIDGE = 3e-5
 FAIRNESS = 1.0          # weight of the counterfactual penalty
@@ -74,60 +77,79 @@ def counterfactual(bag: Counter, terms: dict[bytes, tuple[int, tuple[bytes, ...]
     return out
 
 
-def vector(bag: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (they may repeat) and values, of unit length over word features."""
-    index, value = [], []
-    for word, n in bag.items():
-        own = features(word)
-        index += own
-        value += [math.log1p(n)] * len(own)
-    v = np.array(value, dtype=np.float32)
-    return np.array(index, dtype=np.int32), v / max(1e-9, math.sqrt(float((v * v).sum())))
-
-
 def _training_rows(terms: dict[bytes, tuple[int, tuple[bytes, ...]]]):
-    """Arrow mapper from (label, fold, text) to vectors; the counterfactual ones are empty without identity terms."""
+    """Arrow mapper from (label, fold, text) to words and counts; the counterfactual ones are empty without identity terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(2).to_pylist():
-                bag = words(text)
-                other = counterfactual(bag, terms, xxhash.xxh32_intdigest(text.encode("utf-8", "replace")))
-                for column, array in zip(out, (*vector(bag), *vector(other))):
-                    column.append(array)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int32(), pa.float32()) * 2)]],
-                ["label", "fold", "index", "value", "other_index", "other_value"])
+            bags = [words(text) for text in batch.column(2).to_pylist()]
+            others = [counterfactual(bag, terms, xxhash.xxh32_intdigest(text.encode("utf-8", "replace")))
+                      for bag, text in zip(bags, batch.column(2).to_pylist())]
+            columns = [pa.array(map(part, some), kind) for some in (bags, others)
+                       for part, kind in ((list, pa.list_(pa.binary())), (lambda bag: list(bag.values()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["label", "fold", "words", "counts", "other_words", "other_counts"])
     return run
 
 
-def _rows(indices: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenated index, value and row number."""
-    if not indices:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int32)
-    return np.concatenate(indices), np.concatenate(values), np.repeat(np.arange(len(indices), dtype=np.int32), [len(i) for i in indices])
+class Bags:
+    """Bags of words as sparse rows over a vocabulary: for each entry its word number, value and row number.
+
+    A row has unit length over the features of its words, so a feature's weight counts for every word that has it.
+    """
+
+    def __init__(self, word: np.ndarray, count: np.ndarray, row: np.ndarray, n: int, vocabulary: Vocabulary):
+        value = np.log1p(count.astype(np.float32))
+        norm = np.sqrt(np.bincount(row, weights=value * value * vocabulary.width[word], minlength=n))
+        self.word, self.row, self.n = word, row, n
+        self.value = value / np.maximum(1e-9, norm)[row].astype(np.float32)
+
+    def logits(self, word_weights: np.ndarray) -> np.ndarray:
+        return self._sums(self.row, self.value, word_weights, self.word, self.n)
 
+    def pull(self, errors: np.ndarray, size: int) -> np.ndarray:
+        """What each word gathers from the errors of its rows."""
+        return self._sums(self.word, self.value, errors, self.row, size)
 
-def _logits(weights: np.ndarray, bias: float, rows, n: int) -> np.ndarray:
-    index, value, row = rows
-    return np.bincount(row, weights=value * weights[index], minlength=n) + bias
+    @staticmethod
+    def _sums(into: np.ndarray, value: np.ndarray, other: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for lo in range(0, len(into), BLOCK):       # temporary arrays stay small
+            part = slice(lo, lo + BLOCK)
+            out += np.bincount(into[part], weights=value[part] * other[at[part]], minlength=n)
+        return out
 
 
-def fit(x: list, y: np.ndarray, pairs: list, fairness: float = FAIRNESS, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias. ``x``: (index, value) for each label; ``pairs``: (index, value, other index, other value)."""
+class Vocabulary:
+    """The features of numbered words as sparse rows."""
+
+    def __init__(self, all_words: list[bytes]):
+        own = [features(w) for w in all_words]
+        self.width = np.array([len(f) for f in own] or [0], dtype=np.int32)
+        self.feature = np.array([f for fs in own for f in fs], dtype=np.int32)
+        self.word = np.repeat(np.arange(len(own), dtype=np.int32), self.width[:len(own)])
+        self.size = len(self.width)
+
+    def weights(self, weights: np.ndarray) -> np.ndarray:
+        """The weight of each word."""
+        return np.bincount(self.word, weights=weights[self.feature], minlength=self.size)
+
+    def gradient(self, word_gradient: np.ndarray) -> np.ndarray:
+        return np.bincount(self.feature, weights=word_gradient[self.word], minlength=FEATURES)
+
+
+def fit(vocabulary: Vocabulary, x: Bags, y: np.ndarray, first: Bags, second: Bags, fairness: float = FAIRNESS, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias. ``x``: a row for each label; ``first`` and ``second``: texts and their counterfactuals, row by row."""
     weights, bias = np.zeros(FEATURES), -1.0
-    rows, n = _rows([i for i, _ in x], [v for _, v in x]), len(x)
-    # The difference of a text and its counterfactual as one sparse row.
-    delta = _rows([np.concatenate([p[0], p[2]]) for p in pairs], [np.concatenate([p[1], -p[3]]) for p in pairs])
-    first, second = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+    mean, spread = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for t in range(1, steps + 1):
-        error = 1 / (1 + np.exp(-_logits(weights, bias, rows, n))) - y
-        gradient = np.append(np.bincount(rows[0], weights=rows[1] * error[rows[2]], minlength=FEATURES) / max(1, n) + RIDGE * weights, error.mean() if n else 0.0)
-        if pairs:
-            gap = _logits(weights, 0.0, delta, len(pairs))
-            gradient[:-1] += 2 * fairness / len(pairs) * np.bincount(delta[0], weights=delta[1] * gap[delta[2]], minlength=FEATURES)
-        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient ** 2
-        step = RATE * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-8)
+        of_word = vocabulary.weights(weights)
+        error = 1 / (1 + np.exp(-(x.logits(of_word) + bias))) - y
+        pull = x.pull(error, vocabulary.size) / max(1, x.n)
+        if first.n:
+            gap = (first.logits(of_word) - second.logits(of_word)) * (2 * fairness / first.n)
+            pull += first.pull(gap, vocabulary.size) - second.pull(gap, vocabulary.size)
+        gradient = np.append(vocabulary.gradient(pull) + RIDGE * weights, error.mean() if x.n else 0.0)
+        mean, spread = 0.9 * mean + 0.1 * gradient, 0.99 * spread + 0.01 * gradient ** 2
+        step = RATE * (mean / (1 - 0.9 ** t)) / (np.sqrt(spread / (1 - 0.99 ** t)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
     return weights, bias
 
@@ -161,23 +183,38 @@ def train(labelled: DataFrame, fairness: float = FAIRNESS, sets: tuple[tuple[str
     A null text counts as empty, repeated rows count as often as they occur. Without any row the model scores everything alike and low.
     """
     rows = labelled.select(F.col("label").cast("int").alias("label"), F.pmod(text_mark(), F.lit(CALIBRATION)).cast("int").alias("fold"), whole_text().alias("text")).mapInArrow(
-        _training_rows(terms_of(sets)), "label int, fold int, index array<int>, value array<float>, other_index array<int>, other_value array<float>")
-    got = rows.toArrow()
-    x = list(zip(*[[np.asarray(v) for v in _arrays(got.column(c))] for c in ("index", "value", "other_index", "other_value")]))
+        _training_rows(terms_of(sets)), "label int, fold int, words array<binary>, counts array<int>, other_words array<binary>, other_counts array<int>")
+    got = rows.toArrow().combine_chunks()
     y, fold = (got.column(c).to_numpy().astype(np.int64) for c in ("label", "fold"))
+    flat = [_flat(got, c) for c in ("words", "other_words")]
+    coded = pa.chunked_array([f for f, _ in flat], pa.binary()).dictionary_encode().combine_chunks()
+    code = coded.indices.to_numpy().astype(np.int32) if len(coded) else np.zeros(0, np.int32)
+    vocabulary = Vocabulary(coded.dictionary.to_pylist() if len(coded) else [])
+    counts = [_flat(got, c)[0].to_numpy().astype(np.int32) for c in ("counts", "other_counts")]
+    entries = [(code[:len(flat[0][0])], counts[0], flat[0][1]), (code[len(flat[0][0]):], counts[1], flat[1][1])]
+    del got, coded, code, counts
+
+    def bags(which: int, chosen: np.ndarray) -> Bags:
+        number = np.full(len(y), -1, dtype=np.int32)
+        number[chosen] = np.arange(len(chosen), dtype=np.int32)
+        word, count, row = entries[which]
+        keep = number[row] >= 0
+        return Bags(word[keep], count[keep], number[row[keep]], len(chosen), vocabulary)
+
     learn, check = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
-    pairs = [x[i] for i in learn if len(x[i][2])]
-    weights, bias = fit([x[i][:2] for i in learn], y[learn], pairs, fairness)
-    logits = _logits(weights, bias, _rows([x[i][0] for i in check], [x[i][1] for i in check]), len(check))
+    swapped = np.intersect1d(learn, np.unique(flat[1][1]))
+    weights, bias = fit(vocabulary, bags(0, learn), y[learn], bags(0, swapped), bags(1, swapped), fairness)
+    logits = bags(0, check).logits(vocabulary.weights(weights)) + bias
     a, b = calibrate(logits, y[check])
     return Model(a * weights, a * bias + b)
 
 
-def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
-    for chunk in column.chunks:
-        flat, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
-        for lo, hi in zip(ends, ends[1:]):
-            yield flat[lo:hi]
+def _flat(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """All entries of a list column and the row number of each."""
+    column = table.column(name)
+    parts = column.chunks or [pa.array([], column.type)]
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts])
+    return pa.concat_arrays([c.flatten() for c in parts]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def _scorer(weights, bias: float, name: str):
@@ -221,14 +258,18 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(text, label) of at most ``sample`` labelled documents that are not held out, those with the smallest hashes of doc_id.
 
-    One label and one text for each doc_id: the larger label and the text with the smallest hash, if they differ. Only narrow
-    columns are shuffled to find the sample; it is bounded, so its broadcast is.
+    They hold at most ``sample_bytes`` bytes together; a text above a 64th of that is left to scoring. One label and one text for each doc_id: the
+    larger label and the text with the smallest hash, if they differ. Only narrow columns are shuffled to find the sample; it is
+    bounded, so its broadcast is.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    few = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    sizes = docs.select("doc_id", F.octet_length(whole_text()).cast("long").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    few = marks.join(sizes.filter(F.col("size") <= sample_bytes // 64), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    so_far = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)       # over ``sample`` rows at most
+    few = few.withColumn("so_far", F.sum("size").over(so_far)).filter(F.col("so_far") <= sample_bytes).select("doc_id", "label")
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
         F.min("label").alias("label"), F.min_by("text", text_mark()).alias("text")).select("text", "label")
 
