@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from leadspark.llm import decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
+from leadspark.llm import (centroids, decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity,
+                           url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,6 +73,21 @@ def exact_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query("op11_substring_doubling", substring_dedup.SQL)
+def substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op12_va_file_clusters", centroids.sql())
+def va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
