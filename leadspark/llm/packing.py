@@ -12,6 +12,7 @@ pieces of a length together; the plan is a list of runs.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -25,9 +26,18 @@ from leadspark.llm.common import numbered, stored, whole_text
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000     # words whose ids a task keeps, in each of three tables
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: How a vocabulary must normalise and split for words to be looked up on their own.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
 
 def public_vocabulary() -> str:
     """The vocabulary file of the packing query and of the pipeline's last stage."""
@@ -176,9 +186,11 @@ def byte_letters() -> list[str]:
 def _pieces(vocabulary: str, capacity: int, end_id: int):
     """Arrow mapper from (doc_id, text) to the pieces of each document.
 
-    The tokenizer never joins characters across white space, so ids are looked up chunk by chunk
-    (ASCII white space only) in a table of chunks seen before, and only new chunks are encoded.
+    A vocabulary with the normaliser and splitter of ``WORDWISE`` never joins characters across white space, so its ids are looked up chunk by
+    chunk (ASCII white space only) in a table of chunks seen before, and only new chunks are encoded. Any other vocabulary gets whole texts.
     """
+    wordwise = all(json.loads(vocabulary).get(k) == v for k, v in WORDWISE.items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
@@ -201,31 +213,31 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
             ids = tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
 
-        model, plain = tokenizer.model, re.compile("[a-zß-öø-ÿ]+").fullmatch
+        # Letters that lower-casing and normalising turn into one letter of the same kind, whatever stands next to them.
+        model, plain = tokenizer.model, re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-        def encode_word(word: bytes) -> bytes:
-            """Ids of one group of letters: what normalising and splitting leave as it is goes to the model at once."""
-            text = word.decode("utf-8", "replace").lower()
-            if not plain(text):
-                return encode(word)
+        def encode_word(text: str) -> bytes:
+            """Ids of one group of plain lower-case letters, by the model at once."""
             ids = [t.id for t in model.tokenize(text if text.isascii() else "".join(map(letters.__getitem__, text.encode())))]
             return b"".join(i.to_bytes(4, "little") for i in ids)
 
         letters, parts, word_parts = byte_letters(), Cache(encode), Cache(encode_word)
 
         def split(chunk: bytes) -> bytes:
-            """Ids of a chunk; a run of ASCII punctuation after a letter is a token group of its own."""
+            """Ids of a chunk; a run of ASCII punctuation after plain letters is a token group of its own."""
             core = chunk.rstrip(PUNCTUATION)
-            if not core or b"<|" in chunk or not core.decode("utf-8", "replace")[-1].isalpha():
+            core_text = core.decode("utf-8", "replace")
+            if not plain(core_text):
                 return parts[chunk]
-            return word_parts[core.lower()] + (parts[chunk[len(core):]] if len(core) < len(chunk) else b"")
+            return word_parts[core_text.lower()] + (parts[chunk[len(core):]] if len(core) < len(chunk) else b"")
 
         known, end = Cache(split), end_id.to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(map(known.__getitem__, text.as_buffer().to_pybytes().split())) + end
+                data = text.as_buffer().to_pybytes()
+                ids = (b"".join(map(known.__getitem__, data.split())) if wordwise else encode(data)) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
