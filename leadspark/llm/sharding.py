@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced together.
 
 Documents with equal texts form a group with a vector (bytes, tokens, rows). Each group goes as a whole to the shard
-where the dot product of its vector with the shard's residual capacity is highest, largest first. A group above
-``1/SPLIT`` of a shard in bytes, tokens or rows is dealt in parts, since no shard could stay balanced with it whole.
+where the dot product of its vector with the shard's residual capacity is highest, largest first. Only a group that is more
+than a whole shard in bytes, tokens or rows cannot stay together; it is dealt in parts of ``1/SPLIT`` of a shard.
 
 Placing is sequential, so it must not see every group. A unit above ``1/FINE`` of a shard in any of the three is placed on
 its own; by arithmetic there are at most 3 x shards x FINE of these. All smaller ones are put together into lots by size class and hash; a lot
@@ -20,7 +20,7 @@ from leadspark.llm.common import numbered, stored, whole_text
 
 SHARDS = 40
 OVERHEAD = 16
-SPLIT = 64      # a group above 1/SPLIT of a shard, by its largest share, is dealt in parts
+SPLIT = 64      # a group above a whole shard, by its largest share, is dealt in parts of 1/SPLIT of a shard
 FINE = 1000     # units above 1/FINE of a shard, by their largest share, are placed one by one
 LOTS = 256      # lots for each size class of the small ones
 
@@ -65,8 +65,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # The part of a shard that a vector fills, in the dimension where that is most.
     share = F.greatest(*[F.col(c) / F.lit(max(1.0, (totals[c] or 0) / shards)) for c in ("bytes", "tokens", "rows")])
     group = ["key", "size", "text_crc32"]
-    # Groups above 1/SPLIT of a shard: fewer than 3 x shards x SPLIT.
-    large = rows.groupBy(*group).agg(*vector).filter(share * SPLIT > 1).select(
+    # Groups above a shard: fewer than 3 x shards.
+    large = rows.groupBy(*group).agg(*vector).filter(share > 1).select(
         *group, F.least(F.ceil(share * SPLIT), F.col("rows")).alias("parts"))
     parted = rows.join(F.broadcast(large), group, "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
