@@ -3,20 +3,21 @@
 A seed is a fixed mask over a window of tokens: positions marked 1 are hashed, the others may be anything. Hashes of all
 windows of the test items are put into a sorted table, hashes of all windows of each document are joined to it, and every
 hit fixes one alignment of the document with an item. Around the hit the alignment is extended token by token; it counts
-when a stretch of at least ``LEAST`` tokens (or the whole item, if that is shorter) agrees in at least ``SIMILARITY`` of its
-positions and starts and ends with equal tokens. Substituted tokens are tolerated, in the seed's gaps and in the stretch.
+when a stretch of at least ``LEAST`` tokens agrees in at least ``SIMILARITY`` of its positions and starts and ends with equal tokens. An item
+of fewer tokens is compared as a whole, its ends included. Substituted tokens are tolerated, in the seed's gaps and in the stretch.
 
 The masks reach every such stretch at the default similarity: with a fifth of at least 13 tokens substituted, four equal tokens in a row are left,
 or (15 tokens, three substitutions) four runs of three. Items of 5, 6 and 10 tokens have masks of their own. A test enumerates the patterns.
 
-Test sets are small next to a corpus, but nothing relies on it: the items are cut into blocks of at most
-``BLOCK_BYTES`` of text, each block is sent to the tasks on its own, and the findings are put together.
+Test sets are small next to a corpus, but nothing relies on it: the items are cut into blocks of about
+``BLOCK_BYTES`` of text, whole items each, and one block after the other is collected, sent to the tasks and used up.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadspark.llm.common import fresh, whole_text
+from leadspark.llm.common import discard, fresh, stored, whole_text
 
 MASKS = ("111111", "11011011", "1110100111", "1111011110", "1111", "1110111")   # Fixed values
 SHORT_MASKS = {5: ("111", "11011"), 6: ("11011",), 10: ("111011",)}     # further ones for items of so many tokens
@@ -33,6 +34,7 @@ LEAST = 13
 SIMILARITY = 0.8
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
+KNOWN_WORDS = 1 << 18   # words whose id a task keeps
 PAIRS = 1 << 21     # pairs of tokens compared at a time
 
 #: ASCII letters lower-cased, digits kept, other ASCII to spaces; bytes of other characters stay.
@@ -45,7 +47,7 @@ class _Ids(dict):
 
     def __missing__(self, token: bytes) -> int:
         value = xxhash.xxh64_intdigest(token)
-        if len(self) >= 1 << 20:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[token] = value
         return value
@@ -133,6 +135,20 @@ class Table:
             at = to
         return np.concatenate(out)
 
+    def equal(self, ids: np.ndarray, item: int, diagonal: int) -> int:
+        """Equal tokens of an alignment over the whole item; what lies outside ``ids`` differs."""
+        want = self.items[item]
+        lo, hi = max(0, -diagonal), min(len(want), len(ids) - diagonal)
+        return int((want[lo:hi] == ids[diagonal + lo:diagonal + hi]).sum()) if lo < hi else 0
+
+    def agreed(self, ids: np.ndarray, item: int, diagonal: int, least: int, similarity: float = SIMILARITY) -> int:
+        """Tokens of the stretch for which an alignment counts; 0 if it does not."""
+        size = len(self.items[item])
+        if size < least:
+            return size if self.equal(ids, item, diagonal) >= similarity * size - 1e-9 else 0
+        n = self.stretch(ids, item, diagonal, similarity)[1]
+        return n if n >= least else 0
+
     def stretch(self, ids: np.ndarray, item: int, diagonal: int, similarity: float = SIMILARITY) -> tuple[int, int]:
         """(first position, tokens) of the longest stretch of an alignment with the asked share of equal tokens."""
         want = self.items[item]
@@ -182,8 +198,8 @@ def _mapper(items: list[tuple[int, str]], masks: tuple[str, ...], least: int, si
                     if begin[doc] >= diagonal + len(table.items[item]):
                         break
                     own = ids[begin[doc]:begin[doc] + lengths[doc]]
-                    _, n = table.stretch(own, item, diagonal - int(begin[doc]), similarity)
-                    if n >= min(least, len(table.items[item])):
+                    n = table.agreed(own, item, diagonal - int(begin[doc]), least, similarity)
+                    if n:
                         found[doc][table.names[item]] = max(n, found[doc].get(table.names[item], 0))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([sorted(f) for f in found], pa.list_(pa.int64())),
@@ -192,12 +208,13 @@ def _mapper(items: list[tuple[int, str]], masks: tuple[str, ...], least: int, si
     return run
 
 
-def _blocks(tests: DataFrame) -> list[list[tuple[int, str]]]:
-    """The test items in blocks of bounded size, whole items each. Items without text or id are left out."""
-    items = tests.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+def _blocks(tests: DataFrame) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of test items, and the blocks one after the other. Items without text or id are left out."""
+    items = stored(tests.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
-    return [[(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return n, ([(r["item_id"], r["text"]) for r in items.filter(part == k).collect()] for k in range(n))
 
 
 def _found(docs: DataFrame, items: list[tuple[int, str]], masks, least, similarity) -> tuple[DataFrame, str, str]:
@@ -215,25 +232,33 @@ def contamination(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...] = MA
     A null or empty text is never contaminated; test items without text or id are ignored; without any item
     nothing is contaminated. Repeated rows and null ids keep their own rows. Repeated items count once. Other columns are not read.
     """
-    narrow = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    blocks = _blocks(tests)
-    parts = [_found(narrow, block, masks, least, similarity)[0].select("_row", "doc_id", "_items", "_longest") for block in blocks]
-    if len(parts) == 1:
-        out = parts[0]
-    else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        out = every.groupBy("_row", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-                                                  F.max("_longest").alias("_longest"))
-    return out.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_longest").alias("longest"))
+    n, blocks = _blocks(tests)
+    report = ["doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_longest").alias("longest")]
+    if n == 1:
+        return _found(docs.select("doc_id", "text"), next(blocks), masks, least, similarity)[0].select(*report)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"))      # stored, so numbers stay as they are
+    parts = [stored(_found(rows.select("_row", "text"), block, masks, least, similarity)[0].select("_row", "_items", "_longest").filter("_longest > 0"))
+             for block in blocks]
+    every = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"), F.max("_longest").alias("_longest"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(every, "_row", "left").select("doc_id", F.coalesce("_items", none).alias("_items"), F.coalesce("_longest", F.lit(0)).alias("_longest")).select(*report)
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST,
                       similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns unchanged. One pass for each block of test items."""
+    """``docs`` without the contaminated rows, all columns unchanged. One pass for each block of test items.
+
+    Rows with a null or empty text stay, and so does everything where there are no test items. Repeated rows and null ids are judged
+    row by row, texts are read whole. An empty table gives an empty result.
+    """
+    n, blocks = _blocks(tests)
     out = docs
-    for block in _blocks(tests):
+    for k, block in enumerate(blocks):
         marked, items, _ = _found(out, block, masks, least, similarity)
-        out = marked.filter(F.size(items) == 0).select(*docs.columns)
+        before, out = out, marked.filter(F.size(items) == 0).select(*docs.columns)
+        if n > 1:
+            out = stored(out)
+            if k:
+                discard(before)
     return out
