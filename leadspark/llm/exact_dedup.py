@@ -28,6 +28,7 @@ from leadspark.llm.common import keep_rows, stored, text_mark, whole_text
 
 KEYS_PER_SHARD = 1024
 BUCKETS = 256           # displacement seeds of a shard
+PORTION = 1 << 16     # copies of one row written at a time
 SEED_LIMIT = 1 << 24
 
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -142,15 +143,21 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
     exactly one is kept. A null doc_id is a value of its own and comes last in ties. Other columns are not read. An empty table gives
     an empty result.
     """
-    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))
-    return resolve(docs, history).select(
-        F.col("_id").alias("doc_id"), "keep_id", "group_size", "wins", F.lower(F.hex("digest")).alias("text_sha256"),
-        copies.alias("copy"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    rows = stored(resolve(docs, history).select(
+        F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("wins").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n"))
+    # The other copies of a repeated row: portions of bounded size, spread over the tasks, then row by row.
+    portions = rows.filter("n > 1").withColumn("portion", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 2) / PORTION))))
+    spread = portions.repartition("doc_id", "text_sha256", "portion").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(PORTION), F.col("n") - 1 - F.col("portion") * PORTION))))
+    return rows.drop("n").unionByName(spread.withColumn("kept", F.lit(False)).drop("n", "portion", "copy"))
 
 
 def drop_copies(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
+    """``docs`` with one row of each group of equal texts, all columns unchanged.
+
+    The winner is that of ``exact_groups``: null and empty texts are one group, and of repeated rows one stays. Texts of any length are
+    compared whole. An empty table gives an empty result.
+    """
     return keep_rows(docs, resolve(docs, history).filter("wins").select("_id", "_mark"))
 
 
