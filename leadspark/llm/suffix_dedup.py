@@ -5,15 +5,17 @@ The rank of a suffix is a 64-bit value that equal prefixes share. Ranks of 32 by
 on Spark sorts positions by pairs of ranks at growing offsets (32 -> 64 -> 100 bytes), and what is unique leaves:
 
 1. *Sparse suffixes.* Of the 69 ranks of 32 bytes in a window of 100 bytes the smallest is its anchor. Equal windows have
-   equal anchors, so a window whose anchor rank occurs once is unique. About one position in 35 is an anchor.
-2. *Whole segments.* The windows of one anchor form a segment. Segments with the same bytes hold the same windows: all but the first
-   segment are covered, and only first segments go on.
-3. *64 bytes.* A window holds the 64 bytes after its anchor or the 64 bytes around it. Pairs of ranks at offset 32 are
-   ranked again; windows whose pair is unique leave.
+   equal anchors. About one position in 35 is an anchor, and the windows of one anchor form a segment.
+2. *64 bytes.* A window holds the 64 bytes after its anchor or the 64 bytes that end with it. Pairs of ranks at offset 32 are
+   ranked over all documents, and windows whose pair occurs once leave before anything else is sent.
+3. *Whole segments.* Segments with the same bytes hold the same windows: all but the first segment are covered, and only first
+   segments go on. Among these the pairs are ranked again.
 4. *100 bytes.* What is left is ranked window by window by pairs at offset 36; all but the first of equal windows are covered.
 
-Ranks that occur once are most of all, so the second scan asks a bit table of fixed size whether a rank can repeat; its false
-hits only travel on to step 2 and leave there. On a corpus for which the table is too small the result is the same.
+Pairs that occur once are most of all, so the second scan asks a bit table of fixed size whether a pair can repeat; its false
+hits only travel on to step 3 and leave there. On a corpus for which the table is too small the result is the same.
+Two windows around one anchor count as equal by a 64-bit rank of their 100 bytes besides half of the anchor's rank: different ones
+do with probability 2^-64. No group is gathered: each step is a partial aggregation and a join back.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from leadspark.llm.common import discard, release, stored, text_mark, whole_text
 
@@ -87,9 +88,21 @@ def _chunks(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield start, ranks(data[start:start + CHUNK + LENGTH - 1])
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sides(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(after, has after, around, has around): ranks of the 64 bytes from the anchor on and of those that end with it, where a window holds them."""
+    after = _mixed(_pair(h[at], h[np.minimum(at + GRAM, len(h) - 1)], 0))
+    around = _mixed(_pair(h[np.maximum(at - GRAM, 0)], h[at], 1))
+    return after, at - hi <= LENGTH - 2 * GRAM, around, at - lo >= GRAM
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow mapper from texts to the ranks of 64 bytes at their anchors."""
     for batch in batches:
-        found = [h[anchors(h)[0]] for text in batch.column(0) for _, h in _chunks(text.as_buffer().to_pybytes())]
+        found = []
+        for text in batch.column(0):
+            for _, h in _chunks(text.as_buffer().to_pybytes()):
+                after, some_after, around, some_around = _sides(h, *anchors(h))
+                found += [after[some_after], around[some_around]]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["gram"])
 
 
@@ -117,7 +130,7 @@ _SEGMENT = "gram int, seg long, after int, around int, doc long, mark long, lo i
 
 
 def _segments(table):
-    """Arrow mapper from (doc, mark, text) to the segments whose rank can repeat; ``at`` and ``hi`` count from ``lo``.
+    """Arrow mapper from (doc, mark, text) to segments without the windows that cannot repeat; ``at`` and ``hi`` count from ``lo``.
 
     ``after`` and ``around`` only rule windows out, and ``gram`` only backs the 64 bits of ``seg``: half a rank is enough.
     """
@@ -128,21 +141,23 @@ def _segments(table):
             for row, text in enumerate(batch.column(2)):
                 for start, h in _chunks(text.as_buffer().to_pybytes()):
                     at, lo, hi = anchors(h)
-                    keep = _marked(words, h[at])
-                    at, lo, hi = at[keep], lo[keep], hi[keep]
+                    after, some_after, around, some_around = _sides(h, at, lo, hi)
+                    # A window d bytes before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
+                    lo = np.where(some_around & ~_marked(words, around), np.maximum(lo, at - GRAM + 1), lo)
+                    hi = np.where(some_after & ~_marked(words, after), np.minimum(hi, at - (LENGTH - 2 * GRAM) - 1), hi)
+                    keep = lo <= hi
+                    at, lo, hi, after, around = (x[keep] for x in (at, lo, hi, after, around))
                     end = hi + LENGTH - GRAM
                     seg = h[lo] ^ ((hi - lo) * 1000 + (at - lo)).astype(np.uint64)
                     for level, step in enumerate((32, 64, 96, 128, 160)):
                         seg = _pair(seg, h[np.minimum(lo + step, end)], level)
-                    after = _mixed(_pair(h[at], h[np.minimum(at + GRAM, len(h) - 1)], 0))
-                    around = _mixed(_pair(h[np.maximum(at - GRAM, 0)], h[at], 1))
                     columns = (_short(h[at]), _mixed(seg).view(np.int64), _short(after), _short(around), np.full(len(at), row), lo + start, at - lo, hi - lo)
                     for column, values in zip(out, columns):
                         column.append(values)
             gram, seg, after, around, row, lo, at, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
             row = pa.array(row.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.astype(np.int32)), pa.array(seg), pa.array(after.astype(np.int32), mask=at - hi > 36),
+                [pa.array(gram.astype(np.int32)), pa.array(seg), pa.array(after.astype(np.int32), mask=at - hi > LENGTH - 2 * GRAM),
                  pa.array(around.astype(np.int32), mask=at < GRAM), batch.column(0).take(row), batch.column(1).take(row),
                  *[pa.array(c.astype(np.int32)) for c in (lo, at, hi)]],
                 ["gram", "seg", "after", "around", "doc", "mark", "lo", "at", "hi"])
@@ -217,14 +232,14 @@ def repeats(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     long = texts.filter(F.octet_length("text") >= LENGTH).select("doc", "mark", "text")
     share = spark.sparkContext.broadcast
-    twice = long.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = long.select("text").mapInArrow(_pairs, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     segments = stored(long.mapInArrow(_segments(share(bit_table(twice))), _SEGMENT))
     release(spark)
 
     place = F.min(F.struct("doc", "mark", "lo", "at", "hi", "after", "around")).alias("first")
-    firsts = stored(segments.groupBy("gram", "seg").agg(place).select("gram", "seg", "first.*"))
+    firsts = stored(segments.groupBy("gram", "seg").agg(place, F.count("*").alias("n")).select("gram", "seg", "first.*", "n"))
     release(spark)
-    start = firsts.select("gram", "seg", F.struct("doc", "mark", "lo").alias("start"))
+    start = firsts.filter("n > 1").select("gram", "seg", F.struct("doc", "mark", "lo").alias("start"))
     later = stored(segments.select("gram", "seg", "doc", "mark", "lo", "hi").join(start, ["gram", "seg"]).filter(
         F.struct("doc", "mark", "lo") != F.col("start")).select("doc", "mark", F.col("lo").alias("first"), (F.col("lo") + F.col("hi") + LENGTH).alias("last")))
     discard(segments)
@@ -234,7 +249,7 @@ def repeats(texts: DataFrame) -> DataFrame:
         return firsts.filter(F.col(rank).isNotNull()).groupBy("gram", rank).agg(F.count("*").alias("n")).filter("n > 1").select(
             "gram", rank, F.lit(True).alias(f"{rank}_again"))
 
-    left = firsts.drop("seg").join(again("after"), ["gram", "after"], "left").join(again("around"), ["gram", "around"], "left")
+    left = firsts.drop("seg", "n").join(again("after"), ["gram", "after"], "left").join(again("around"), ["gram", "around"], "left")
     # A window d bytes before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
     farthest = F.when(F.col("around_again").isNull(), F.greatest(F.lit(0), F.col("at") - 31)).otherwise(0)
     nearest = F.when(F.col("after_again").isNull(), F.least(F.col("hi"), F.col("at") - 37)).otherwise(F.col("hi"))
@@ -247,10 +262,14 @@ def repeats(texts: DataFrame) -> DataFrame:
     few = long.withColumn("tag", tag).mapInArrow(_asked(share(bit_table(asked.select(tag.alias("gram"))))), "doc long, mark long, text string")
     windows = asked.join(few, ["doc", "mark"]).select("doc", "mark", "runs", "text").mapInArrow(
         _windows, "gram int, whole long, doc long, mark long, lo int")
-    # Only first segments are left, and each place is in one of them: a window is in few of them next to all windows.
-    order = W.partitionBy("gram", "whole").orderBy("doc", "mark", "lo")
-    single = stored(windows.withColumn("nth", F.rank().over(order)).filter("nth > 1").select(
+    windows = stored(windows)
+    discard(asked)
+    release(spark)
+    spot = F.struct("doc", "mark", "lo")
+    several = windows.groupBy("gram", "whole").agg(F.min(spot).alias("start"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    single = stored(windows.join(several, ["gram", "whole"]).filter(spot != F.col("start")).select(
         "doc", "mark", F.col("lo").alias("first"), (F.col("lo") + LENGTH).alias("last")))
+    discard(windows)
     release(spark)
     return later.unionByName(single)
 
