@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from leadspark.llm import (centroids, decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity,
                            url_filter, whitening)
 
@@ -86,8 +85,3 @@ def va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_embedding_whitening")
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-
-@_query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)

@@ -27,6 +27,7 @@ from leadspark.llm.common import fresh, text_mark, whole_text
 SAMPLE = 12_000         # most labelled texts that training sees
 SAMPLE_BYTES = 1 << 26  # most bytes of text that training sees; the driver holds their words as numbers
 BLOCK = 1 << 18         # entries summed at a time
+KNOWN_WORDS = 200_000   # words whose weight a task keeps
 FEATURES = 1 << 18
 RIDGE = 3e-5
 FAIRNESS = 1.0          # weight of the counterfactual penalty
@@ -238,7 +239,7 @@ def _scorer(weights, bias: float, name: str):
                 norm = math.sqrt((value * value) @ counts[at])
                 logit = bias + (value @ sums[at] / norm if norm else 0.0)
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, logit)))))
-                if len(numbers) > 500_000:
+                if len(numbers) > KNOWN_WORDS:
                     numbers.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
     return run
@@ -285,6 +286,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``, all columns unchanged."""
+    """``docs`` without the rows whose score reaches ``threshold``, all columns unchanged.
+
+    A null text counts as empty, texts of any length are scored whole, repeated rows go or stay together, and a null doc_id is never
+    labelled. Without labels nothing goes. An empty table gives an empty result.
+    """
     rows, score = scored(docs, train(labelled_rows(docs, labels)))
     return rows.filter(F.col(score) < threshold).select(*docs.columns)
