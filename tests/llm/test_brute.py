@@ -45,6 +45,40 @@ def test_pieces_equal_the_tokenizer(spark, texts):
         assert sorted(got[doc_id]) == want
 
 
+def test_letters_that_normalise_into_marks(spark):
+    """Letters that lower-casing or normalising turns into several characters, before every ASCII punctuation mark, and random texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.public_vocabulary())
+    odd = [0x130, *range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xA33, 0xA36, 0xA59, 0xA5A, 0xA5B, 0xA5E, 0xB5C, 0xB5D, 0xF43, 0xFB1D, 0x2126, 0x212A, 0x212B, 0x1E9E, 0xDF, 0x345]
+    rows = [(i, " ".join(f"{pre}{chr(c)}{mark}" for mark in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for pre in ("", "A", "é"))) for i, c in enumerate(odd)]
+    rng = random.Random(3)
+    letters = [chr(c) for c in odd] + list("abcXYZéÉßÿØ019.,'!-_\u0301\u0338\u0307\u00a0\u2028 \n")
+    rows += [(1000 + i, "".join(rng.choice(letters) for _ in range(60))) for i in range(600)]
+    got = {}
+    for r in packing.pieces_of(spark.createDataFrame(rows, "doc_id long, text string"), packing.public_vocabulary(), 64).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.length, r.ids_crc32))
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert sorted(got[doc_id]) == [(k, len(p), zlib.crc32(struct.pack(f"<{len(p)}I", *p))) for k, a in enumerate(range(0, len(ids), 64)) for p in [ids[a:a + 64]]], text
+
+
+def test_other_vocabularies_get_whole_texts(spark, tmp_path):
+    """A vocabulary that keeps case and splits differently."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.public_vocabulary(), encoding="utf-8") as f:
+        other = json.load(f)
+    other["normalizer"], path = {"type": "NFD"}, tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    tokenizer, text = Tokenizer.from_file(str(path)), "Ab Cd. é É, x"
+    got = packing.pieces_of(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(path)).first()
+    ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    assert (got.length, got.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def expand(runs):
     """sequence -> [(offset, length)] of a plan."""
     out = {}
@@ -163,6 +197,32 @@ def test_blocks_of_test_items(spark, texts, monkeypatch):
 
 # sharding
 
+def test_groups_of_equal_texts_stay_whole(spark):
+    """Only a group above a whole shard in bytes, tokens or rows is dealt in parts."""
+    got = queries.QUERIES["op3_vector_sharding"](spark, SF_LABELS).toPandas()
+    groups = got.groupby(["text_crc32", "size"]).agg(rows=("doc_id", "count"), shards=("shard", "nunique"))
+    assert (groups["rows"] > 1).sum() > 20 and groups["shards"].max() == 1
+    rows = [(i, "x y") for i in range(300)] + [(1000 + i, f"only {i} " + "word " * (i % 40)) for i in range(700)] + [(5000 + i, "twin " * 30) for i in range(20)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 10).toPandas().set_index("doc_id")["shard"]
+    assert len({got[i] for i in range(300)}) > 3 and len({got[i] for i in range(5000, 5020)}) == 1
+
+
+def test_units_go_where_the_dot_product_is_highest():
+    """The placing against plain loops."""
+    rng = random.Random(8)
+    vectors = [[rng.randint(1, 90), rng.randint(1, 60), 1] for _ in range(200)]
+    total = [max(1, sum(c)) for c in zip(*vectors)]
+    share = [[v / t * 7 for v, t in zip(row, total)] for row in vectors]
+    got = sharding.choose(np.array(vectors, dtype=float), 7).tolist()
+    residual = [[1.0] * 3 for _ in range(7)]
+    for i in sorted(range(200), key=lambda i: (-sum(share[i]), i)):
+        fits = [all(r >= s - 1e-9 for r, s in zip(room, share[i])) for room in residual]
+        scores = [sum(r * s for r, s in zip(room, share[i])) for room in residual]
+        best = max(score for score, fit in zip(scores, fits) if fit or not any(fits))
+        assert (fits[got[i]] or not any(fits)) and scores[got[i]] >= best - 1e-9
+        residual[got[i]] = [r - s for r, s in zip(residual[got[i]], share[i])]
+
+
 def test_shards_are_balanced(spark, texts):
     got = queries.QUERIES["op3_vector_sharding"](spark, SF_LABELS).toPandas()
     sums = got.groupby("shard")["size"].sum()

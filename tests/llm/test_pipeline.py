@@ -1,13 +1,15 @@
 """The pipeline against its stages by brute force."""
 
 import hashlib
+import struct
+import zlib
 
 import pyarrow.parquet as pq
 import pytest
-from test_brute import plain_components, plain_fingerprint
+from test_near_copies import jaccard, shingles
 
 import corpus_pipeline
-from leadspark.llm import toxicity
+from leadspark.llm import packing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +25,7 @@ def stages(spark):
 
 
 def test_order():
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
 def test_every_stage_by_brute_force(spark, stages):
@@ -40,16 +42,39 @@ def test_every_stage_by_brute_force(spark, stages):
         best[digest] = min(best.get(digest, (rank, r)), (rank, r), key=lambda x: x[0])
     now = sorted((r for _, r in best.values()), key=key)
     assert sorted(rows["exact_dedup"], key=key) == now
-    roots = plain_components([plain_fingerprint(r["text"]) for r in now])
-    least = {}
-    for r, root in zip(now, roots):
-        least.setdefault(root, r)
-    now = sorted(least.values(), key=key)
-    assert sorted(rows["simhash_near_dedup"], key=key) == now
+    sets, root = [shingles(r["text"].lower()) for r in now], list(range(len(now)))
+    for i in range(len(now)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) < len(root)
+    now = [r for i, r in enumerate(now) if root[i] == i]
+    assert sorted(rows["near_dedup"], key=key) == now
     items = pq.read_table(f"{SF}/benchmark.parquet")["text"].to_pylist()
+    assert any(t in r["text"] for t in items for r in now)
     now = [r for r in now if not any(t in r["text"] for t in items)]
     assert sorted(rows["decontamination"], key=key) == now
-    assert {r["doc_id"] for r in rows["packing"]} == {r["doc_id"] for r in now}
+    from tokenizers import Tokenizer
+
+    tokenizer, want = Tokenizer.from_file(packing.public_vocabulary()), []
+    for r in now:
+        ids = tokenizer.encode(r["text"], add_special_tokens=False).ids + [1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at:at + 4096]
+            want.append((r["doc_id"], piece, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows["packing"]) == sorted(want)
+    ends = {}
+    for r in sorted(rows["packing"], key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096
+
+
+def test_empty_documents(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_run_equals_the_stages(spark, stages):
