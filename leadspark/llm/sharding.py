@@ -21,6 +21,7 @@ from leadspark.llm.common import numbered, stored, whole_text
 SHARDS = 40
 OVERHEAD = 16
 SPLIT = 64      # a group above a whole shard, by its largest share, is dealt in parts of 1/SPLIT of a shard
+WEIGHTS = np.array([8.0, 1.0, 1.0])     # of bytes, tokens and rows in the dot product
 FINE = 1000     # units above 1/FINE of a shard, by their largest share, are placed one by one
 LOTS = 256      # lots for each size class of the small ones
 
@@ -36,17 +37,17 @@ def measured(docs: DataFrame) -> DataFrame:
 def choose(vectors: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each unit: largest first, to the highest dot product with the residual capacity.
 
-    Capacities are equal shares of the totals, so each dimension counts by its share. Shards that the unit still fits
-    into come first.
+    Capacities are equal shares of the totals, so each dimension counts by its share, and bytes, for which the law holds, by ``WEIGHTS`` more.
+    Shards that the unit still fits into come first; where it fits into none, the one with most bytes left takes it.
     """
     total = np.maximum(vectors.sum(axis=0), 1)
     share = vectors / total * shards
     residual = np.ones((shards, vectors.shape[1]))
     out = np.zeros(len(vectors), dtype=np.int64)
     for i in np.lexsort((np.arange(len(vectors)), -share.sum(axis=1))):
-        score = residual @ share[i]
         fits = (residual >= share[i]).all(axis=1)
-        out[i] = best = int(np.argmax(np.where(fits, score, score - 1e6)))
+        score = np.where(fits, residual @ (share[i] * WEIGHTS), -1e9) if fits.any() else residual[:, 0]
+        out[i] = best = int(np.argmax(score))
         residual[best] -= share[i]
     return out
 
