@@ -1,7 +1,7 @@
 """The incremental forms of the jobs, as Structured Streaming queries.
 
-All state is Spark's own (aggregation and de-duplication state with watermarks); tables
-that change are versioned snapshots written per micro-batch and tagged with its number.
+State is Spark's own (aggregation, de-duplication and keyed state); tables that change are kept in a bucketed store, of which a
+micro-batch rewrites the buckets it touches, and all tables of a batch are committed together.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from leadspark.operators import candidates as C
 from leadspark.operators import ledger as L
 from leadspark.operators import stats as S
 from leadspark.plans.batch import Settings, process
-from leadspark.schemas import struct
-from leadspark.sources.tables import Snapshots
+from leadspark.schemas import CANDIDATES, struct
+from leadspark.schemas import LEDGER as LEDGER_DDL
+from leadspark.sources.store import Store
 
+LEDGER, PEOPLE = "ledger", "candidates"
+TABLES = {LEDGER: (LEDGER_DDL, "url"), PEOPLE: (CANDIDATES, "source_url")}
 ARRIVALS = ("url string, title string, snippet string, wave_tag string, pos bigint, final_url string, status int, "
             "ctype string, html string, via string, reply string, error_kind string, arrived_at timestamp")
 
@@ -30,35 +33,36 @@ def start(df: DataFrame, write_batch, checkpoint: str, mode: str = "append") ->
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest(arrivals: DataFrame, ledger: Snapshots, candidates: Snapshots, checkpoint: str,
-           robots: DataFrame | None = None, s: Settings = Settings()) -> StreamingQuery:
-    """Each micro-batch drops handled URLs, processes the rest and writes new snapshots.
+def ingest(arrivals: DataFrame, store: Store, checkpoint: str, robots: DataFrame | None = None, s: Settings = Settings()) -> StreamingQuery:
+    """Each micro-batch drops handled URLs, processes the rest, and commits ledger and candidates as one version of ``store``.
 
-    The ledger is written last: its version is what marks a batch as done. A replayed batch
-    starts again from the versions before it, so it ends in the same state.
+    Of the ledger only the buckets of the batch's URLs are read and rewritten, of the candidates only those of the people it saves are
+    rewritten. A replayed batch starts again from the version before it, so it ends in the same state.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if ledger.has(version) or batch.isEmpty():
+        if store.has(batch_id) or batch.isEmpty():
             return
         batch = batch.persist()
         try:
-            step(batch, version)
+            step(batch, batch_id)
         finally:
             batch.unpersist()
 
-    def step(batch: DataFrame, version: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
         as_of = F.lit(batch.agg(F.max("arrived_at")).first()[0])
-        old_ledger, old_people = ledger.read(before=version), candidates.read(before=version)
-        fresh = L.fresh_urls(batch, old_ledger, as_of).select("url")
+        pages = store.touched(LEDGER, batch)
+        ledger = store.read(LEDGER, buckets=pages)
+        fresh = L.fresh_urls(batch, ledger, as_of).select("url")
         todo = batch.join(fresh, "url", "left_semi")
         done = process(
             todo.select("url", "title", "snippet", "wave_tag", "pos"),
             todo.filter("status IS NOT NULL").select("url", "final_url", "status", "ctype", "html", "via"),
             todo.filter("reply IS NOT NULL OR error_kind IS NOT NULL").select("url", "reply", "error_kind"),
-            old_ledger, old_people, as_of, robots, s)
-        candidates.write(done.candidates, version)
-        ledger.write(done.ledger, version)
+            ledger, store.read(PEOPLE), as_of, robots, s)
+        # The back-fill is for all candidates: buckets that need it are rewritten too, which only the first batch over a loaded table finds.
+        sources = store.touched(PEOPLE, done.people.select("source_url").unionByName(C.unsourced(store.read(PEOPLE))))
+        saved = C.upsert(store.read(PEOPLE, buckets=sources), done.people, as_of)
+        store.commit(batch_id, {LEDGER: (done.ledger, pages), PEOPLE: (saved, sources)})
 
     return start(arrivals, run, checkpoint)
 
@@ -91,15 +95,21 @@ def live_wave_stats(events: DataFrame) -> DataFrame:
     return S.folded_stats(events)
 
 
-def outreach(events: DataFrame, candidates: Snapshots, checkpoint: str) -> StreamingQuery:
-    """Candidate snapshots that follow an outreach event stream.
+def outreach(events: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Candidates that follow an outreach event stream.
 
     Unknown statuses and contacts that are not in a reply's text change nothing. The state holds the last value per field, and each micro-batch emits the candidates it
-    changed with all their fields, so writing them again is harmless.
+    changed with all their fields, so writing them again is harmless. Ids and source URLs of all candidates are read to find the buckets
+    of the changed ones; only those are rewritten.
     """
     def run(changes: DataFrame, batch_id: int) -> None:
-        version = batch_id + 2      # version 1 is the table the stream starts from
-        if not candidates.has(version):
-            candidates.write(C.apply_changes(candidates.read(before=version), changes), version)
+        if store.has(batch_id):
+            return
+        changes = changes.persist()
+        try:
+            hit = store.read(PEOPLE).select("id", "source_url").join(changes.select("id"), "id", "left_semi")
+            store.change(batch_id, PEOPLE, hit, lambda old: C.apply_changes(old, changes))
+        finally:
+            changes.unpersist()
 
     return start(C.outreach_changes(C.checked_events(events)), run, checkpoint, "update")
