@@ -61,6 +61,14 @@ MAX_PROMPT_CHARS = 45_000
 MAX_PROMPT_CHARS_LEGACY = 30_000
 MAX_PAGE_CHARS = 60_000
 MAX_REASON_CHARS = 60
+SNIPPET_NOTE = ("NOTE: The page could not be opened (login wall / blocked). The content below is ONLY the "
+                "search-engine title and snippet for this URL. Extract only what it explicitly states.")
+PROMPT_HEADING, PROMPT_HEADING_LEGACY = "----- PAGE CONTENT -----", "----- PAGE CONTENT (markdown) -----"
+PROMPT_END = "----- END -----"
+FACT_RECRUITER, FACT_ROLE = "Recruiter: ", "Role we are hiring for: "
+FACT_EXTRA = "Extra details to mention if relevant: "
+FACT_NAME, FACT_SKILLS = "Candidate name: ", "Candidate's stated role / skills: "
+FACT_PLACE, FACT_WORDS, FACT_NO_PLATFORM = "Where they showed interest: on ", " — their words: \"", "a public page"
 
 # --- fixed values: contacts -------------------------------------------------
 EMAIL_RX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -85,6 +93,7 @@ WALL_PHRASES_RX = (
     r"|access denied|cf-browser-verification|checking your browser"
     r"|you've been blocked|request blocked|unusual traffic"
 )
+THREAD_KEY_CHARS = 200
 THREAD_HEADING = "## Post and comments"
 MIN_USEFUL_CHARS = 250
 PARSE_ERROR = "HTML parsing failed: "

@@ -99,9 +99,7 @@ def _mentions(text: Column, kind: str, rx: str) -> Column:
     """array<struct(kind, value, start)> in text order; start is 0-based."""
     def place(s: Column) -> Column:
         # a match ends after all gaps and all matches up to and including itself
-        steps = F.zip_with(s["v"], s["g"], lambda v, g: F.length(v) + F.length(g))
-        ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, n: F.array_append(
-            acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+        ends = T.running_sum(F.zip_with(s["v"], s["g"], lambda v, g: F.length(v) + F.length(g)))
         return F.zip_with(s["v"], ends, lambda v, e: F.struct(
             F.lit(kind).alias("kind"), v.alias("value"), (e - F.length(v)).alias("start")))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import constants as K
@@ -123,7 +123,7 @@ def _author(value) -> str:
     return str(value or "").strip() or "unknown"
 
 
-def _thread(scripts: list[str]) -> list[dict]:
+def _thread(scripts: list[str], key_chars: int | None) -> list[dict]:
     lines: dict[tuple[str, str], dict] = {}
     for script in scripts:
         try:
@@ -136,11 +136,11 @@ def _thread(scripts: list[str]) -> list[dict]:
             if body:
                 kind = "COMMENT" if str(obj.get("@type")) in ("Comment", "Answer") else "POST"
                 who = _author(obj.get("author"))
-                lines.setdefault((who, body[:200]), {"kind": kind, "author": who, "body": body})
+                lines.setdefault((who, body if key_chars is None else body[:key_chars]), {"kind": kind, "author": who, "body": body})
     return list(lines.values())
 
 
-def _parts(html: str | None) -> tuple[str, str, list[dict], str | None]:
+def _parts(html: str | None, key_chars: int | None = K.THREAD_KEY_CHARS) -> tuple[str, str, list[dict], str | None]:
     """Title, text nodes, thread, and what went wrong: a page the tokenizer refuses must not end the job."""
     nodes = _Nodes()
     try:
@@ -150,16 +150,19 @@ def _parts(html: str | None) -> tuple[str, str, list[dict], str | None]:
         return "", "", [], str(refused) or type(refused).__name__
     nodes._flush()
     text = nodes.everywhere if nodes.in_body is None else nodes.in_body
-    return " ".join(nodes.title or []), "\n".join(text), _thread(nodes.scripts), None
+    return " ".join(nodes.title or []), "\n".join(text), _thread(nodes.scripts, key_chars), None
 
 
-def page_parts(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns plus title, body text nodes (one per line), thread lines and parse_error (null for readable pages)."""
+def page_parts(df: DataFrame, html: str = "html", keep: list[str] | None = None, key_chars: int | None = K.THREAD_KEY_CHARS) -> DataFrame:
+    """``keep`` columns plus title, body text nodes (one per line), thread lines and parse_error (null for readable pages).
+
+    Of thread lines by one author that agree in their first ``key_chars`` characters the first stays; None compares whole lines.
+    """
     keep = [c for c in (keep if keep is not None else df.columns) if c != html]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [_parts(h) for h in batch.pop("__html")]
+            parts = [_parts(h, key_chars) for h in batch.pop("__html")]
             batch["title"], batch["nodes"], batch["thread"], batch["parse_error"] = (
                 map(list, zip(*parts)) if parts else ([], [], [], []))
             yield batch
@@ -187,10 +190,11 @@ def render(title: Column, thread: Column, text: Column, contacts: Column, limit:
     return T.strip(doc) if limit is None else F.substring(T.strip(doc), 1, limit)
 
 
-def with_page_text(df: DataFrame, html: str = "html", keep: list[str] | None = None, out: str = "text", limit: int | None = None) -> DataFrame:
+def with_page_text(df: DataFrame, html: str = "html", keep: list[str] | None = None, out: str = "text", limit: int | None = None,
+                   key_chars: int | None = K.THREAD_KEY_CHARS) -> DataFrame:
     """``keep`` columns plus title, thread (array), parse_error and the rendered page document, whole unless ``limit`` cuts it."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != html]
-    d = page_parts(df, html, keep).select(
+    d = page_parts(df, html, keep, key_chars).select(
         *keep, "title", "thread", "parse_error", thread_text(F.col("thread")).alias("_t"), body_text(F.col("nodes")).alias("_b"))
     d = d.withColumn("_m", E.contact_mentions(F.concat("_t", F.lit("\n"), "_b")))
     return d.select(*keep, "title", "thread", "parse_error", render(
@@ -203,6 +207,20 @@ def thread_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "pos", "x.kind", "x.author", "x.body")
 
 
+@F.udtf(returnType="pos int, kind string, author string, body string", useArrow=True)
+class ThreadLines:
+    """Table function over a page: its thread lines in order. ``key_chars`` as in ``page_parts``, null compares whole lines."""
+
+    def eval(self, html: str, key_chars: int):
+        for pos, line in enumerate(_parts(html, key_chars)[2]):
+            yield pos, line["kind"], line["author"], line["body"]
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``thread_lines(html, key_chars)`` known to SQL, for use in a lateral join."""
+    spark.udtf.register("thread_lines", ThreadLines)
+
+
 def title_fast(html: Column) -> Column:
     """Title without leaving the JVM, entities as written; for jobs that need nothing else."""
     return T.collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))

@@ -67,6 +67,48 @@ def first_by(arr: Column, key) -> Column:
         a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))).alias("p")), firsts))
 
 
+_PORTION = 64
+
+
+def _appended(xs: Column) -> Column:
+    return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, n: F.array_append(
+        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+
+
+def running_sum(xs: Column) -> Column:
+    """Sums of an array of ints up to and including each item.
+
+    Appending copies what is there, so sums are made within portions of fixed size and over the portions, and then added: the work is
+    that of a few dozen passes, not of the square of the length.
+    """
+    def whole(s: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), F.lit(_PORTION))
+        return let(F.transform(starts, lambda i: _appended(F.slice(s, i, F.lit(_PORTION)))), shifted)
+
+    def shifted(parts: Column) -> Column:
+        before = let(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))), lambda t: F.concat(F.array(F.lit(0)), _appended(t)))
+        return F.flatten(let(F.struct(parts.alias("p"), before.alias("b")), lambda x: F.transform(
+            x["p"], lambda p, i: let(F.get(x["b"], i), lambda b: F.transform(p, lambda v: v + b)))))
+
+    return let(xs, lambda s: F.when(F.size(s) <= _PORTION, _appended(s)).otherwise(whole(s)))
+
+
+def occurrence(arr: Column) -> Column:
+    """For each item how often it has occurred up to there, itself included: 1, 2, ...
+
+    Items are sorted with their positions; each run of equal ones is numbered, and the numbers are sorted back.
+    """
+    def numbered(s: Column) -> Column:
+        last = F.size(s["p"])
+        starts = F.filter(F.sequence(F.lit(0), last - 1), lambda j: (j == 0) | ~F.get(s["p"], j - 1)["x"].eqNullSafe(F.get(s["p"], j)["x"]))
+        counts = let(F.struct(starts.alias("a"), last.alias("n")), lambda t: F.flatten(F.transform(
+            t["a"], lambda a, k: F.sequence(F.lit(1), F.coalesce(F.get(t["a"], k + 1), t["n"]) - a))))
+        return F.transform(F.array_sort(F.zip_with(s["p"], counts, lambda p, c: F.struct(p["i"].alias("i"), c.alias("c")))), lambda y: y["c"])
+
+    pairs = F.array_sort(F.transform(arr, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.when(F.size(arr) > 0, let(F.struct(pairs.alias("p")), numbered)).otherwise(F.array().cast("array<int>"))
+
+
 def digits(col: Column) -> Column:
     return F.regexp_replace(col, r"[^\p{Nd}]", "")
 
@@ -157,14 +199,12 @@ def snippet_text(title: Column, snippet: Column) -> Column:
 def extraction_prompt(intent: Column, url: Column, platform: Column, content: Column,
                       snippet_only: Column, legacy: bool = False) -> Column:
     """Request text for one page, to be answered by a model outside this engine."""
-    note = ("NOTE: The page could not be opened (login wall / blocked). The content below is ONLY the "
-            "search-engine title and snippet for this URL. Extract only what it explicitly states.\n\n")
-    heading = "----- PAGE CONTENT (markdown) -----\n" if legacy else "----- PAGE CONTENT -----\n"
+    heading = (K.PROMPT_HEADING_LEGACY if legacy else K.PROMPT_HEADING) + "\n"
     limit = K.MAX_PROMPT_CHARS_LEGACY if legacy else K.MAX_PROMPT_CHARS
     return F.concat(F.lit("Sourcing intent: "), strip(intent), F.lit("\nPage URL: "), url,
                     F.lit("\nPlatform: "), platform, F.lit("\n\n"),
-                    F.when(snippet_only, note).otherwise(""), F.lit(heading),
-                    F.substring(content, 1, limit), F.lit("\n----- END -----"))
+                    F.when(snippet_only, K.SNIPPET_NOTE + "\n\n").otherwise(""), F.lit(heading),
+                    F.substring(content, 1, limit), F.lit("\n" + K.PROMPT_END))
 
 
 def wave_tag(wave_no: Column, platform: Column) -> Column:

@@ -43,9 +43,17 @@ def upsert(stored: DataFrame, records: DataFrame, as_of: Column) -> DataFrame:
     return backfilled(j.select(*[v.alias(k) for k, v in cols.items()]))
 
 
+def _unsourced() -> Column:
+    return F.col("contact_source").isNull() & (F.col("email").isNotNull() | F.col("phone").isNotNull())
+
+
+def unsourced(candidates: DataFrame) -> DataFrame:
+    """Keys of the rows that a back-fill changes."""
+    return candidates.filter(_unsourced()).select("source_url")
+
+
 def backfilled(candidates: DataFrame) -> DataFrame:
-    fill = F.col("contact_source").isNull() & (F.col("email").isNotNull() | F.col("phone").isNotNull())
-    return candidates.withColumn("_fill", fill).withColumn(
+    return candidates.withColumn("_fill", _unsourced()).withColumn(
         "contact_source", F.when(F.col("_fill"), K.POSTED_ON_PAGE).otherwise(F.col("contact_source"))).withColumn(
         "contact_shared_at", F.when(F.col("_fill"), F.col("discovered_at")).otherwise(F.col("contact_shared_at"))
     ).drop("_fill")
@@ -126,13 +134,12 @@ def facts(candidates: DataFrame, recruiter: str, agency: str, role: str, place:
     text = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
     skills = F.coalesce(F.nullif(F.array_join("skills", ", "), F.lit("")), F.lit("-"))
     lines = [
-        F.lit(f"Recruiter: {recruiter}, {agency}"),
-        F.lit(f"Role we are hiring for: {role}" + (f" in {place}" if place else "")),
-        *([F.lit(f"Extra details to mention if relevant: {extra}")] if extra else []),
-        F.concat(F.lit("Candidate name: "), text("name", "unknown")),
-        F.concat(F.lit("Candidate's stated role / skills: "), text("current_role", "-"), F.lit("; "), skills),
-        F.concat(F.lit("Where they showed interest: on "), text("platform", "a public page"),
-                 F.lit(" — their words: \""),
+        F.lit(f"{K.FACT_RECRUITER}{recruiter}, {agency}"),
+        F.lit(K.FACT_ROLE + role + (f" in {place}" if place else "")),
+        *([F.lit(K.FACT_EXTRA + extra)] if extra else []),
+        F.concat(F.lit(K.FACT_NAME), text("name", "unknown")),
+        F.concat(F.lit(K.FACT_SKILLS), text("current_role", "-"), F.lit("; "), skills),
+        F.concat(F.lit(K.FACT_PLACE), text("platform", K.FACT_NO_PLATFORM), F.lit(K.FACT_WORDS),
                  F.substring(F.coalesce("evidence_snippet", F.lit("")), 1, K.MAX_FACT_QUOTE_CHARS), F.lit("\"")),
     ]
     return candidates.select("id", F.concat_ws("\n", *lines).alias("facts"))

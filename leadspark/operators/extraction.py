@@ -150,9 +150,8 @@ def assigned_urls(url: Column, names: Column) -> Column:
     base = lambda s: F.concat(url, F.lit("#candidate-"), s)
 
     def by_count(ss: Column) -> Column:
-        seen = lambda s, i: F.size(F.filter(F.slice(ss, 1, i + 1), lambda x: x == s))
-        return F.transform(ss, lambda s, i: T.let(seen(s, i), lambda n: F.when(n == 1, base(s)).otherwise(
-            F.concat(base(s), F.lit("-"), n.cast("string")))))
+        return F.zip_with(ss, T.occurrence(ss), lambda s, n: F.when(n == 1, base(s)).otherwise(
+            F.concat(base(s), F.lit("-"), n.cast("string"))))
 
     def by_fold(ss: Column) -> Column:
         # a name such as x-2 may meet a numbered x: take the first free number each time

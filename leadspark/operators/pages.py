@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.robotparser import RobotFileParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from leadspark import constants as K
 from leadspark.functions import text as T
@@ -92,32 +89,58 @@ def ok_pages(outcomes: DataFrame) -> DataFrame:
 
 
 # --- robots ------------------------------------------------------------------
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_RULES = ("disallow", "allow")
+_TIMING = ("crawl-delay", "request-rate")
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """(base, rules): each robots text is read once, whatever the number of its URLs."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["rules"] = [_wildcard_rules(b) for b in batch.pop("body")]
-            yield batch
+    """(base, rules): the rules for any agent (``*``) of each robots text of (base, body), in order; texts without such rules have no row.
 
-    return robots.select("base", "body").mapInPandas(
-        run, "base string, rules array<struct<allow:boolean,path:string>>")
+    Lines become rows. A line names an agent, is a rule (or a timing, which only counts as one), or is blank. Agents that stand together open a
+    group; a rule belongs to the last group opened unless a blank line closed it; a group without rules counts nothing. Of the
+    groups that name ``*`` the first one counts; a group that names an empty agent comes before it.
+    """
+    line = robots.select("base", F.posexplode(F.split("body", _LINE_ENDS)).alias("pos", "raw"))
+    text = line.withColumn("_t", T.strip(F.substring_index("raw", "#", 1)))
+    named = text.withColumns({"_k": F.when(F.col("_t").contains(":"), F.lower(T.strip(F.substring_index("_t", ":", 1)))),
+                              "_v": T.strip(F.expr("substring(_t, instr(_t, ':') + 1)"))})
+    kind = F.when(F.col("raw") == "", "blank").when(F.col("_k") == "user-agent", "agent").when(F.col("_k").isin(*_RULES, *_TIMING), "rule")
+    events = fence(named.select("base", "pos", kind.alias("kind"), F.col("_k").alias("key"), U.percent_decode(F.col("_v")).alias("value"))).filter("kind IS NOT NULL")
+    # One text's lines are numbered together: a group is as large as one robots file.
+    place = W.partitionBy("base").orderBy("pos")
+    opens = (F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(place), F.lit("")) != "agent")
+    numbered = events.withColumns({"_opens": opens.cast("int"), "_blank": (F.col("kind") == "blank").cast("int")}).withColumns(
+        {"entry": F.sum("_opens").over(place), "blanks": F.sum("_blank").over(place)})
+    opened = F.min(F.when(F.col("kind") == "agent", F.col("blanks"))).over(W.partitionBy("base", "entry"))
+    own = numbered.withColumn("_own", (F.col("kind") == "rule") & (F.col("entry") > 0) & (F.col("blanks") == opened))
+    ruled = F.col("_own") & F.col("key").isin(*_RULES)
+    rule = F.struct("pos", ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"), _rule_path(F.col("value")).alias("path"))
+    entries = own.groupBy("base", "entry").agg(
+        F.collect_set(F.when(F.col("kind") == "agent", F.col("value"))).alias("agents"), F.count_if("_own").alias("n"),
+        F.array_sort(F.collect_list(F.when(ruled, rule))).alias("rules")).filter("entry > 0 AND n > 0")
+    rank = F.when(F.array_contains("agents", "*"), 1).when(F.exists("agents", lambda a: F.substring_index(a, "/", 1) == ""), 0)
+    chosen = entries.withColumn("_rank", rank).filter("_rank IS NOT NULL").groupBy("base").agg(F.min_by("rules", F.struct("_rank", "entry")).alias("rules"))
+    return chosen.select("base", F.transform("rules", lambda r: F.struct(r["allow"].alias("allow"), r["path"].alias("path"))).alias("rules"))
+
+
+def _quoted_path(rest: Column) -> Column:
+    """Empty queries and fragments dropped, percent-encoded the way rule paths are."""
+    bare = F.regexp_replace(F.regexp_replace(rest, "#$", ""), r"\?(?=#|$)", "")
+    q = F.url_encode(bare)
+    for old, new in [("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")]:
+        q = F.replace(q, F.lit(old), F.lit(new))
+    return q
 
 
-def _wildcard_rules(body: str | None) -> list[dict]:
-    parser = RobotFileParser()
-    parser.parse((body or "").splitlines())
-    entry = next((e for e in parser.entries if e.applies_to("*")), parser.default_entry)
-    return [{"allow": r.allowance, "path": r.path} for r in entry.rulelines] if entry else []
+def _rule_path(value: Column) -> Column:
+    return _quoted_path(F.regexp_replace(value, r"(^|/)([^/;?#]*);(?=[?#]|$)", "$1$2"))
 
 
 def _robots_path(url: Column) -> Column:
     """Decoded rest of the URL after the host, quoted the way rule paths are."""
     rest = F.regexp_extract(U.percent_decode(url), r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?(.*)$", 1)
-    rest = F.regexp_replace(F.regexp_replace(rest, "#$", ""), r"\?(?=#|$)", "")
-    q = F.url_encode(rest)
-    for old, new in [("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")]:
-        q = F.replace(q, F.lit(old), F.lit(new))
-    return F.when(q == "", "/").otherwise(q)
+    return T.let(_quoted_path(rest), lambda q: F.when(q == "", "/").otherwise(q))
 
 
 def with_robots(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:

@@ -42,7 +42,7 @@ def export_rows(candidates: DataFrame) -> DataFrame:
                                for c in candidates.columns])
 
 
-def reimported(rows: DataFrame) -> DataFrame:
-    """Edited flat rows back to validated records (with the ``valid`` flag)."""
+def reimported(rows: DataFrame, extras: bool = False) -> DataFrame:
+    """Edited flat rows back to validated records (with the ``valid`` flag); ``extras`` keeps further columns."""
     split = rows.select(*[T.split_list(F.col(c)).alias(c) if c in LIST_FIELDS else F.col(c) for c in rows.columns])
-    return validated(conform(split, RECORD))
+    return validated(conform(split, RECORD, extras))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTERS = ["found", "duplicates", "fresh", "crawled", "blocked", "failed", "records", "dropped"]
@@ -30,18 +30,30 @@ def one_row(*counts: DataFrame) -> DataFrame:
     return d.agg(*[F.max(c).alias(c) for c in d.columns])
 
 
-def wave_stats(urls: DataFrame) -> DataFrame:
-    """Per wave from one row per found URL: (wave, is_fresh, is_taken, ok, blocked, records, dropped).
-
-    Duplicates are counted before the cap; ok / blocked are null for pages not fetched.
-    """
+def _wave_counters() -> list[Column]:
     fetched = F.col("ok").isNotNull()
-    return urls.groupBy("wave").agg(
+    return [
         F.count("*").alias("found"), F.count_if(~F.col("is_fresh")).alias("duplicates"),
         F.count_if("is_taken").alias("fresh"), F.count_if("ok").alias("crawled"),
         F.count_if("blocked").alias("blocked"),
         F.count_if(fetched & ~F.col("ok") & ~F.col("blocked")).alias("failed"),
-        F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")]
+
+
+def wave_stats(urls: DataFrame) -> DataFrame:
+    """Per wave from one row per found URL: (wave, is_fresh, is_taken, ok, blocked, records, dropped).
+
+    Duplicates are counted before the cap; ok / blocked are null for pages not fetched.
+    """
+    return urls.groupBy("wave").agg(*_wave_counters())
+
+
+def wave_report(urls: DataFrame) -> DataFrame:
+    """Counters of each wave and of the whole run, in one pass: the run is the row with ``is_total``.
+
+    A wave may itself be null, so the grouping tells the total, not the null.
+    """
+    return urls.rollup("wave").agg((F.grouping("wave") == 1).alias("is_total"), *_wave_counters())
 
 
 def run_totals(waves: DataFrame) -> DataFrame:

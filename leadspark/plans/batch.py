@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import constants as K
@@ -16,8 +16,11 @@ from leadspark.operators import hits as HT
 from leadspark.operators import ledger as L
 from leadspark.operators import pages as P
 from leadspark.operators import resolve as R
+from leadspark.operators import review as RV
+from leadspark.operators import searchplan as SP
 from leadspark.operators import stats as S
-from leadspark.operators.keyed import cut, fence, with_ordinal
+from leadspark.operators.keyed import cut, fence, first_per, with_ordinal
+from leadspark.sources.tables import read_inputs
 
 
 @dataclass(frozen=True)
@@ -56,13 +59,9 @@ def outcomes_of(items: DataFrame, responses: DataFrame, robots: DataFrame | None
         asked = asked.filter("allowed").select("url")
     else:
         refused = None
-    # Address, status and type decide first; only pages that have to be read are tokenised.
-    wanted = fence(responses.join(asked, "url", "left_semi").withColumn(
-        "_early", P.early_outcome(F.col("final_url"), F.col("status"), F.col("ctype"))))
-    text = H.with_page_text(wanted.filter("_early IS NULL"), "html", ["url", "via"], "markdown")
-    read = P.with_outcome(text, P.page_outcome(F.col("markdown"), F.col("parse_error")), ["url", "via", "markdown"])
-    unread = wanted.filter("_early IS NOT NULL").select("url", "via", F.lit("").alias("markdown"), "_early.*")
-    attempts = read.unionByName(unread).withColumn("attempt_no", F.when(F.col("via") == "direct", 1).otherwise(2))
+    fetched = responses.join(asked, "url", "left_semi")
+    outcomes = legacy_outcomes(fetched) if s.legacy else page_outcomes(fetched)
+    attempts = outcomes.withColumn("attempt_no", F.when(F.col("via") == "direct", 1).otherwise(2))
     resolved = P.resolve_attempts(attempts)
     missing = asked.join(resolved, "url", "left").select(
         "url", F.coalesce("via", F.lit("direct")).alias("via"), F.coalesce("ok", F.lit(False)).alias("ok"),
@@ -72,6 +71,22 @@ def outcomes_of(items: DataFrame, responses: DataFrame, robots: DataFrame | None
     return missing if refused is None else missing.unionByName(refused)
 
 
+def page_outcomes(responses: DataFrame) -> DataFrame:
+    """(url, via, markdown, ok, blocked, error). Address, status and type decide first; only pages that have to be read are tokenised."""
+    wanted = fence(responses.withColumn("_early", P.early_outcome(F.col("final_url"), F.col("status"), F.col("ctype"))))
+    text = H.with_page_text(wanted.filter("_early IS NULL"), "html", ["url", "via"], "markdown")
+    read = P.with_outcome(text, P.page_outcome(F.col("markdown"), F.col("parse_error")), ["url", "via", "markdown"])
+    unread = wanted.filter("_early IS NOT NULL").select("url", "via", F.lit("").alias("markdown"), "_early.*")
+    return read.unionByName(unread)
+
+
+def legacy_outcomes(responses: DataFrame) -> DataFrame:
+    """The same of browser-crawled pages, which come as markdown with the crawler's own verdict: (url, via, success, status, error, markdown)."""
+    tidy = fence(responses.withColumn("markdown", T.clean_markdown(F.coalesce("markdown", F.lit("")))))
+    return P.with_outcome(tidy.withColumnRenamed("error", "_error"), P.classify_legacy(F.col("success"), F.col("status"), F.col("_error"), F.col("markdown")),
+                          ["url", "via", "markdown"])
+
+
 def numbered_records(records: DataFrame, items: DataFrame, batch_size: int) -> DataFrame:
     """``records`` with seq, unique and in order of (page position, URL, person), and batch, so many pages each.
 
@@ -91,6 +106,7 @@ class BatchResult:
     dropped: DataFrame
     warnings: DataFrame
     ledger: DataFrame
+    people: DataFrame
     candidates: DataFrame
     stats: DataFrame
     reasons: DataFrame
@@ -113,17 +129,75 @@ def process(items: DataFrame, responses: DataFrame, replies: DataFrame, ledger:
     checked_pages = cut(X.verified_people(readable.join(jobs, "url").select("url", "content", "people")))
     rows = cut(X.validated(X.page_records(checked_pages)))
     records = cut(numbered_records(X.accepted(rows), items, s.batch_size))
-    people = R.resolve(records, candidates)
-    saved = C.upsert(candidates, C.last_per_source(people), as_of)
+    people = cut(C.last_per_source(R.resolve(records, candidates)))
+    saved = C.upsert(candidates, people, as_of)
     statuses = P.url_status(outcomes, results)
     dropped = X.dropped_per_page(checked_pages, rows)
     stats = S.one_row(
         S.outcome_counts(outcomes), S.record_counts(records), jobs.agg(F.count("*").alias("jobs")),
         dropped.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")))
     return BatchResult(outcomes, jobs, records, statuses, dropped, failed,
-                       L.set_status(recorded, statuses), saved, stats, P.block_reasons(outcomes))
+                       L.set_status(recorded, statuses), people, saved, stats, P.block_reasons(outcomes))
 
 
 def tagged(items: DataFrame) -> DataFrame:
     """Wave tag of (wave_no, platform) rows."""
     return items.withColumn("wave_tag", T.wave_tag(F.col("wave_no"), F.col("platform")))
+
+
+@dataclass(frozen=True)
+class Saved:
+    candidates: DataFrame
+    rejected: DataFrame
+
+
+def saved_records(rows: DataFrame, candidates: DataFrame, as_of: Column, order: str = "pos", batch_size: int = 2_000) -> Saved:
+    """Edited export rows back into the candidate table: split, validate, resolve people, upsert.
+
+    ``order`` is a unique number that gives the order of the rows; so many numbers each are one batch of the ordered fold.
+    """
+    checked = cut(RV.reimported(rows, extras=True))
+    records = X.accepted(checked).withColumn("seq", F.col(order).cast("bigint")).withColumn("batch", F.floor(F.col("seq") / batch_size))
+    people = R.resolve(records, candidates)
+    return Saved(C.upsert(candidates, C.last_per_source(people), as_of), X.rejected(checked))
+
+
+@dataclass(frozen=True)
+class Run:
+    todo: DataFrame
+    report: DataFrame
+    summary: DataFrame
+
+
+def run_waves(plan: DataFrame, done: DataFrame, primary: DataFrame, secondary: DataFrame, log: DataFrame, ledger: DataFrame, as_of: Column,
+              s: Settings = Settings(), backend: str = "auto") -> Run:
+    """From a search plan to the batches of pages that each wave has to fetch.
+
+    Planned queries that ran before are left out; both engines' hits of a query are topped up and capped; a URL counts in the first place
+    where a wave finds it, and in the first wave; what the ledger holds is a duplicate; a wave takes a capped number of fresh URLs in batches.
+    ``todo`` has (wave_no, url, wave_pos, batch_no, platform, wave_tag), ``report`` the counters of waves and run, ``summary`` a row for each query.
+    """
+    queries = cut(SP.planned_queries(SP.cleaned_plan(plan), done, s.num_waves, s.queries_per_wave))
+    asked = queries.select("query").distinct()
+    own = lambda hits: hits.join(asked, "query", "left_semi")
+    first = cut(own(primary))
+    hits = cut(HT.topped_up(asked, first, own(secondary), s.max_results, backend))
+    place = F.struct("query_no", "engine_seq", "rank")
+    found = cut(first_per(hits.join(queries.select("wave_no", "query_no", "query"), "query").withColumn("pos", place), ["wave_no", "url"], ["pos"])
+                .select("wave_no", "pos", "url"))
+    fresh = cut(HT.first_wave(found).join(ledger.filter(L.handled(as_of)).select("url"), "url", "left_anti"))
+    taken = HT.capped_batches(fresh, s.max_urls_per_wave, s.batch_size)
+    todo = tagged(taken.join(queries.select("wave_no", "platform").distinct(), "wave_no")).drop("pos")
+    unknown = F.lit(None)
+    marked = found.select("wave_no", "url").join(fresh.select("wave_no", "url", F.lit(True).alias("is_fresh")), ["wave_no", "url"], "left").join(
+        taken.select("wave_no", "url", F.lit(True).alias("is_taken")), ["wave_no", "url"], "left").select(
+        F.col("wave_no").alias("wave"), F.coalesce("is_fresh", F.lit(False)).alias("is_fresh"), F.coalesce("is_taken", F.lit(False)).alias("is_taken"),
+        unknown.cast("boolean").alias("ok"), unknown.cast("boolean").alias("blocked"), unknown.cast("bigint").alias("records"), unknown.cast("bigint").alias("dropped"))
+    used = HT.engines_used(asked, first, backend)
+    return Run(todo, S.wave_report(marked).select("wave", "is_total", "found", "duplicates", "fresh"), HT.query_summary(used, log, hits))
+
+
+def process_folder(spark: SparkSession, folder: str, ledger: DataFrame, candidates: DataFrame, as_of: Column, s: Settings = Settings()) -> BatchResult:
+    """``process`` over the source tables below a folder (items, responses, replies, robots)."""
+    given = read_inputs(spark, folder)
+    return process(given.items, given.responses, given.replies, ledger, candidates, as_of, given.robots, s)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from leadspark.functions import html as H
 from leadspark.functions import text as T
 from leadspark.operators import candidates as C
 from leadspark.operators import extraction as X
+from leadspark.operators import grounding as G
 from leadspark.operators import pages as P
 from leadspark.operators import resolve as R
 from leadspark.operators import review as RV
@@ -23,8 +25,10 @@ from leadspark.plans import driver_views as V
 from leadspark.plans import sqltext as Q
 from leadspark.plans.registry import query
 from leadspark.plans.catalog_urls import FOLDED_SQL
+from leadspark.sources.store import Store
 from leadspark.sources.tables import Snapshots
 from leadspark.streaming import jobs as J
+from leadspark.streaming import state as ST
 
 col, lit = F.col, F.lit
 
@@ -141,7 +145,7 @@ def page_text(spark, sf):
 
 @query()
 def page_documents(spark, sf):
-    return H.with_page_text(V.table(spark, sf, "pages").select("page_id", "html"), limit=K.MAX_PAGE_CHARS).select("page_id", "title", "text")
+    return H.with_page_text(V.table(spark, sf, "pages").select("page_id", "html"), key_chars=None).select("page_id", "title", "text")
 
 
 def _thread_pages(spark, sf):
@@ -155,10 +159,21 @@ def _thread_pages(spark, sf):
         lit("</script></head><body><p>Turn</p></body></html>")).alias("html"))
 
 
-@query(f"""SELECT conv_id, turn, 0 AS pos, 'POST' AS kind, role AS author, {Q.collapse('text')} AS body FROM conversations WHERE {Q.collapse('text')} <> ''
-UNION ALL SELECT conv_id, turn, 1, 'COMMENT', 're ' || role, {Q.collapse('lower(text)')} FROM conversations WHERE {Q.collapse('text')} <> ''""")
+_THREAD = f"""SELECT conv_id, turn, 0 AS pos, 'POST' AS kind, role AS author, {Q.collapse('text')} AS body FROM conversations WHERE {Q.collapse('text')} <> ''
+UNION ALL SELECT conv_id, turn, 1, 'COMMENT', 're ' || role, {Q.collapse('lower(text)')} FROM conversations WHERE {Q.collapse('text')} <> ''"""
+
+
+@query(_THREAD)
 def thread_rows(spark, sf):
-    return H.thread_rows(H.page_parts(_thread_pages(spark, sf)), ["conv_id", "turn"])
+    return H.thread_rows(H.page_parts(_thread_pages(spark, sf), key_chars=None), ["conv_id", "turn"])
+
+
+@query(_THREAD)
+def thread_table(spark, sf):
+    """The same by the table function in a lateral join."""
+    H.register(spark)
+    _thread_pages(spark, sf).createOrReplaceTempView("thread_pages")
+    return spark.sql("SELECT conv_id, turn, t.* FROM thread_pages, LATERAL thread_lines(html, CAST(NULL AS INT)) t")
 
 
 @query("""SELECT page_id, NOT (length(regexp_extract(url, '//([^/?#]*)', 1)) % 2 = 0 AND regexp_matches(url, '^[a-z]+://[^/]*/en/[1-4]')
@@ -172,6 +187,40 @@ def robots_filter(spark, sf):
     return P.with_robots(p, robots).select("page_id", "allowed")
 
 
+def _robots_body(concat, k: str, case):
+    """A robots text for each page number, of three makes; ``concat`` and ``case`` write it for either engine."""
+    return case([
+        (0, concat("'User-agent: bot\n# c\nUser-Agent : *\nDisallow: /a'", f"{k} % 7", "'\nAllow: /b # yes\nDisallow: /%7Ec d\n'")),
+        (1, concat("'Disallow: /lost\nUser-agent: *\n\nUser-agent: x\nDisallow: /x\n\nUSER-AGENT: * # all\nCrawl-delay: 3\nAllow: /en/'", f"{k} % 5",
+                   "'\nDisallow: /en\n  \nDisallow: /fr?q#\n\nDisallow: /ignored\n'")),
+        (2, concat("'Sitemap: http://h/s\nUser-agent: *\nDisallow:\nnonsense\nDisallow: /es'", f"{k} % 3", "'\n\nUser-agent: *\nDisallow: /second\n'"))])
+
+
+_ROBOTS_SQL_BODY = _robots_body(lambda *xs: " || ".join(x if x.startswith("'") else f"({x})::VARCHAR" for x in xs), "page_id",
+                                lambda cases: "CASE page_id % 3 " + " ".join(f"WHEN {n} THEN {x}" for n, x in cases) + " END").replace("\n", "' || chr(10) || '")
+
+
+@query(f"""WITH b AS (SELECT page_id, {_ROBOTS_SQL_BODY} AS body FROM pages),
+l AS (SELECT page_id, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM b),
+t AS (SELECT *, trim(split_part(raw, '#', 1)) AS t FROM l),
+kv AS (SELECT page_id, pos, raw, lower(trim(split_part(t, ':', 1))) AS k, trim(substr(t, strpos(t, ':') + 1)) AS v, strpos(t, ':') > 0 AS has FROM t),
+e AS (SELECT page_id, pos, k, v, CASE WHEN raw = '' THEN 'B' WHEN has AND k = 'user-agent' THEN 'A' WHEN has AND k IN ('allow', 'disallow', 'crawl-delay', 'request-rate') THEN 'R' END AS kind FROM kv),
+f AS (SELECT *, CASE WHEN kind = 'A' AND coalesce(lag(kind) OVER w, '') <> 'A' THEN 1 ELSE 0 END AS opens FROM e WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+g AS (SELECT *, sum(opens) OVER w AS entry, count(*) FILTER (kind = 'B') OVER w AS blanks FROM f WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+o AS (SELECT page_id, entry, min(blanks) AS opened, bool_or(v = '*') AS star FROM g WHERE kind = 'A' GROUP BY ALL),
+r AS (SELECT g.page_id, g.entry, star, pos, k, v FROM g JOIN o ON g.page_id = o.page_id AND g.entry = o.entry AND blanks = opened WHERE kind = 'R'),
+c AS (SELECT page_id, min(entry) AS entry FROM r WHERE star GROUP BY page_id),
+p AS (SELECT page_id, pos, CASE WHEN k = 'allow' OR v = '' THEN 'a' ELSE 'd' END || regexp_replace(replace(replace(v, '%7E', '~'), ' ', '%20'), '#$', '') AS x
+  FROM r JOIN c USING (page_id, entry) WHERE k IN ('allow', 'disallow'))
+SELECT page_id, replace(string_agg(x, '|' ORDER BY pos), '?', '%3F') AS rules FROM p GROUP BY page_id""")
+def robots_rules(spark, sf):
+    """Robots texts of three makes, one for each page, to the rules that count."""
+    body = _robots_body(lambda *xs: "concat(" + ", ".join(xs) + ")", "page_id", lambda cases: "CASE page_id % 3 " + " ".join(f"WHEN {n} THEN {x}" for n, x in cases) + " END")
+    robots = V.table(spark, sf, "pages").select(col("page_id").cast("string").alias("base"), F.expr(body.replace("\n", "\\n")).alias("body"))
+    rules = F.transform("rules", lambda r: F.concat(F.when(r["allow"], "a").otherwise("d"), r["path"]))
+    return P.robots_rules(robots).select(col("base").cast("bigint").alias("page_id"), joined(rules).alias("rules"))
+
+
 # --- classification ----------------------------------------------------------------
 def _outcomes(spark, sf):
     d = V.doc_responses(spark, sf)
@@ -255,7 +304,8 @@ def url_status(spark, sf):
 
 # --- grounding and ownership --------------------------------------------------------
 _GROUND = """WITH n AS (SELECT count(*) AS n FROM benchmark),
-pairs AS (SELECT doc_id, item_id, b.text AS ev, d.text AS page FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT n FROM n)),
+d AS (SELECT doc_id, text, doc_id % (SELECT n FROM n) AS item FROM documents),
+pairs AS (SELECT doc_id, item_id, b.text AS ev, d.text AS page FROM d JOIN benchmark b ON b.item_id = d.item),
 e AS (SELECT doc_id, unnest(regexp_extract_all(lower(ev), '[a-z0-9]+')) AS w FROM pairs),
 p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(page), '[a-z0-9]+')) AS w FROM pairs),
 s AS (SELECT e.doc_id, count(p.w) / count(*) AS share FROM e LEFT JOIN p ON p.doc_id = e.doc_id AND p.w = e.w GROUP BY e.doc_id)"""
@@ -268,7 +318,19 @@ def _quotes(spark, sf):
     return d.join(b.select("item_id", col("text").alias("ev")), "item_id")
 
 
-@query(_GROUND + """ SELECT pairs.doc_id, round(share, 6) AS share, coalesce(share >= 0.6, false) AS grounded FROM pairs LEFT JOIN s USING (doc_id)""")
+_GROUND += """ SELECT pairs.doc_id, round(share, 6) AS share, coalesce(share >= 0.6, false) AS grounded FROM pairs LEFT JOIN s USING (doc_id)"""
+
+
+@query(_GROUND)
+def grounding_index(spark, sf):
+    """The same shares by an inverted word index."""
+    d = _quotes(spark, sf)
+    quotes = d.select("doc_id", col("doc_id").alias("url"), col("ev").alias("evidence"))
+    pages = V.table(spark, sf, "documents").select(col("doc_id").alias("url"), col("text").alias("content"))
+    return G.grounded_shares(quotes, G.word_index(pages), "doc_id").select("doc_id", F.round("share", 6).alias("share"), "grounded")
+
+
+@query(_GROUND)
 def grounding(spark, sf):
     d = _quotes(spark, sf).select("doc_id", E.grounded_share(col("ev"), col("page")).alias("share"))
     return d.select("doc_id", F.round("share", 6).alias("share"), F.coalesce(col("share") >= K.GROUNDING_MIN_OVERLAP, lit(False)).alias("grounded"))
@@ -326,8 +388,7 @@ def snippet_jobs(spark, sf):
     return _jobs(spark, sf).select("url", "snippet_only", F.md5(col("content").cast("binary")).alias("content"))
 
 
-_NOTE = ("NOTE: The page could not be opened (login wall / blocked). The content below is ONLY the "
-         "search-engine title and snippet for this URL. Extract only what it explicitly states.' || chr(10) || chr(10) || '")
+_NOTE = f"{K.SNIPPET_NOTE}' || chr(10) || chr(10) || '"
 
 
 @query(f"""WITH {_JOBS} SELECT url, snippet_only, md5('Sourcing intent: welders' || chr(10) || 'Page URL: ' || url || chr(10) || 'Platform: docs.example.org' || chr(10) || chr(10)
@@ -726,16 +787,37 @@ def _stage(d):
                     F.when(col("event_type").isin("click", "view"), "pending").otherwise("ok").alias("status"))
 
 
-@query("""WITH e AS (SELECT (user_id % 97)::VARCHAR AS url, ts, event_type IN ('click', 'view') AS pending,
+_EXPIRY = """WITH e AS (SELECT (user_id % 97)::VARCHAR AS url, ts, event_type IN ('click', 'view') AS pending,
   lead(ts) OVER (PARTITION BY user_id % 97 ORDER BY ts) AS nxt FROM events)
 SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS pending_since FROM e WHERE pending AND (nxt IS NULL OR nxt >= ts + INTERVAL 1 HOUR)
-AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)"""
+
+
+@query(_EXPIRY)
 def pending_expiry(spark, sf):
     d = _to_folder(J.expired(_stage(_event_stream(spark, sf))), spark)
     return d.select("url", V.text_of(col("pending_since")).alias("pending_since"))
 
 
-@query(f"WITH {Q.LEDGER}, h AS (SELECT DISTINCT p.url FROM events e JOIN pages p ON p.page_id = e.user_id) SELECT url FROM h WHERE url NOT IN (SELECT url FROM ledger WHERE {Q.HANDLED})")
+@query(_EXPIRY)
+def pending_timers(spark, sf):
+    """The same by a timer for each URL."""
+    d = _to_folder(ST.pending_timers(_stage(_event_stream(spark, sf))), spark)
+    return d.select("url", V.text_of(col("pending_since")).alias("pending_since"))
+
+
+_SIGHTS = f"WITH {Q.LEDGER}, h AS (SELECT DISTINCT p.url FROM events e JOIN pages p ON p.page_id = e.user_id) SELECT url FROM h WHERE url NOT IN (SELECT url FROM ledger WHERE {Q.HANDLED})"
+
+
+@query(_SIGHTS)
+def stream_first_sights(spark, sf):
+    """The same by state that starts from the ledger and follows it."""
+    pages = V.table(spark, sf, "pages").select("url", col("page_id").alias("user_id"))
+    hits = _event_stream(spark, sf).select("ts", "user_id").join(pages, "user_id").select("url", "ts")
+    return _to_folder(ST.first_sights(hits, ledger=cut(V.ledger(spark, sf)), now=datetime.fromisoformat(V.AS_OF)), spark).select("url")
+
+
+@query(_SIGHTS)
 def stream_dedup(spark, sf):
     """A hit stream that repeats its pages, reduced to first sights the ledger does not hold."""
     pages = V.table(spark, sf, "pages").select("url", col("page_id").alias("user_id"))
@@ -753,10 +835,10 @@ def stream_wave_stats(spark, sf):
 @query(_CHECKED)
 def stream_outreach(spark, sf):
     out = _work(spark)
-    store = Snapshots(spark, f"{out}/candidates", SC.CANDIDATES)
-    store.write(V.stored(spark, sf), 1)
+    store = Store(spark, f"{out}/store", J.TABLES, 16)
+    store.load({J.PEOPLE: V.stored(spark, sf)})
     _finish(J.outreach(V.outreach_events_of(_event_stream(spark, sf)), store, f"{out}/ck"))
-    return _flat(store.read(), _STATE)
+    return _flat(store.read(J.PEOPLE), _STATE)
 
 
 @query()
@@ -766,7 +848,58 @@ def stream_ingest(spark, sf):
     out = _work(spark)
     rows = items.join(responses, "url").join(replies, "url").withColumn("arrived_at", V.as_of())
     rows.repartition(2, "url").write.parquet(f"{out}/in")
-    ledger, people = Snapshots(spark, f"{out}/ledger", SC.LEDGER), Snapshots(spark, f"{out}/candidates", SC.CANDIDATES)
-    _finish(J.ingest(J.read_stream(spark, f"{out}/in", J.ARRIVALS, files_per_trigger=1), ledger, people, f"{out}/ck"))
-    n = people.read().select(F.substring_index("source_url", "#", 1).alias("url")).groupBy("url").agg(F.count("*").alias("people"))
-    return ledger.read().join(n, "url", "left").select("url", "status", F.coalesce("people", lit(0)).alias("people"))
+    store = Store(spark, f"{out}/store", J.TABLES, 16)
+    _finish(J.ingest(J.read_stream(spark, f"{out}/in", J.ARRIVALS, files_per_trigger=1), store, f"{out}/ck"))
+    n = store.read(J.PEOPLE).select(F.substring_index("source_url", "#", 1).alias("url")).groupBy("url").agg(F.count("*").alias("people"))
+    return store.read(J.LEDGER).join(n, "url", "left").select("url", "status", F.coalesce("people", lit(0)).alias("people"))
+
+
+# --- stored tables that change ---------------------------------------------------------------
+@query(f"WITH {_UPSERT} SELECT {_flat_sql()} FROM upserted")
+def bucketed_upsert(spark, sf):
+    """The candidate upsert on a bucketed store: only buckets of incoming or unsourced people are read and rewritten."""
+    store = Store(spark, f"{_work(spark)}/store", J.TABLES, 16)
+    store.load({J.PEOPLE: V.stored(spark, sf)})
+    people = cut(C.last_per_source(_incoming(spark, sf)))
+    keys = people.select("source_url").unionByName(C.unsourced(store.read(J.PEOPLE)))
+    store.change(0, J.PEOPLE, keys, lambda old: C.upsert(old, people, V.as_of()))
+    return _flat(store.read(J.PEOPLE))
+
+
+_BASE = ("id string, name string, current_role string, skills array<string>, current_location string, target_countries array<string>, "
+         "evidence_snippet string, source_url string, platform string, discovered_at timestamp")
+_ADDED = ["email", "phone", "contact_source", "outreach_status"]
+
+
+@query(f"""WITH {Q.STORED}, v1 AS (SELECT 1 AS version, id, name, NULL::VARCHAR AS email, NULL::VARCHAR AS phone, NULL::VARCHAR AS contact_source, NULL::VARCHAR AS outreach_status FROM stored),
+v2 AS (SELECT 2 AS version, id, CASE WHEN t THEN upper(name) ELSE name END AS name, CASE WHEN t THEN email END AS email, CASE WHEN t THEN phone END AS phone,
+  CASE WHEN t THEN contact_source END AS contact_source, CASE WHEN t THEN outreach_status END AS outreach_status FROM (SELECT *, substr(id, 2)::BIGINT % 3 = 0 AS t FROM stored))
+SELECT * FROM v1 UNION ALL SELECT * FROM v2""")
+def schema_versions(spark, sf):
+    """A store whose candidate schema grows: a first version without contacts and outreach, a second in which some people have got them.
+
+    Both versions are read in the grown schema; what a version or a file lacks is null.
+    """
+    root, people = f"{_work(spark)}/store", cut(V.stored(spark, sf))
+    Store(spark, root, {J.PEOPLE: (_BASE, "source_url")}, 8).load({J.PEOPLE: people.select(*[f.name for f in SC.struct(_BASE).fields])})
+    store = Store(spark, root, J.TABLES, 8)
+    some = people.filter(F.substring("id", 2, 20).cast("bigint") % 3 == 0).withColumn("name", F.upper("name"))
+    store.change(0, J.PEOPLE, some, lambda old: SC.conform_exact(old.join(some, "id", "left_anti"), SC.CANDIDATES).unionByName(SC.conform_exact(some, SC.CANDIDATES)))
+    both = [store.read(J.PEOPLE, version=v, ddl=SC.CANDIDATES).select(lit(v).alias("version"), "id", "name", *_ADDED) for v in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH {Q.STORED} SELECT {_flat_sql()} FROM (SELECT id, CASE WHEN e THEN 'Edited ' || name ELSE name END AS name, "current_role",
+  list_sort(list_distinct(list_concat(skills, CASE WHEN e THEN ['Added'] ELSE [] END))) AS skills, current_location, target_countries, evidence_snippet, email, phone, source_url,
+  platform, {Q.TS} AS discovered_at, CASE WHEN contact_source IS NULL AND (email IS NOT NULL OR phone IS NOT NULL) THEN 'posted_on_page' ELSE contact_source END AS contact_source,
+  CASE WHEN contact_source IS NULL AND (email IS NOT NULL OR phone IS NOT NULL) THEN {Q.TS} END AS contact_shared_at, outreach_status
+  FROM (SELECT * REPLACE (CASE WHEN substr(id, 2)::BIGINT % 5 = 0 THEN '+92' || lpad(substr(id, 2), 10, '0') END AS phone), substr(id, 2)::BIGINT % 20 = 0 AS e FROM stored))""")
+def saved_edits(spark, sf):
+    """The whole table exported, edited and saved again. Edited people are known by e-mail and phone, the others by name as well."""
+    k = F.substring("id", 2, 20).cast("bigint")
+    stored = cut(V.stored(spark, sf).withColumn("phone", F.when(k % 5 == 0, F.concat(lit("+92"), F.lpad(k.cast("string"), 10, "0")))))
+    edited = k % 20 == 0
+    rows = RV.export_rows(stored.select("id", *SC.RECORD_FIELDS)).withColumns({
+        "name": F.when(edited, F.concat(lit("Edited "), "name")).otherwise(col("name")),
+        "skills": F.when(edited, F.concat("skills", lit("; Added; "))).otherwise(col("skills")), "pos": k})
+    return _flat(B.saved_records(rows, stored, V.as_of()).candidates)

@@ -231,7 +231,7 @@ waves AS (SELECT wave, count(*) AS found, count(*) FILTER (NOT is_fresh) AS dupl
     coalesce(sum(records), 0)::BIGINT AS records, coalesce(sum(dropped), 0)::BIGINT AS dropped FROM marked GROUP BY wave)"""
 
 
-def _waves(spark, sf):
+def _wave_rows(spark, sf):
     hits, ledger = V.wave_hits(spark, sf), V.ledger(spark, sf)
     fresh = HT.first_wave(hits).join(ledger.filter(L.handled(V.as_of())).select("url"), "url", "left_anti")
     taken = HT.capped_batches(fresh).select("wave_no", "url", "pos", F.lit(True).alias("is_taken"))
@@ -239,10 +239,20 @@ def _waves(spark, sf):
     d = found.join(fresh.select("wave_no", "url", F.lit(True).alias("is_fresh")), ["wave_no", "url"], "left").join(
         taken, ["wave_no", "url"], "left")
     pos = col("pos")    # null where the page was not taken
-    return S.wave_stats(d.select(
+    return d.select(
         F.concat(F.lit("wave "), "wave_no").alias("wave"), F.coalesce("is_fresh", F.lit(False)).alias("is_fresh"),
         F.coalesce("is_taken", F.lit(False)).alias("is_taken"), (pos % 4 != 0).alias("ok"), (pos % 8 == 0).alias("blocked"),
-        (pos % 3).alias("records"), (pos % 2).alias("dropped")))
+        (pos % 3).alias("records"), (pos % 2).alias("dropped"))
+
+
+def _waves(spark, sf):
+    return S.wave_stats(_wave_rows(spark, sf))
+
+
+@query(f"WITH {_WAVE_URLS} SELECT *, false AS is_total FROM waves UNION ALL SELECT NULL, {', '.join(f'sum({c})::BIGINT' for c in S.COUNTERS)}, true FROM waves")
+def wave_report(spark, sf):
+    """Waves and run in one pass by grouping sets."""
+    return S.wave_report(_wave_rows(spark, sf)).select("wave", *S.COUNTERS, "is_total")
 
 
 @query(f"WITH {_WAVE_URLS} SELECT * FROM waves")
@@ -288,3 +298,39 @@ def error_reasons(spark, sf):
 @query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def first_per_source(spark, sf):
     return first_per(V.table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+
+
+# --- whole run ---------------------------------------------------------------------
+_RUN = f"""{_TOPPED}, {Q.LEDGER},
+nq AS (SELECT query, seq, seq % 3 + 1 AS wave_no FROM (SELECT query, substr(query, 2)::INT AS seq FROM q)),
+pq AS (SELECT *, row_number() OVER (PARTITION BY wave_no ORDER BY seq) AS query_no FROM nq WHERE seq % 10 <> 9),
+found AS (SELECT wave_no, url, query_no, engine_seq, rank FROM (SELECT * FROM topped JOIN pq USING (query))
+  QUALIFY row_number() OVER (PARTITION BY wave_no, url ORDER BY query_no, engine_seq, rank) = 1),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY wave_no ORDER BY query_no, engine_seq, rank) AS wave_pos FROM (
+  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY url ORDER BY wave_no, query_no, engine_seq, rank) = 1) f
+  WHERE url NOT IN (SELECT url FROM ledger WHERE {Q.HANDLED}))"""
+
+
+def _run(spark, sf):
+    """Result queries as a plan of three waves; every tenth ran before, spelled differently."""
+    q = V.result_queries(spark, sf)
+    wave = (col("query_seq") % 3 + 1).alias("wave_no")
+    # a wave's queries are one row each in the plan's input, and a plan row lists them
+    plan = q.groupBy(wave).agg(F.transform(F.array_sort(F.collect_list(F.struct("query_seq", "query"))), lambda x: x["query"]).alias("queries")).select(
+        "wave_no", F.concat(F.lit("Wave "), "wave_no").alias("wave_name"), F.concat(F.lit("p"), "wave_no").alias("platform"), "queries")
+    done = q.filter("query_seq % 10 = 9").select(F.concat(F.lit(" "), F.upper("query")).alias("query"))
+    return B.run_waves(plan, done, HT.primary_hits(V.raw_primary(spark, sf)), HT.secondary_hits(V.raw_secondary(spark, sf), _ALL_RESULTS), V.query_log(spark, sf),
+                       V.ledger(spark, sf), V.as_of(), B.Settings(num_waves=3, queries_per_wave=1_000_000, max_results=_ALL_RESULTS))
+
+
+@query(f"""WITH {_RUN} SELECT wave_no, url, wave_pos, (wave_pos - 1) // 5 + 1 AS batch_no, 'W' || wave_no || ':p' || wave_no AS wave_tag
+FROM fresh WHERE wave_pos <= 30""")
+def run_batches(spark, sf):
+    return _run(spark, sf).todo.select("wave_no", "url", "wave_pos", "batch_no", "wave_tag")
+
+
+@query(f"""WITH {_RUN}, w AS (SELECT f.wave_no AS wave, r.url IS NULL AS duplicate, coalesce(r.wave_pos <= 30, false) AS taken
+  FROM found f LEFT JOIN fresh r ON r.url = f.url AND r.wave_no = f.wave_no)
+SELECT wave, grouping(wave) = 1 AS is_total, count(*) AS found, count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (taken) AS fresh FROM w GROUP BY ROLLUP (wave)""")
+def run_report(spark, sf):
+    return _run(spark, sf).report

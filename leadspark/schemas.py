@@ -23,6 +23,7 @@ RAW_HITS = ("query string, query_seq int, engine string, rank int, href string,
 SERP_PAGES = "query string, query_seq int, page_no int, payload string"
 QUERY_LOG = "query string, engine string, error string, rate_limited boolean"
 PLAN = "wave_no int, wave_name string, platform string, queries array<string>"
+ITEMS = "url string, title string, snippet string, wave_tag string, pos bigint"
 RESPONSES = "url string, final_url string, status int, ctype string, html string, via string"
 ATTEMPTS = "url string, attempt_no int, via string, ok boolean, blocked boolean, error string, markdown string"
 ROBOTS = "base string, body string"

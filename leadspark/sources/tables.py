@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,6 +85,19 @@ class Snapshots:
         S.conform_exact(df, self.ddl).write.mode("overwrite").parquet(f"{self.root}/{self.label}={version}")
 
 
-def append_evolved(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Additive evolution: columns one side lacks are null in its rows."""
-    return old.unionByName(new, allowMissingColumns=True)
+@dataclass(frozen=True)
+class Inputs:
+    """The source tables of a batch, read in their declared schemas."""
+
+    items: DataFrame
+    responses: DataFrame
+    replies: DataFrame
+    robots: DataFrame | None
+
+
+def read_inputs(spark: SparkSession, folder: str) -> Inputs:
+    """Tables ``items``, ``responses``, ``replies`` (JSON) and, where it is there, ``robots`` below a folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/robots")
+    there = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+    return Inputs(read_table(spark, f"{folder}/items", S.ITEMS), read_responses(spark, f"{folder}/responses"), read_replies(spark, f"{folder}/replies"),
+                  read_table(spark, f"{folder}/robots", S.ROBOTS) if there else None)

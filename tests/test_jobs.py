@@ -62,3 +62,40 @@ def test_top_up_takes_the_secondary_only_where_thin(spark):
     assert count() == {"a": 3, "b": 4}
     assert count(backend="duckduckgo") == {"a": 3, "b": 1} == count(backend="google", has_secondary=False)
     assert count(backend="google") == {"a": 4, "b": 4}
+
+
+def test_process_reads_its_source_tables(spark, tmp_path):
+    """The same batch from tables in files, with columns in another order and without robots, and from frames."""
+    from leadspark.plans import batch as B
+
+    items, responses, replies = CP._batch_inputs(spark, SF)
+    items.select("pos", "url", "wave_tag", "title", "snippet").write.parquet(str(tmp_path / "items"))
+    responses.drop("via").withColumn("via", F.lit("direct")).write.parquet(str(tmp_path / "responses"))
+    replies.write.json(str(tmp_path / "replies"))
+    none = S.empty(spark, S.LEDGER), S.empty(spark, S.CANDIDATES), V.as_of()
+    got = B.process_folder(spark, str(tmp_path), *none)
+    want = B.process(items, responses, replies, *none)
+    assert rows(got.ledger) == rows(want.ledger) and rows(got.candidates.select("name", "source_url")) == rows(want.candidates.select("name", "source_url"))
+    spark.createDataFrame([("https://none.example", "User-agent: *\nDisallow: /")], "base string, body string").write.parquet(str(tmp_path / "robots"))
+    assert TB.read_inputs(spark, str(tmp_path)).robots.count() == 1
+
+
+def test_exported_files_hold_what_was_exported(spark, tmp_path):
+    import json
+
+    stored = V.stored(spark, SF).withColumn("evidence_snippet", F.concat(F.lit("é \"q\" "), "evidence_snippet"))
+    TB.write_json(stored, str(tmp_path / "json"))
+    lines = [json.loads(line) for f in (tmp_path / "json").glob("part-*") for line in f.read_text(encoding="utf-8").splitlines()]
+    want = {r["id"]: r.asDict() for r in S.serialise(stored).collect()}
+    assert {x["id"]: x for x in lines} == want
+    assert any("é" in f.read_text(encoding="utf-8") for f in (tmp_path / "json").glob("part-*"))
+
+
+def test_rejected_edits_are_told(spark):
+    from leadspark.plans import batch as B
+
+    stored = V.stored(spark, SF).limit(5)
+    edits = RV.export_rows(stored.select(*S.RECORD_FIELDS)).withColumn("pos", F.monotonically_increasing_id()).withColumn(
+        "source_url", F.when(F.col("pos") == 0, "no url").otherwise(F.col("source_url")))
+    saved = B.saved_records(edits, stored, V.as_of())
+    assert saved.rejected.count() == 1 and saved.candidates.count() == 5

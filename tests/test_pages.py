@@ -48,6 +48,58 @@ def test_robots(spark):
     assert {r.url: r.allowed for r in got.collect()} == want
 
 
+def test_robots_rules_as_the_standard_library_reads_them(spark):
+    """Random texts of lines in any order; the standard parser decides."""
+    import random
+    from urllib.robotparser import RobotFileParser
+
+    rng = random.Random(2)
+    lines = ["User-agent: *", "user-agent:*", "USER-AGENT : * # all", "User-agent: bot", "User-agent:", "User-agent: */x", "Disallow: /a", "Allow: /a/b", "Disallow:", "Disallow: /c d",
+             "Disallow: /%7Ee?x=1&y", "Allow: /f?", "Disallow: /g#", "Disallow: /h;", "Disallow: /i;j;", "Disallow: *", "Crawl-delay: 3", "Request-rate: 1/5", "Sitemap: http://h/s", "", "", "  ",
+             "# comment", "nonsense", "Allow : /k # c", "Disallow: /é"]
+    bodies = [(str(i), rng.choice(["\n", "\r\n", "\r"]).join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(400)] + [("none", None)]
+    got = {r.base: [(x.allow, x.path) for x in r.rules] for r in P.robots_rules(spark.createDataFrame(bodies, "base string, body string")).collect()}
+    ruled = 0
+    for base, body in bodies:
+        parser = RobotFileParser()
+        parser.parse((body or "").splitlines())
+        entry = next((e for e in parser.entries if e.applies_to("*")), parser.default_entry)
+        want = [(r.allowance, r.path) for r in entry.rulelines] if entry else []
+        assert got.get(base, []) == want, body
+        ruled += bool(want)
+    assert ruled > 100
+    assert "Python" not in P.robots_rules(spark.createDataFrame(bodies, "base string, body string"))._jdf.queryExecution().toString()
+
+
+def test_long_comments_with_equal_starts(spark):
+    """Whole lines are compared when asked; the table function is callable from SQL."""
+    start = "same start " * 30
+    html = ('<script type="application/ld+json">[' + ", ".join('{"@type": "Comment", "author": "ann", "text": "%s%s"}' % (start, end) for end in ("one", "two", "one")) + "]</script>")
+    page = spark.createDataFrame([(html,)], "html string")
+    count = lambda **how: len(H.page_parts(page, **how).first().thread)
+    assert (count(), count(key_chars=None), count(key_chars=5)) == (1, 2, 1)
+    H.register(spark)
+    page.createOrReplaceTempView("one_page")
+    got = spark.sql("SELECT t.* FROM one_page, LATERAL thread_lines(html, CAST(NULL AS INT)) t ORDER BY pos").collect()
+    assert [(r.pos, r.kind, r.author, r.body[-3:]) for r in got] == [(0, "COMMENT", "ann", "one"), (1, "COMMENT", "ann", "two")]
+    assert spark.sql("SELECT t.* FROM one_page, LATERAL thread_lines(html, 200) t").count() == 1
+    assert spark.sql("SELECT t.* FROM VALUES (CAST(NULL AS STRING)) v(html), LATERAL thread_lines(html, 200) t").count() == 0
+
+
+def test_legacy_outcomes(spark):
+    from leadspark.plans import batch as B
+
+    long = "word " * 900
+    pages = [("http://h/1", True, 200, None, long), ("http://h/2", False, None, "Blocked by robots", None), ("http://h/3", True, 407, None, long),
+             ("http://h/4", True, 200, None, "captcha " + "x" * 3000), ("http://h/5", True, 0, None, "![i](u) [a](http://x) " + long), ("http://h/6", False, 500, "", long)]
+    responses = spark.createDataFrame([(u, "direct", *r) for u, *r in pages], "url string, via string, success boolean, status int, error string, markdown string")
+    got = {r.url: r for r in B.outcomes_of(responses.select("url"), responses, None, B.Settings(legacy=True)).collect()}
+    assert {u[-1]: (r.ok, r.blocked, r.error) for u, r in got.items()} == {
+        "1": (True, False, None), "2": (False, True, "Blocked by robots"), "3": (False, False, "HTTP 407"), "4": (False, True, "login wall / bot check / empty page"),
+        "5": (True, False, None), "6": (False, False, "crawl failed")}
+    assert got["http://h/5"].markdown.startswith("a word")
+
+
 def test_a_page_the_tokenizer_refuses_fails_alone(spark):
     from leadspark.plans import batch as B
 

@@ -113,3 +113,29 @@ def test_verified_people(spark):
     assert [(p.name, p.email, p.phone) for p in v.people] == [
         ("Ann", "ann@x.com", None), ("Bob", None, "98765 43210"), ("Dee", "info@x.com", None)]
     assert (v.n_people, v.n_ungrounded) == (4, 1)
+
+
+def test_running_sums_and_occurrences(spark):
+    import random
+    import time
+    from itertools import accumulate
+
+    rng = random.Random(1)
+    lists = [[], [3], [1] * 64, [1] * 65, [rng.randrange(9) for _ in range(1000)], list(range(8192))]
+    got = spark.createDataFrame([(i, xs) for i, xs in enumerate(lists)], "i int, xs array<int>").select(
+        "i", T.running_sum(F.col("xs")).alias("s"), T.occurrence(F.col("xs").cast("array<string>")).alias("n")).orderBy("i").collect()
+    for r, xs in zip(got, lists):
+        seen = {}
+        count = [seen.setdefault(x, []).append(1) or len(seen[x]) for x in xs]
+        assert r.s == list(accumulate(xs)) and r.n == count
+    from leadspark.functions import evidence as E
+    from leadspark.operators import extraction as X
+
+    many = " ".join(f"p{i % 4000}@mail.example.com x" for i in range(8000))
+    names = [f"ann {i % 50}" for i in range(8000)]
+    d = spark.createDataFrame([(many, names)], "t string, names array<string>").select(
+        F.size(E.email_mentions(F.col("t"))).alias("m"), F.size(F.array_distinct(X.assigned_urls(F.lit("u"), F.col("names")))).alias("u"))
+    d.collect()
+    start = time.perf_counter()
+    r = d.first()
+    assert (r.m, r.u) == (4000, 8000) and time.perf_counter() - start < 5
