@@ -232,8 +232,11 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def _across(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur in two documents at least, with their smallest document."""
-    return df.groupBy(*keys).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
+    """The keys that occur in two documents at least, with their smallest document.
+
+    Stored, so that a join with them reads two plain exchanges, which is what adaptive execution can split where a key is hot.
+    """
+    return stored(df.groupBy(*keys).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc"))
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -242,36 +245,43 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     anchor, extended, _ = levels(length)
     long = texts.filter(F.octet_length("text") >= 2 * length - 1).select("doc", "mark", "text")
     every = stored(long.mapInArrow(_segments(length), _SEGMENT))
-    segments = stored(every.join(_across(every, ["gram"]).select("gram"), "gram", "left_semi"))
+    several = _across(every, ["gram"])
+    segments = stored(every.join(several.select("gram"), "gram", "left_semi"))
     discard(every)
+    discard(several)
     release(spark)
 
-    marked = stored(segments.join(_across(segments, ["gram", "seg"]), ["gram", "seg"], "left").drop("seg"))
+    several = _across(segments, ["gram", "seg"])
+    marked = stored(segments.join(several, ["gram", "seg"], "left").drop("seg"))
     discard(segments)
+    discard(several)
     release(spark)
     later = stored(marked.filter("doc > first_doc").select("doc", "mark", F.col("lo").alias("first"), (F.col("lo") + F.col("hi") + length).alias("last")))
     firsts = stored(marked.filter("first_doc IS NULL OR doc = first_doc").drop("first_doc"))
     discard(marked)
 
-    def again(side: str) -> DataFrame:
-        return _across(firsts.filter(F.col(side).isNotNull()), ["gram", side]).select("gram", side, F.lit(True).alias(f"{side}_again"))
-
-    left = firsts.join(again("after"), ["gram", "after"], "left").join(again("before"), ["gram", "before"], "left")
+    sides = {side: _across(firsts.filter(F.col(side).isNotNull()), ["gram", side]) for side in ("after", "before")}
+    left = firsts
+    for side, several in sides.items():
+        left = left.join(several.select("gram", side, F.lit(True).alias(f"{side}_again")), ["gram", side], "left")
     # Windows that start ``anchor`` words or more before the anchor hold the stretch before it, those that start at most length - extended before it the one after.
     first = F.when(F.col("before_again").isNull(), F.greatest(F.lit(0), F.col("at") - anchor + 1)).otherwise(0)
     last = F.when(F.col("after_again").isNull(), F.least(F.col("hi"), F.col("at") - (length - extended) - 1)).otherwise(F.col("hi"))
     runs = left.filter("after_again IS NOT NULL OR before_again IS NOT NULL").select(
         "doc", "mark", "gram", (F.col("lo") + first).alias("first"), (F.col("lo") + last).alias("last")).filter("first <= last")
     asked = stored(runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs")))
-    discard(firsts)
+    for used in (firsts, *sides.values()):
+        discard(used)
     release(spark)
 
     windows = stored(asked.join(long, ["doc", "mark"]).select("doc", "mark", "runs", "text").mapInArrow(
         _windows(length), "gram long, whole long, doc long, mark long, lo int"))
     release(spark)
-    single = stored(windows.join(_across(windows, ["gram", "whole"]), ["gram", "whole"]).filter("doc > first_doc").select(
+    several = _across(windows, ["gram", "whole"])
+    single = stored(windows.join(several, ["gram", "whole"]).filter("doc > first_doc").select(
         "doc", "mark", F.col("lo").alias("first"), (F.col("lo") + length).alias("last")))
     discard(windows)
+    discard(several)
     discard(asked)
     release(spark)
     return later.unionByName(single)

@@ -245,18 +245,20 @@ def repeats(texts: DataFrame) -> DataFrame:
     discard(segments)
     release(spark)
 
-    def again(rank: str) -> DataFrame:
-        return firsts.filter(F.col(rank).isNotNull()).groupBy("gram", rank).agg(F.count("*").alias("n")).filter("n > 1").select(
-            "gram", rank, F.lit(True).alias(f"{rank}_again"))
-
-    left = firsts.drop("seg", "n").join(again("after"), ["gram", "after"], "left").join(again("around"), ["gram", "around"], "left")
+    # Counts are stored, so that a join with them reads two plain exchanges, which adaptive execution can split where a key is hot.
+    sides = {rank: stored(firsts.filter(F.col(rank).isNotNull()).groupBy("gram", rank).agg(F.count("*").alias("n")).filter("n > 1").select(
+        "gram", rank, F.lit(True).alias(f"{rank}_again"))) for rank in ("after", "around")}
+    left = firsts.drop("seg", "n")
+    for rank, several in sides.items():
+        left = left.join(several, ["gram", rank], "left")
     # A window d bytes before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
     farthest = F.when(F.col("around_again").isNull(), F.greatest(F.lit(0), F.col("at") - 31)).otherwise(0)
     nearest = F.when(F.col("after_again").isNull(), F.least(F.col("hi"), F.col("at") - 37)).otherwise(F.col("hi"))
     runs = left.filter("after_again IS NOT NULL OR around_again IS NOT NULL").select(
         "doc", "mark", "gram", (F.col("lo") + farthest).alias("first"), (F.col("lo") + nearest).alias("last")).filter("first <= last")
     asked = stored(runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs")))
-    discard(firsts)
+    for used in (firsts, *sides.values()):
+        discard(used)
     release(spark)
     tag = F.xxhash64("doc", "mark")
     few = long.withColumn("tag", tag).mapInArrow(_asked(share(bit_table(asked.select(tag.alias("gram"))))), "doc long, mark long, text string")
@@ -266,10 +268,11 @@ def repeats(texts: DataFrame) -> DataFrame:
     discard(asked)
     release(spark)
     spot = F.struct("doc", "mark", "lo")
-    several = windows.groupBy("gram", "whole").agg(F.min(spot).alias("start"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = stored(windows.groupBy("gram", "whole").agg(F.min(spot).alias("start"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     single = stored(windows.join(several, ["gram", "whole"]).filter(spot != F.col("start")).select(
         "doc", "mark", F.col("lo").alias("first"), (F.col("lo") + LENGTH).alias("last")))
     discard(windows)
+    discard(several)
     release(spark)
     return later.unionByName(single)
 
