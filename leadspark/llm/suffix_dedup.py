@@ -33,7 +33,8 @@ from leadspark.llm.common import discard, release, stored, text_mark, whole_text
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
-CHUNK = 1 << 21             # bytes of a text ranked at a time
+CHUNK = 1 << 21             # most bytes of one text ranked at a time
+BLOCK = 1 << 18             # bytes of several texts ranked together
 TABLE_BITS = 27             # the bit table has 2^27 bits, 16 MB
 LAST = (1 << 63) - 1        # stands for a null doc_id: it comes last
 
@@ -63,29 +64,61 @@ def ranks(data: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) for the windows of a text with ranks ``h``."""
-    least, reach = h, 1
-    while 2 * reach <= WINDOW:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    least = np.minimum(least[:len(h) - WINDOW + 1], least[WINDOW - reach:])
-    lo = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    hi = np.append(lo[1:], len(least)) - 1
-    parts = []
-    while len(lo):      # a rank may repeat inside its run: the run goes on behind its first anchor
-        at = lo + np.lib.stride_tricks.sliding_window_view(h, WINDOW)[lo].argmin(axis=1)
-        parts.append((at, lo, np.minimum(hi, at)))
-        more = hi > at
-        lo, hi = at[more] + 1, hi[more]
-    return tuple(np.concatenate(x) for x in zip(*parts))
+class Block:
+    """Pieces of several texts side by side, so that one array operation serves many short texts.
 
+    ``row`` and ``start`` tell the text of a piece in its batch and where the piece begins there; ``begin`` and ``end`` where it lies in the block.
+    """
 
-def _chunks(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(start, ranks) of pieces of a text that hold each of its windows once."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    for start in range(0, len(data) - LENGTH + 1, CHUNK):
-        yield start, ranks(data[start:start + CHUNK + LENGTH - 1])
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        self.row, self.start = (np.array([p[k] for p in pieces], dtype=np.int64) for k in range(2))
+        self.end = np.cumsum([len(p[2]) for p in pieces])
+        self.begin = self.end - np.array([len(p[2]) for p in pieces], dtype=np.int64)
+        self.ranks = ranks(np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, first window, last window, piece) of each segment; windows do not cross pieces."""
+        h = self.ranks
+        least, reach = h, 1
+        while 2 * reach <= WINDOW:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        least = np.minimum(least[:len(h) - WINDOW + 1], least[WINDOW - reach:])
+        change = np.zeros(len(least) + 1, dtype=np.int8)
+        change[self.begin] += 1
+        change[self.end - LENGTH + 1] -= 1
+        inside = np.cumsum(change[:-1]) > 0
+        new = least[1:] != least[:-1]
+        new |= ~inside[:-1]
+        lo = np.flatnonzero(inside & np.concatenate(([True], new)))
+        piece = np.searchsorted(self.begin, lo, "right") - 1
+        hi = np.minimum(np.append(lo[1:], len(least)) - 1, self.end[piece] - LENGTH)
+        parts = []
+        while len(lo):      # a rank may repeat inside its run: the run goes on behind its first anchor
+            at = lo + np.lib.stride_tricks.sliding_window_view(h, WINDOW)[lo].argmin(axis=1)
+            parts.append((at, lo, np.minimum(hi, at), piece))
+            more = hi > at
+            lo, hi, piece = at[more] + 1, hi[more], piece[more]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def place(self, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Positions in the texts."""
+        return at - self.begin[piece] + self.start[piece]
+
+
+def _blocks(texts: pa.Array) -> Iterator[Block]:
+    """The texts of a batch in blocks; a text above ``CHUNK`` comes in pieces that hold each of its windows once."""
+    pieces, size = [], 0
+    for row, text in enumerate(texts):
+        data = text.as_buffer().to_pybytes()
+        for start in range(0, len(data) - LENGTH + 1, CHUNK):
+            pieces.append((row, start, data[start:start + CHUNK + LENGTH - 1]))
+            size += len(pieces[-1][2])
+            if size >= BLOCK:
+                yield Block(pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield Block(pieces)
 
 
 def _sides(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -98,12 +131,10 @@ def _sides(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tup
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow mapper from texts to the ranks of 64 bytes at their anchors."""
     for batch in batches:
-        found = []
-        for text in batch.column(0):
-            for _, h in _chunks(text.as_buffer().to_pybytes()):
-                after, some_after, around, some_around = _sides(h, *anchors(h))
-                found += [after[some_after], around[some_around]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["gram"])
+        for block in _blocks(batch.column(0)):
+            at, lo, hi, _ = block.anchors()
+            after, some_after, around, some_around = _sides(block.ranks, at, lo, hi)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([after[some_after], around[some_around]]).view(np.int64))], ["gram"])
 
 
 def bit_table(ranks_: DataFrame) -> np.ndarray:
@@ -137,30 +168,25 @@ def _segments(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table.value
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(8)]
-            for row, text in enumerate(batch.column(2)):
-                for start, h in _chunks(text.as_buffer().to_pybytes()):
-                    at, lo, hi = anchors(h)
-                    after, some_after, around, some_around = _sides(h, at, lo, hi)
-                    # A window d bytes before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
-                    lo = np.where(some_around & ~_marked(words, around), np.maximum(lo, at - GRAM + 1), lo)
-                    hi = np.where(some_after & ~_marked(words, after), np.minimum(hi, at - (LENGTH - 2 * GRAM) - 1), hi)
-                    keep = lo <= hi
-                    at, lo, hi, after, around = (x[keep] for x in (at, lo, hi, after, around))
-                    end = hi + LENGTH - GRAM
-                    seg = h[lo] ^ ((hi - lo) * 1000 + (at - lo)).astype(np.uint64)
-                    for level, step in enumerate((32, 64, 96, 128, 160)):
-                        seg = _pair(seg, h[np.minimum(lo + step, end)], level)
-                    columns = (_short(h[at]), _mixed(seg).view(np.int64), _short(after), _short(around), np.full(len(at), row), lo + start, at - lo, hi - lo)
-                    for column, values in zip(out, columns):
-                        column.append(values)
-            gram, seg, after, around, row, lo, at, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-            row = pa.array(row.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.astype(np.int32)), pa.array(seg), pa.array(after.astype(np.int32), mask=at - hi > LENGTH - 2 * GRAM),
-                 pa.array(around.astype(np.int32), mask=at < GRAM), batch.column(0).take(row), batch.column(1).take(row),
-                 *[pa.array(c.astype(np.int32)) for c in (lo, at, hi)]],
-                ["gram", "seg", "after", "around", "doc", "mark", "lo", "at", "hi"])
+            for block in _blocks(batch.column(2)):
+                h = block.ranks
+                at, lo, hi, piece = block.anchors()
+                after, some_after, around, some_around = _sides(h, at, lo, hi)
+                # A window d bytes before its anchor holds the 64 bytes after the anchor if d <= 36, those around it if d >= 32.
+                lo = np.where(some_around & ~_marked(words, around), np.maximum(lo, at - GRAM + 1), lo)
+                hi = np.where(some_after & ~_marked(words, after), np.minimum(hi, at - (LENGTH - 2 * GRAM) - 1), hi)
+                keep = lo <= hi
+                at, lo, hi, piece, after, around = (x[keep] for x in (at, lo, hi, piece, after, around))
+                end = hi + LENGTH - GRAM
+                seg = h[lo] ^ ((hi - lo) * 1000 + (at - lo)).astype(np.uint64)
+                for level, step in enumerate((32, 64, 96, 128, 160)):
+                    seg = _pair(seg, h[np.minimum(lo + step, end)], level)
+                row = pa.array(block.row[piece])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_short(h[at])), pa.array(_mixed(seg).view(np.int64)), pa.array(_short(after), mask=at - hi > LENGTH - 2 * GRAM),
+                     pa.array(_short(around), mask=at - lo < GRAM), batch.column(0).take(row), batch.column(1).take(row),
+                     *[pa.array(c.astype(np.int32)) for c in (block.place(lo, piece), at - lo, hi - lo)]],
+                    ["gram", "seg", "after", "around", "doc", "mark", "lo", "at", "hi"])
     return run
 
 
@@ -176,21 +202,23 @@ def _asked(table):
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow mapper from (doc, mark, runs, text) to (gram, whole, doc, mark, lo): ranks of 100 bytes of the asked windows."""
     for batch in batches:
-        gram, whole, row, place = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, (runs, text) in enumerate(zip(batch.column(2), batch.column(3))):
-            grams, first, last = (runs.values.field(k).to_numpy().astype(t) for k, t in enumerate((np.int32, np.int64, np.int64)))
-            for start, h in _chunks(text.as_buffer().to_pybytes()):
-                lo, hi = np.maximum(first, start), np.minimum(last, start + CHUNK - 1)
-                n = np.maximum(hi - lo + 1, 0)
-                p = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) - start
-                gram.append(np.repeat(grams, n))
-                whole.append(_mixed(_pair(_pair(h[p], h[p + 32], 2), _pair(h[p + 36], h[p + 68], 2), 3)))
-                row.append(np.full(len(p), i))
-                place.append(p + start)
-        at = pa.array(np.concatenate(row))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(gram)), pa.array(np.concatenate(whole).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at),
-             pa.array(np.concatenate(place).astype(np.int32))], ["gram", "whole", "doc", "mark", "lo"])
+        offsets = batch.column(2).offsets.to_numpy().astype(np.int64)
+        grams, firsts, lasts = (batch.column(2).values.field(k).to_numpy().astype(t) for k, t in enumerate((np.int32, np.int64, np.int64)))
+        for block in _blocks(batch.column(3)):
+            # the runs of each piece's text, cut to the piece
+            n_runs = offsets[block.row + 1] - offsets[block.row]
+            piece = np.repeat(np.arange(len(block.row)), n_runs)
+            run = np.repeat(offsets[block.row] - np.cumsum(n_runs) + n_runs, n_runs) + np.arange(n_runs.sum())
+            lo = np.maximum(firsts[run], block.start[piece]) - block.start[piece] + block.begin[piece]
+            hi = np.minimum(lasts[run] - block.start[piece] + block.begin[piece], block.end[piece] - LENGTH)
+            n = np.maximum(hi - lo + 1, 0)
+            p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            h, of = block.ranks, np.repeat(piece, n)
+            whole = _mixed(_pair(_pair(h[p], h[p + 32], 2), _pair(h[p + 36], h[p + 68], 2), 3))
+            row = pa.array(block.row[of])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(grams[run], n)), pa.array(whole.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row),
+                 pa.array(block.place(p, of).astype(np.int32))], ["gram", "whole", "doc", "mark", "lo"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
