@@ -4,7 +4,7 @@ A text is a bag of words and word starts (hashed), weighted by log(1 + count) an
 trained on a bounded sample of labelled texts. Where a labelled text names a group of people, a counterfactual copy is made in which each
 identity term is swapped for another of its set, and the squared difference of the two scores is added to the loss, so that
 naming a group does not move the score. The scores are calibrated on a part of the sample that training does not
-see. Scoring is one pass over all texts without a shuffle.
+see. The sample is bounded in rows and bytes and is fitted in one task; the driver gets the weights only. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from leadspark.llm.common import fresh, text_mark, whole_text
 
 SAMPLE = 12_000         # most labelled texts that training sees
-SAMPLE_BYTES = 1 << 26  # most bytes of text that training sees; the driver holds their words as numbers
+SAMPLE_BYTES = 1 << 26  # most bytes of text that training sees; the fitting task holds their words as numbers
 BLOCK = 1 << 18         # entries summed at a time
 KNOWN_WORDS = 200_000   # words whose weight a task keeps
 FEATURES = 1 << 18
@@ -79,7 +79,7 @@ def counterfactual(bag: Counter, terms: dict[bytes, tuple[int, tuple[bytes, ...]
 
 
 def _training_rows(terms: dict[bytes, tuple[int, tuple[bytes, ...]]]):
-    """Arrow mapper from (label, fold, text) to words and counts; the counterfactual ones are empty without identity terms."""
+    """Arrow mapper from (label, mark, text) to words and counts; the counterfactual ones are empty without identity terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [words(text) for text in batch.column(2).to_pylist()]
@@ -87,7 +87,7 @@ def _training_rows(terms: dict[bytes, tuple[int, tuple[bytes, ...]]]):
                       for bag, text in zip(bags, batch.column(2).to_pylist())]
             columns = [pa.array(map(part, some), kind) for some in (bags, others)
                        for part, kind in ((list, pa.list_(pa.binary())), (lambda bag: list(bag.values()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["label", "fold", "words", "counts", "other_words", "other_counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["label", "mark", "words", "counts", "other_words", "other_counts"])
     return run
 
 
@@ -123,10 +123,12 @@ class Vocabulary:
     """The features of numbered words as sparse rows."""
 
     def __init__(self, all_words: list[bytes]):
-        own = [features(w) for w in all_words]
-        self.width = np.array([len(f) for f in own] or [0], dtype=np.int32)
-        self.feature = np.array([f for fs in own for f in fs], dtype=np.int32)
-        self.word = np.repeat(np.arange(len(own), dtype=np.int32), self.width[:len(own)])
+        sizes = np.fromiter(map(len, all_words), dtype=np.int32, count=len(all_words))
+        self.width = 1 + np.clip(sizes, 4, 9) - 4
+        self.feature = np.fromiter((f for w in all_words for f in features(w)), dtype=np.int32, count=int(self.width.sum()))
+        self.word = np.repeat(np.arange(len(all_words), dtype=np.int32), self.width)
+        if not len(all_words):
+            self.width = np.zeros(1, dtype=np.int32)
         self.size = len(self.width)
 
     def weights(self, weights: np.ndarray) -> np.ndarray:
@@ -183,17 +185,31 @@ def train(labelled: DataFrame, fairness: float = FAIRNESS, sets: tuple[tuple[str
 
     A null text counts as empty, repeated rows count as often as they occur. Without any row the model scores everything alike and low.
     """
-    rows = labelled.select(F.col("label").cast("int").alias("label"), F.pmod(text_mark(), F.lit(CALIBRATION)).cast("int").alias("fold"), whole_text().alias("text")).mapInArrow(
-        _training_rows(terms_of(sets)), "label int, fold int, words array<binary>, counts array<int>, other_words array<binary>, other_counts array<int>")
-    got = rows.toArrow().combine_chunks()
-    y, fold = (got.column(c).to_numpy().astype(np.int64) for c in ("label", "fold"))
+    rows = labelled.select(F.col("label").cast("int").alias("label"), text_mark().alias("mark"), whole_text().alias("text")).mapInArrow(
+        _training_rows(terms_of(sets)), "label int, mark long, words array<binary>, counts array<int>, other_words array<binary>, other_counts array<int>")
+    got = rows.repartition(1).mapInArrow(_fitted(fairness), "weights binary, bias double").first()
+    return Model(np.frombuffer(got["weights"], dtype=np.float64), got["bias"]) if got else Model(np.zeros(FEATURES), -1.0)
+
+
+def _fitted(fairness: float):
+    """Arrow mapper from all training rows to one row: weights and bias, calibrated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            weights, bias = _model(pa.Table.from_batches(parts).sort_by([("mark", "ascending"), ("label", "ascending")]).combine_chunks(), fairness)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
+    return run
+
+
+def _model(got: pa.Table, fairness: float) -> tuple[np.ndarray, float]:
+    """Weights and bias from the training rows, which come in the order of their marks."""
+    y, fold = got.column("label").to_numpy().astype(np.int64), got.column("mark").to_numpy() % CALIBRATION
     flat = [_flat(got, c) for c in ("words", "other_words")]
     coded = pa.chunked_array([f for f, _ in flat], pa.binary()).dictionary_encode().combine_chunks()
     code = coded.indices.to_numpy().astype(np.int32) if len(coded) else np.zeros(0, np.int32)
     vocabulary = Vocabulary(coded.dictionary.to_pylist() if len(coded) else [])
     counts = [_flat(got, c)[0].to_numpy().astype(np.int32) for c in ("counts", "other_counts")]
     entries = [(code[:len(flat[0][0])], counts[0], flat[0][1]), (code[len(flat[0][0]):], counts[1], flat[1][1])]
-    del got, coded, code, counts
 
     def bags(which: int, chosen: np.ndarray) -> Bags:
         number = np.full(len(y), -1, dtype=np.int32)
@@ -205,9 +221,8 @@ def train(labelled: DataFrame, fairness: float = FAIRNESS, sets: tuple[tuple[str
     learn, check = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     swapped = np.intersect1d(learn, np.unique(flat[1][1]))
     weights, bias = fit(vocabulary, bags(0, learn), y[learn], bags(0, swapped), bags(1, swapped), fairness)
-    logits = bags(0, check).logits(vocabulary.weights(weights)) + bias
-    a, b = calibrate(logits, y[check])
-    return Model(a * weights, a * bias + b)
+    a, b = calibrate(bags(0, check).logits(vocabulary.weights(weights)) + bias, y[check])
+    return a * weights, float(a * bias + b)
 
 
 def _flat(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
