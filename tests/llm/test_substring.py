@@ -38,7 +38,7 @@ def found(spark, rows, length=substring_dedup.LENGTH):
     return sorted(map(tuple, got.collect()), key=str)
 
 
-@pytest.mark.parametrize("length", [8, 23, 50, 64, 97])
+@pytest.mark.parametrize("length", [8, 50, 97])
 def test_against_brute_force(spark, length):
     """Few different words, passages of every length around the window, shared in parts, with other words around them."""
     rng = random.Random(length)
