@@ -1,7 +1,8 @@
 """Keyed state with timers: pages that stay pending, and URLs that were seen.
 
 Both keep one small value for each URL in the state store (RocksDB, so state may exceed memory), start from a ledger table, and go on from
-their checkpoint after a restart.
+their checkpoint after a restart. A call into the store is a message to the JVM, so the rows of a batch are gone through on plain values: the
+store is read once and written once for each URL and batch, not for each row.
 """
 
 from __future__ import annotations
@@ -49,11 +50,14 @@ class PendingTimers(StatefulProcessor):
             self._set(initialState["ms"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out = []
+        out, before = [], self.since.get()[0] if self.since.exists() else None
+        since = before
         for row in sorted(rows, key=lambda r: (r["ms"], r["status"] != "pending")):
-            if self.since.exists() and row["ms"] >= self.since.get()[0] + HOUR_MS:
-                out.append(Row(url=key[0], pending_ms=self.since.get()[0]))       # the hour was full before this event
-            self._set(row["ms"] if row["status"] == "pending" else None)
+            if since is not None and row["ms"] >= since + HOUR_MS:
+                out.append(Row(url=key[0], pending_ms=since))       # the hour was full before this event
+            since = row["ms"] if row["status"] == "pending" else None
+        if since != before:
+            self._set(since)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -90,11 +94,11 @@ class FirstSights(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entry = handle.getValueState("entry", "status string, ms bigint")
 
-    def _handled(self, now: int) -> bool:
+    def _handled(self, entry: tuple | None, now: int) -> bool:
         """The ledger's rule with its three-valued logic: without a status a URL is handled while young."""
-        if not self.entry.exists():
+        if entry is None:
             return False
-        status, ms = self.entry.get()
+        status, ms = entry
         young = ms >= now - HOUR_MS
         return young if status is None or status == "pending" else status not in K.RETRYABLE_STATUSES
 
@@ -102,13 +106,17 @@ class FirstSights(StatefulProcessor):
         self.entry.update((initialState["status"], initialState["ms"]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out = []
+        out, before = [], tuple(self.entry.get()) if self.entry.exists() else None
+        entry = before
         for row in sorted(rows, key=lambda r: (r["ms"], r["kind"] == "hit")):
+            now = self.now if self.now is not None else row["ms"]
             if row["kind"] == "recorded":
-                self.entry.update((row["status"], row["ms"]))
-            elif not self._handled(self.now if self.now is not None else row["ms"]):
-                self.entry.update(("pending", self.now if self.now is not None else row["ms"]))
+                entry = (row["status"], row["ms"])
+            elif not self._handled(entry, now):
+                entry = ("pending", now)
                 out.append(Row(url=key[0], ms=row["ms"]))
+        if entry != before:
+            self.entry.update(entry)
         return iter(out)
 
     def close(self) -> None:

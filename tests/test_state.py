@@ -78,3 +78,54 @@ def test_state_from_a_fixed_time(spark):
     add(spark, f"{root}/hits", [("a", "01:00:00"), ("a", "09:00:00")], "url string, ts timestamp")
     got = run(spark, ST.first_sights(J.read_stream(spark, f"{root}/hits", "url string, ts timestamp"), now=at("10:00:00")), root)
     assert [u for u, _ in got] == ["a"]
+
+
+class _Counted:
+    """A value state and its timers that count the calls made to them."""
+
+    def __init__(self, value=None):
+        self.value, self.calls, self.timers = value, 0, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+def test_the_store_is_not_called_for_each_row():
+    hour = ST.HOUR_MS
+    store, timers = _Counted(), ST.PendingTimers()
+    timers.init(store)
+    rows = [{"status": "pending", "ms": k * hour // 2} for k in range(1000)] + [{"status": "pending", "ms": 1001 * hour}]
+    assert [r.pending_ms for r in timers.handleInputRows(("u",), iter(rows), None)] == [999 * hour // 2]
+    assert store.value == (1001 * hour,) and store.timers == {1002 * hour - 1} and store.calls < 10
+    assert [r.pending_ms for r in timers.handleInputRows(("u",), iter([{"status": "ok", "ms": 1003 * hour}]), None)] == [1001 * hour]
+    assert store.value is None and not store.timers
+    store, sights = _Counted(("ok", 0)), ST.FirstSights()
+    sights.init(store)
+    hits = [{"kind": "hit", "status": None, "ms": k} for k in range(1000)]
+    assert not list(sights.handleInputRows(("u",), iter(hits), None)) and store.calls < 10
+    late = [{"kind": "recorded", "status": "quota", "ms": 2000}] + [{"kind": "hit", "status": None, "ms": 2000 + k} for k in range(3)]
+    assert [r.ms for r in sights.handleInputRows(("u",), iter(late), None)] == [2000] and store.value == ("pending", 2000)
