@@ -54,12 +54,28 @@ def _keys(e: Column, p: Column, m: Column) -> Column:
 def linked_groups(edges: DataFrame) -> DataFrame:
     """(id, component) from (id, key): ids that share keys, directly or through others.
 
-    Every id starts with its own number. Each round a key takes the smallest label of its
+    A key stands for the smallest of its ids, and an id links the smallest ids of its keys. Only these links, without repeats, go
+    through the rounds: many ids with the same keys make one link, and an id whose keys agree makes none.
+
+    In the rounds every id starts with its own number. Each round a key takes the smallest label of its
     ids, an id the smallest of its keys, and then the label of that label (which halves
     long chains). Labels only shrink, so an unchanged sum means that nothing moved. Frequent keys are
     pre-aggregated on one side of each join and split by adaptive execution on the other.
     """
-    edges = cut(edges.select("id", "key"))
+    edges = edges.select("id", "key")
+    first = edges.groupBy("key").agg(F.min("id").alias("first"))
+    links = cut(edges.join(first, "key").select("id", "first"))
+    own = cut(links.groupBy("id").agg(F.min("first").alias("root")))
+    apart = cut(links.join(own, "id").filter("first <> root").select("first", "root").distinct())
+    linked = apart.select(F.col("first").alias("id"), F.col("root").alias("key")).unionByName(
+        apart.select(F.col("root").alias("id"), F.col("root").alias("key")).distinct())
+    roots = _labels(linked).withColumnRenamed("id", "root")
+    return own.join(roots, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """The rounds of ``linked_groups``."""
+    edges = cut(edges)
     labels = cut(edges.select("id").distinct().withColumn("component", F.col("id")))
     checksum = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
     while True:

@@ -109,3 +109,23 @@ def test_equal_positions_lose_nobody(spark):
     assert len({r.seq for r in got}) == 36 and len({r.batch for r in got}) == 3
     assert [(r.url, r.pos) for r in got] == sorted((f"http://u/{i}", k) for i in range(12) for k in range(3))
     assert all(len({r.batch for r in got if r.url == u}) == 1 for u in {r.url for r in got})
+
+
+def test_ids_with_the_same_keys_stay_out_of_the_rounds(spark, monkeypatch):
+    ids = [(i, f"{kind}{i % 3}") for i in range(300) for kind in "abc"] + [(400, "a0"), (400, "x"), (401, "x"), (7, "x")]
+    sizes, cut = [], R.cut
+
+    def counted(d):
+        out = cut(d)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "cut", counted)
+    got = {r.id: r.component for r in R.linked_groups(spark.createDataFrame(ids, "id bigint, key string")).collect()}
+    assert got == {**{i: 2 if i % 3 == 2 else 0 for i in range(300)}, 400: 0, 401: 0}      # 7 joins the groups of 0 and 1
+    assert max(sizes[2:]) < 10
+
+
+def test_a_long_chain_of_links(spark):
+    chain = [(i, k) for i in range(60) for k in (f"k{(i * 37) % 61}", f"k{(i * 37 + 37) % 61}")]
+    assert {r.component for r in R.linked_groups(spark.createDataFrame(chain, "id bigint, key string")).collect()} == {0}
