@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leadspark.functions import text as T
-from leadspark.operators.keyed import cut
+from leadspark.operators.keyed import cut, spread
 from leadspark.schemas import LIST_FIELDS, RECORD_FIELDS
 
 MATCH = ["m", "named", "loc", "e", "p"]
@@ -197,10 +197,11 @@ def leaders(rows: DataFrame) -> DataFrame:
     """(seq, leader): the first row, within its batch, of the person each row belongs to.
 
     ``rows`` holds unique numbers ``seq`` that give the order, and ``batch``. The row number is there for its requirement: a window
-    makes Spark guarantee that a batch is whole in one partition and in order, also after adaptive re-planning.
+    makes Spark guarantee that a batch is whole in one partition and in order, also after adaptive re-planning. The fold works much
+    on few bytes, so the batches are dealt over all tasks.
     """
     nth = F.row_number().over(W.partitionBy("batch").orderBy("seq"))
-    return match_fields(rows, ["seq", "batch"]).withColumn("nth", nth).select("nth", "seq", *MATCH).mapInPandas(
+    return match_fields(spread(rows, "batch"), ["seq", "batch"]).withColumn("nth", nth).select("nth", "seq", *MATCH).mapInPandas(
         _fold_batches, "seq long, leader long")
 
 
@@ -252,10 +253,14 @@ def first_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     return found.groupBy("seq").agg(F.min("src").alias("src"))
 
 
-def _pieces(text: Column, n: int) -> Column:
-    """All pieces of n characters."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>"))
+def _with_starts(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``rows`` (m, loc) once for each ``key`` of ``heads`` (m, key) of the same name that lies inside the place.
+
+    A key has three characters at most, so the keys of one name are bounded; most names have one.
+    """
+    starts = heads.groupBy("m").agg(F.collect_set("key").alias("starts"))
+    inside = F.filter("starts", lambda s: F.contains(F.col("loc"), s))
+    return rows.join(starts, "m").withColumn("key", F.explode(inside)).drop("starts")
 
 
 def _by_name(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -264,7 +269,7 @@ def _by_name(new: DataFrame, old: DataFrame) -> DataFrame:
     Equal contacts are looked up elsewhere, so here a side that has a contact needs the other to have none. That leaves a few
     classes (place, has e-mail, has phone) for each name; both sides are reduced to their classes before they meet. The
     place rule (the head of one place lies inside the other) becomes an equi-join on the first three characters of
-    the head with the pieces of that length in the other place, and is then checked.
+    the head, for which the other place is listed only under those that its name has and that lie inside it, and is then checked.
     """
     kinds = ["m", "loc", "he", "hp"]
     classes = lambda d: d.filter(F.col("m") != "").withColumn("he", F.col("e") != "").withColumn("hp", F.col("p") != "")
@@ -272,7 +277,6 @@ def _by_name(new: DataFrame, old: DataFrame) -> DataFrame:
     need = cut(asked.select(*kinds).distinct())
     have = cut(classes(old.join(need.select("m").distinct(), "m", "left_semi")).groupBy(*kinds).agg(F.min("src").alias("src")))
     head, start = T.place_head(F.col("loc")), F.substring("head", 1, 3)
-    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(F.col("loc"), n) for n in (1, 2, 3)]))
     needed, held = (d.filter("loc <> ''") for d in (need, have))
     by_head = held.groupBy("m", head.alias("head"), "he", "hp").agg(F.min("src").alias("src")).withColumn("key", start)
     asked_heads = needed.select(*kinds, head.alias("head")).withColumn("key", start)
@@ -282,8 +286,8 @@ def _by_name(new: DataFrame, old: DataFrame) -> DataFrame:
         both = n.alias("n").join(h.alias("h"), [F.col(f"n.{c}") == F.col(f"h.{c}") for c in on])
         return both.filter(free & agree).select(*[F.col(f"n.{k}").alias(k) for k in kinds], F.col("h.src").alias("src"))
 
-    hits = meet(needed.withColumn("key", F.explode(pieces)), by_head, ["m", "key"], F.col("n.loc").contains(F.col("h.head")))
-    hits = hits.unionByName(meet(asked_heads, held.withColumn("key", F.explode(pieces)), ["m", "key"], F.col("h.loc").contains(F.col("n.head"))))
+    hits = meet(_with_starts(needed, by_head), by_head, ["m", "key"], F.col("n.loc").contains(F.col("h.head")))
+    hits = hits.unionByName(meet(asked_heads, _with_starts(held, asked_heads), ["m", "key"], F.col("h.loc").contains(F.col("n.head"))))
     anywhere = lambda d: d.groupBy("m", "he", "hp").agg(F.min("src").alias("src"))
     hits = hits.unionByName(meet(need.filter("loc = ''"), anywhere(have), ["m"], F.lit(True)))
     hits = hits.unionByName(meet(needed, anywhere(have.filter("loc = ''")), ["m"], F.lit(True)))
@@ -292,7 +296,7 @@ def _by_name(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def stored_matches(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """(seq, stored_url): the first stored row, by source URL, that is the same person."""
-    old = cut(match_fields(stored, ["source_url"]).withColumnRenamed("source_url", "src"))
+    old = cut(match_fields(spread(stored, "source_url"), ["source_url"]).withColumnRenamed("source_url", "src"))
     return first_matches(cut(match_fields(rows, ["seq"])), old).withColumnRenamed("src", "stored_url")
 
 

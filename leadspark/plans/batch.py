@@ -19,7 +19,7 @@ from leadspark.operators import resolve as R
 from leadspark.operators import review as RV
 from leadspark.operators import searchplan as SP
 from leadspark.operators import stats as S
-from leadspark.operators.keyed import cut, fence, first_per, with_ordinal
+from leadspark.operators.keyed import cut, fence, first_per, spread, with_ordinal
 from leadspark.sources.tables import read_inputs
 
 
@@ -156,7 +156,7 @@ def saved_records(rows: DataFrame, candidates: DataFrame, as_of: Column, order:
 
     ``order`` is a unique number that gives the order of the rows; so many numbers each are one batch of the ordered fold.
     """
-    checked = cut(RV.reimported(rows, extras=True))
+    checked = cut(RV.reimported(spread(rows, order), extras=True))
     records = X.accepted(checked).withColumn("seq", F.col(order).cast("bigint")).withColumn("batch", F.floor(F.col("seq") / batch_size))
     people = R.resolve(records, candidates)
     return Saved(C.upsert(candidates, C.last_per_source(people), as_of), X.rejected(checked))

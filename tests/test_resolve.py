@@ -2,7 +2,12 @@
 
 import time
 
+from pyspark.sql import functions as F
+
+from leadspark import schemas as SC
 from leadspark.operators import resolve as R
+from leadspark.operators import review as RV
+from leadspark.plans import batch as B
 from leadspark.plans.batch import numbered_records
 from leadspark.schemas import RECORD
 
@@ -129,3 +134,23 @@ def test_ids_with_the_same_keys_stay_out_of_the_rounds(spark, monkeypatch):
 def test_a_long_chain_of_links(spark):
     chain = [(i, k) for i in range(60) for k in (f"k{(i * 37) % 61}", f"k{(i * 37 + 37) % 61}")]
     assert {r.component for r in R.linked_groups(spark.createDataFrame(chain, "id bigint, key string")).collect()} == {0}
+
+
+def test_saved_rows_of_one_file_are_many_tasks(spark, monkeypatch):
+    parts, cut = [], B.cut
+
+    def counted(d):
+        out = cut(d)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(B, "cut", counted)
+    rows = RV.export_rows(frame(spark, *[lee(email=f"{i}@x.co") for i in range(20)]).coalesce(1)).withColumn("pos", F.col("seq"))
+    saved = B.saved_records(rows.drop("seq", "batch"), SC.empty(spark, SC.CANDIDATES), F.current_timestamp())
+    assert parts[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) and saved.candidates.count() == 20
+
+
+def test_a_place_is_listed_under_the_starts_of_its_name_only(spark):
+    rows = spark.createDataFrame([("ann lee", "new delhi, in"), ("bob ray", "oslo")], "m string, loc string")
+    heads = spark.createDataFrame([("ann lee", "del"), ("ann lee", "new"), ("ann lee", "osl"), ("bob ray", "")], "m string, key string")
+    assert sorted(R._with_starts(rows, heads).select("m", "key").collect()) == [("ann lee", "del"), ("ann lee", "new"), ("bob ray", "")]
