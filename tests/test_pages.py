@@ -148,3 +148,14 @@ def test_pages_on_which_quotes_cannot_be_told_apart(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(E.oracle_sql()["verified_people"]).fetchall())
     assert [n for _, n, _ in got] == [1, -1, -1, 1, -1, 1]
+
+
+def test_pages_of_a_large_batch_are_read_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    pages = [f"<title>t{i}</title><p>page {i}</p>" if i % 7 else None for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "__html": pages})
+    pieces = list(H._read(iter([batch]), None, False))
+    assert max(p.num_rows for p in pieces) <= H.PIECE and [i for p in pieces for i in p.column(0).to_pylist()] == list(range(300))
+    d = spark.createDataFrame(list(enumerate(pages)), "id int, html string").coalesce(1)
+    assert {r.id: (r.title, r.parse_error) for r in H.page_parts(d).collect()} == {i: (f"t{i}" if i % 7 else "", None) for i in range(300)}
