@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leadspark.operators import candidates as C
 from leadspark.operators import ledger as L
 from leadspark.operators import stats as S
+from leadspark.operators.keyed import spread
 from leadspark.plans.batch import Settings, process
 from leadspark.schemas import CANDIDATES, struct
 from leadspark.schemas import LEDGER as LEDGER_DDL
@@ -42,7 +43,7 @@ def ingest(arrivals: DataFrame, store: Store, checkpoint: str, robots: DataFrame
     def run(batch: DataFrame, batch_id: int) -> None:
         if store.has(batch_id) or batch.isEmpty():
             return
-        batch = batch.persist()
+        batch = spread(batch, "url").persist()     # one file may be one task, however many pages it has
         try:
             step(batch, batch_id)
         finally:

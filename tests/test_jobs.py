@@ -25,6 +25,20 @@ def test_stream_ingest_equals_batch(spark):
     assert {r[1] for r in batch} >= {"ok", "quota"} and sum(r[2] for r in stream) > 0
 
 
+def test_an_arriving_file_is_many_tasks(spark, monkeypatch):
+    from leadspark.streaming import jobs as J
+
+    parts, fresh = [], J.L.fresh_urls
+
+    def counted(batch, *others):
+        parts.append(batch.rdd.getNumPartitions())
+        return fresh(batch, *others)
+
+    monkeypatch.setattr(J.L, "fresh_urls", counted)
+    CP.stream_ingest(spark, SF)
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
+
+
 def test_upsert_with_own_output_changes_no_scalar(spark):
     stored = V.stored(spark, SF)
     once = C.upsert(stored, stored.select(*S.RECORD_FIELDS), V.as_of())
